@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, ngram_join, packing, repair, toxicity
+from . import line_dedup, media, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, toxicity
 
 QUERIES = {
+    "op1_pseudonyms": pseudonyms.query,
     "op2_repair": repair.query,
+    "op3_quantised": quantised.query,
     "op4_media": media.query,
     "op5_packing": packing.query,
     "op6_mixing": mixing.query,
+    "op7_secrets": secrets.query,
     "op8_ngram_join": ngram_join.query,
     "op9_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
