@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import answers, documents, records
+
+QUERIES: dict = documents.QUERIES | records.QUERIES | answers.QUERIES
+SQL: dict = documents.SQL | records.SQL | answers.SQL
