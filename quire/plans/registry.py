@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, documents, records
+from . import answers, documents, extraction, records
 
-QUERIES: dict = documents.QUERIES | records.QUERIES | answers.QUERIES
-SQL: dict = documents.SQL | records.SQL | answers.SQL
+QUERIES: dict = documents.QUERIES | records.QUERIES | answers.QUERIES | extraction.QUERIES
+SQL: dict = documents.SQL | records.SQL | answers.SQL | extraction.SQL

@@ -15,3 +15,14 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH"), ROOT) if p)
     return spark
+
+
+def cut(df):
+    """Compute once and cut the lineage in the folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    import tempfile
+
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
