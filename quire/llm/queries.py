@@ -17,4 +17,4 @@ QUERIES = {
     "op10_line_dedup": line_dedup.query,
 }
 
-SQL = {"op10_line_dedup": line_dedup.SQL}
+SQL = {"op8_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL}
