@@ -107,7 +107,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     return words, np.searchsorted(s, offs)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19):
     """Cut a batch into runs of rows with at most `most` bytes of text (a longer single text is a run of its own)."""
     at = batch.column(column).fill_null("")
     ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64) if len(at) else np.zeros(1, np.int64)

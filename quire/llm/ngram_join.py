@@ -8,9 +8,9 @@ empty or alike too often, a scheme has half as many segments and indexes one-del
 estimated cost, from the counts of all document sizes.
 
 Keys that are frequent cost pairs. A document with no more frequent keys than it has to spare drops them, which loses no
-link: two linked documents still share another key. Pairs come in two waves: every holder of a key with its smallest
-holder; then, when these links have been followed, only holders that are still in different components. All pairs are
-verified on the exact sets.
+link: two linked documents still share another key. Pairs come in waves: a holder of keys with the smallest holder of
+most of them; then with the smallest holders of the others; then, for keys whose holders are still in different components,
+pairs across components. All pairs are verified on the exact sets.
 
 Nulls and edge cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five
 words are one shingle; equal texts are one class, found by equal sets; rows of one doc_id are taken as one document; extra
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import cut, mix, slices, table, word_hashes
 from .components import connected_components
 
 WORDS = 5
-SKETCH = 16  # longs of parity bits
 #: Holders from which a key counts as frequent.
 FREQUENT = 32
+#: Doc_ids (16 bytes each) that may be broadcast.
+MOST_BROADCAST = 1_000_000
 #: Keys in one task's group.
 GROUP_KEYS = 2_000_000
 
@@ -63,23 +65,33 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
         return int(mix(h, 3).sum(dtype=np.uint64).astype(np.int64)), int(mix(h, 4).sum(dtype=np.uint64).astype(np.int64))
 
 
+def parity(h: np.ndarray) -> bytes:
+    """Parity bits of the set's hashes by their low bits: two to four bits for a shingle, 1,024 at least. Sets that differ in d
+    shingles differ in at most d bits; a sketch's halves, added, are the sketch of half its length."""
+    bits = 1 << max(10, (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def parity_distance(a: bytes, b: bytes) -> int:
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sketch): set size, 128-bit key and parity bits of each document's set."""
 
     def run(batches):
+        tokens.forget()  # workers are used again from stage to stage
         for batch in batches:
             for part in slices(batch):
-                sizes, k1, k2, bits = [], [], [], np.zeros((part.num_rows, SKETCH * 64), bool)
-                for i, h in enumerate(shingle_sets(part.column("text"))):
-                    a, b = set_key(h)
-                    sizes.append(len(h)), k1.append(a), k2.append(b)
-                    bits[i] = np.bincount((h & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64) & 1
-                longs = np.packbits(bits, axis=1).view(np.int64)
-                cols = [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, longs.size + 1, SKETCH), pa.int32()), pa.array(longs.ravel()))
-                yield pa.RecordBatch.from_arrays([*cols, sketch], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+                sets = shingle_sets(part.column("text"))
+                keys = [set_key(h) for h in sets]
+                cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([parity(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 class Scheme:
@@ -146,7 +158,7 @@ def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=4 << 20):
                 yield from packed(part)
 
     def packed(part):
@@ -216,9 +228,15 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked. Sizes and parity sketches exclude most others before the sets are read."""
     side = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    p = p.where((4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (differ <= F.floor((F.col("n_a") + F.col("n_b")) / 7)))
-    p = cut(p.select("a", "b"))
+    p = p.where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+
+    def close(batches):
+        for batch in batches:
+            sides = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)
+            good = [parity_distance(x, y) <= (n + m) // 7 for n, m, x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    p = cut(p.mapInArrow(close, "a long, b long"))
     ids = p.select(F.col("a").alias("doc_id")).union(p.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches):
@@ -229,13 +247,15 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
     def check(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
+            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):  # one pair's sets at a time
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate((x, y)))
                 inter = int((both[1:] == both[:-1]).sum())
                 good.append(100 * inter >= 75 * (len(both) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    ids = cut(ids)
+    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids  # texts stay where they are read; beyond it Spark shuffles
     found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary")
     found = cut(found)
     member = p.join(found.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h_b")), "b")
@@ -251,9 +271,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = sum(s * n for s, n in by_size.items())
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_KEYS))
     posts = cut(postings(keys_of(docs, schemes, groups)))
-    stars = posts.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    # first wave: each document with the leader that shares most keys with it; second: its other leaders, if not yet linked
+    stars = posts.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
     stars = cut(stars)
-    links = verified(stars, docs, sizes)
+    best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+    links = verified(best, docs, sizes)
+    comp = connected_components(links)
+    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = cut(rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
+    links = links.union(verified(rest, docs, sizes))
     first = connected_components(links)
     spare = F.array(*[F.lit(s.spare) for s in schemes])
     frequent = posts.where(F.col("n") > FREQUENT).groupBy("doc", "scheme").agg(F.count("*").alias("_often"))
@@ -275,3 +302,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(t) < 5 THEN array_to_string(t, ' ') ELSE array_to_string(t[i:i + 4], ' ') END AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT DISTINCT a AS id, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) c ON c.id = d.doc_id
+"""
