@@ -27,23 +27,24 @@ def sized(docs: DataFrame) -> DataFrame:
     """Counts words on Arrow's buffers, without leaving a copy of the text."""
     import numpy as np
 
-    from .common import _SPACES
+    from .common import _SPACES, slices
 
     names = docs.columns
 
     def count(batches):
         for batch in batches:
-            text = batch.column("text").fill_null("")
-            offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
-            b = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-            offs = offs - offs[0]
-            inside = ~_SPACES[b]
-            start = inside.copy()
-            start[1:] &= ~inside[:-1]
-            edge = offs[:-1][offs[:-1] < len(b)]
-            start[edge] = inside[edge]
-            total = np.concatenate(([0], np.cumsum(start)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total[offs[1:]] - total[offs[:-1]], pa.int64())], [*batch.schema.names, "_size"])
+            for part in slices(batch):
+                text = part.column("text").fill_null("")
+                offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+                b = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]] if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+                offs = offs - offs[0]
+                inside = ~_SPACES[b]
+                start = inside.copy()
+                start[1:] &= ~inside[:-1]
+                edge = offs[:-1][offs[:-1] < len(b)]
+                start[edge] = inside[edge]
+                total = np.concatenate(([0], np.cumsum(start)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total[offs[1:]] - total[offs[:-1]], pa.int64())], [*part.schema.names, "_size"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(count, f"{fields}, _size long").select(*names, "_size")
