@@ -32,7 +32,7 @@ FORMAT = "part int, shard int, total long, docs binary, n_ids binary, n_symbols
 _NONE = np.uint16(0xFFFF)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, least: int = 8, per_round: int = 4096):
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, least: int = 8, per_round: int = 8192):
     """Grammar of `ids` (uint16), whose documents end before the positions `ends`.
 
     Returns rules (n x 2), expansion lengths of the rules, symbols, and the documents' new ends.
@@ -78,10 +78,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, leas
         rules = np.concatenate((rules, np.stack((new >> np.uint32(16), new & np.uint32(0xFFFF)), 1).astype(np.uint16)))
         if len(i) < len(pairs) // 200:
             break
-    size = np.ones(terminals + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules):
-        size[terminals + k] = size[a] + size[b]
-    return rules, size[terminals:], seq, np.flatnonzero(last) + 1
+    size = [1] * terminals
+    for a, b in rules.tolist():
+        size.append(size[a] + size[b])
+    return rules, np.array(size[terminals:], np.uint32), seq, np.flatnonzero(last) + 1
 
 
 def expand(rules: np.ndarray, rule_len: np.ndarray, symbols: np.ndarray, terminals: int = TERMINALS) -> np.ndarray:
@@ -90,10 +90,17 @@ def expand(rules: np.ndarray, rule_len: np.ndarray, symbols: np.ndarray, termina
     begin = np.concatenate((np.arange(terminals), terminals + np.cumsum(rule_len, dtype=np.int64) - rule_len))
     flat = np.empty(terminals + int(rule_len.sum()), np.uint32)
     flat[:terminals] = np.arange(terminals)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = begin[terminals + k]
-        flat[at : at + size[a]] = flat[begin[a] : begin[a] + size[a]]
-        flat[at + size[a] : at + size[a] + size[b]] = flat[begin[b] : begin[b] + size[b]]
+    depth = [0] * terminals
+    for a, b in rules.tolist():
+        depth.append(1 + max(depth[a], depth[b]))
+    depth = np.array(depth[terminals:], np.int64)
+    for level in range(1, int(depth.max(initial=0)) + 1):  # what a rule stands for lies in levels below
+        k = np.flatnonzero(depth == level)
+        a, b = rules[k, 0], rules[k, 1]
+        for part, to in ((a, begin[terminals + k]), (b, begin[terminals + k] + size[a])):
+            m = size[part]
+            step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            flat[np.repeat(to, m) + step] = flat[np.repeat(begin[part], m) + step]
     n = size[symbols]
     ends = np.cumsum(n)
     return flat[np.repeat(begin[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]

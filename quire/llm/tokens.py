@@ -7,11 +7,15 @@ pieces are encoded once for each Python worker. Null text: empty. `<|endoftext|>
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _TOKENIZERS: dict = {}
-#: Pieces remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+#: A space before white space, a control character or the end.
+_RUN = re.compile(r" (?:[\s\x00-\x1f]|$)")
+#: Pieces that a worker learns before its memory ages: what isn't asked for again within the next as many is forgotten.
+REMEMBERED = 700_000
 
 
 def default_path() -> str:
@@ -21,17 +25,39 @@ def default_path() -> str:
 
 
 def pieces(text: str) -> list[str]:
+    """The first piece, and the others without the space before them."""
+    if not _RUN.search(text):
+        return text.split(" ")
     first, *rest = text.split(" ")
     out = [first]
     for p in rest:
         if p and not p[0].isspace() and p[0] > "\x1f":
-            out.append(" " + p)
+            out.append(p)
         else:  # more white space follows: leave it to the tokenizer
             out[-1] += " " + p
     return out
 
 
-def encode(texts: list[str | None], path: str) -> list[bytes]:
+def forget() -> None:
+    """Give back a worker's memory of pieces; for stages that need the room."""
+    for memory in _TOKENIZERS.values():
+        memory[1:] = {}, {}, {}
+
+
+def learn(tok, memory: dict[str, bytes], before: str, new: list[str], together: int = 512) -> None:
+    """Ids of new pieces. Pieces that begin with a space are encoded many in a text, since they never join."""
+    if not before:
+        memory.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        return
+    groups = [new[i : i + together] for i in range(0, len(new), together)]
+    for group, e in zip(groups, tok.encode_batch(["".join([before + p for p in g]) for g in groups], add_special_tokens=False), strict=True):
+        starts = np.cumsum([0] + [len(p) + len(before) for p in group])
+        at = 4 * np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)
+        ids, at = np.array(e.ids, "<u4").tobytes(), at.tolist()
+        memory.update(zip(group, (ids[a:b] for a, b in zip(at, at[1:])), strict=True))
+
+
+def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
     import os
 
@@ -41,14 +67,24 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     if path not in _TOKENIZERS:
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        _TOKENIZERS[path] = (tok, {})
-    tok, known = _TOKENIZERS[path]
-    if len(known) > REMEMBERED:
-        known.clear()
-    cut = [pieces(t) if t else [] for t in texts]
-    new = list({p for c in cut for p in c}.difference(known))
-    if new:
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, c)) for c in cut]
+        _TOKENIZERS[path] = [tok, {}, {}, {}]
+    memory = _TOKENIZERS[path]
+    if len(memory[1]) + len(memory[3]) > remembered:
+        memory[1:] = {}, memory[1], {}
+    tok, known, older, heads = memory
+    cut = [pieces(t) if t else [""] for t in texts]
+    first = [c.pop(0) for c in cut]
+    learn(tok, heads, "", list(set(first).difference(heads)))
+    found = [list(map(known.get, c)) for c in cut]
+    new = []
+    for c, ids in zip(cut, found, strict=True):
+        i = -1
+        for _ in range(ids.count(None)):
+            i = ids.index(None, i + 1)
+            new.append((ids, i, c[i]))
+    missing = {p for _, _, p in new}
+    known.update((p, older[p]) for p in missing.intersection(older))
+    learn(tok, known, " ", list(missing.difference(older)))
+    for ids, i, p in new:
+        ids[i] = known[p]
+    return [heads[f] + b"".join(ids) for f, ids in zip(first, found, strict=True)]
