@@ -48,8 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Workers still hold what earlier stages allocated, so the tokenizer's memory is kept small here."""
     table(spark, sf_dir, "documents")
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, remembered=150_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix_sources), ("best-fit packing", pack_documents)]

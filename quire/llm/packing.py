@@ -27,14 +27,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUN = 50_000
 
 
-def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str, remembered: int = tokens.REMEMBERED) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), []
             for i in range(0, len(ids), 500):
-                for doc, coded in zip(ids[i : i + 500], tokens.encode(batch.column("text")[i : i + 500].to_pylist(), path), strict=True):
+                for doc, coded in zip(ids[i : i + 500], tokens.encode(batch.column("text")[i : i + 500].to_pylist(), path, remembered), strict=True):
                     coded += end
                     n = len(coded) // 4
                     at = 0
@@ -133,8 +133,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None) -> DataFrame:
-    return pack(token_pieces(docs, capacity, end_id, path or tokens.default_path()), capacity)
+def best_fit_packing(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, remembered: int = tokens.REMEMBERED) -> DataFrame:
+    """`remembered` bounds the tokenizer memory of a Python worker (about 350 bytes each); results don't depend on it."""
+    return pack(token_pieces(docs, capacity, end_id, path or tokens.default_path(), remembered), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
