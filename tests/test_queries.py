@@ -21,7 +21,8 @@ def test_against_sql(spark, sql, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_rows_only(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+    """At sf0.01: the smallest documents hold no key: value line."""
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
