@@ -28,6 +28,8 @@ from .common import cut, mix, slices, table, word_hashes
 
 _START = np.uint64(0x1234567890ABCDEF)
 _ODD = np.uint64(0xA24BAED4963EE407)
+#: Words of the base that each text's reference counts besides its own, so that short texts are measured against the corpus.
+PRIOR = 8
 
 
 def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -107,6 +109,15 @@ class Model:
             left[c] = 1 - p.sum()
         self.known += np.outer([shared[int(w)] for w in self.words.view(np.int64)], left)
         self.ratio = np.append(np.log(self.known[:, 1]) - np.log(self.known[:, 0]), np.log(left[1]) - np.log(left[0]))
+        mass = np.array([shared[int(w)] for w in self.words.view(np.int64)])
+        mass = np.append(mass, max(0.0, 1 - mass.sum()))
+        order = np.argsort(self.ratio, kind="stable")
+        self.base = float(self.ratio[order[np.searchsorted(np.cumsum(mass[order]), mass.sum() / 2)]])
+
+    def reference(self, ratio: np.ndarray) -> float:
+        """The median of a text's unremarkable words and PRIOR words of the base. None above the base moves it up."""
+        plain = ratio[np.abs(ratio - self.base) <= self.band]
+        return float(np.median(np.append(np.minimum(plain, self.base), np.full(PRIOR, self.base))))
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """For each text the summed log-likelihood ratio by the square root of its length, and by its length, on log scales."""
@@ -118,7 +129,7 @@ class Model:
             ratio = self.ratio[np.where(hit, where, len(self.words))]
             for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 if e > s:
-                    r = ratio[s:e] - np.median(ratio[s:e])
+                    r = ratio[s:e] - self.reference(ratio[s:e])
                     total = (r - np.clip(r, -self.band, self.band)).sum()
                     out[i] = 4 * total / np.sqrt(e - s), 40 * total / (e - s)
         return np.sign(out) * np.log1p(np.abs(out))
