@@ -5,7 +5,12 @@ validated, and permuted under a key within their own format: separators, lengths
 Luhn again, numbers and dates stay valid. The same value has the same pseudonym in every document, other values have others,
 so links between documents remain. The round function is SHA-256 over key, kind, round and half.
 
-Nulls and edge cases: a null text stays null, an empty one empty; matches that fail validation stay as they are; a value whose
+A run of digits can hold several values, or a value beside other numbers. So besides the matches of ALL, every place where a
+grouped card, a social security number or a phone number starts is tried, overlaps included, and overlaps are settled after
+validation: such a value wins over a card of unusual groups, then the earlier one wins, then the longer one. Values that
+further digits are joined to by a hyphen or dot are taken apart for cards and hyphens only, as Luhn's sum tells those.
+
+Nulls and edge cases: a null text stays null, an empty one empty; what fails validation as every kind stays as it is; a value whose
 halves are empty is shifted by the key alone; repeated rows give equal rows; extra columns pass through; an empty table gives
 an empty table.
 """
@@ -27,8 +32,14 @@ PATTERNS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{8,15}|1[3-9]\d{9}",
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
 }
-#: One pattern for all kinds; at one place the longest kind of the order below wins.
+#: One pattern for all kinds; at one place the first kind of the order below wins.
 ALL = r"(?<![A-Za-z0-9_.%+@-])(?:" + "|".join(PATTERNS[k] for k in ("email", "date", "ipv4", "card", "ssn", "phone")) + r")(?![A-Za-z0-9_@]|[.-]\d)"
+_AFTER, _BEFORE = r"(?<![A-Za-z0-9_.%+@-])", r"(?![A-Za-z0-9_@]|[.-]\d)"
+_CARD_AFTER, _CARD_BEFORE = rf"(?:{_AFTER}|(?<=\d-))", r"(?![A-Za-z0-9_@]|\.\d)"
+#: (kind, pattern) tried at every place where one of them starts: whole groups of digits.
+_GROUPED = tuple(("card", p) for p in (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}", r"\d{4}(?:[ -]\d{3}){3}", r"\d{6}[ -]\d{7,13}"))
+EVERYWHERE = (*((k, rf"{_CARD_AFTER}(?=({p}){_CARD_BEFORE})") for k, p in _GROUPED), *((k, rf"{_AFTER}(?=({PATTERNS[k]}){_BEFORE})") for k in ("ssn", "phone")))
+STARTS = r"(?=[\d+(])(?:" + "|".join(p for _, p in EVERYWHERE).replace("(?=(", "(?=(?:") + ")"
 _FIRST_DAY = "1900-01-01"
 #: Days of 1900 to 2099: 229 x 319, so the two halves of a date's number fill the range exactly.
 _DATE_LEFT, _DATE_RIGHT = 229, 319
@@ -202,31 +213,54 @@ def pseudonym(value, kind, key: str):
     return out.otherwise(value)
 
 
+def _candidates(text):
+    """Arrays of (start, back, end, m, kind, loose): all valid values of a text, overlapping ones too; back is -end."""
+
+    def of(start, m, kind, loose):
+        end = (start + F.length(m)).cast("int")
+        return F.struct(start.cast("int").alias("start"), (-end).alias("back"), end.alias("end"), m.alias("m"), kind.alias("kind"), loose.alias("loose"))
+
+    def ends(lengths):
+        """Running sums."""
+        none = F.expr("CAST(array() AS array<int>)")
+        return F.aggregate(lengths, none, lambda a, n: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + n))
+
+    matches = F.regexp_extract_all(text, F.lit(ALL), F.lit(0))
+    lengths = F.zip_with(F.split(text, ALL, -1), matches, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+    loose = lambda m, kind: (kind == "card") & ~m.rlike("^(?:" + "|".join(p for k, p in _GROUPED if k == "card") + ")$")
+    first = F.zip_with(matches, F.slice(ends(lengths), F.lit(1), F.size(matches)), lambda m, end: _let(kind_of(m), lambda k: of(end - F.length(m), m, k, loose(m, k))))
+    # one place before the text, as a split leaves out an empty first piece
+    led = F.concat(F.lit("\n"), text)
+    at = _let(ends(F.transform(F.split(led, STARTS, -1), F.length)), lambda a: F.slice(a, 1, F.size(a) - 1))
+
+    def tried(kind, pattern):
+        test = {"card": lambda m: is_card(only_digits(m)), "ssn": lambda m: is_ssn(only_digits(m)), "phone": lambda m: F.lit(True)}[kind]
+        values = F.regexp_extract_all(led, F.lit(f"{STARTS}(?:{pattern}|)"), F.lit(1))
+        return F.zip_with(at, values, lambda a, m: of(a - 1, m, F.when((m != "") & test(m), kind), F.lit(False)))
+
+    more = [tried(*x) for x in EVERYWHERE]
+    return F.filter(F.concat(first, *more), lambda x: x["kind"].isNotNull())
+
+
 def pseudonymise(docs: DataFrame, key: str = "quire") -> DataFrame:
     """docs with the new text, and found: array of (start, end, kind, pseudonym) with places in the old text's code points.
 
-    Only texts with a match are taken apart; the others cost one pass of the pattern.
+    Only texts with a match are taken apart; the others cost one pass of either pattern.
     """
     t = F.col("text")
-    pieces, matches = F.split(t, ALL, -1), F.regexp_extract_all(t, F.lit(ALL), F.lit(0))
-    judged = F.transform(F.when(F.regexp_like(t, F.lit(ALL)), matches).otherwise(F.expr("CAST(array() AS array<string>)")), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    d = docs.withColumn("_matches", judged)
-    some = F.size("_matches") > 0
-    new = F.transform("_matches", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("new")))
-    d = d.withColumn("_new", F.when(some, new))
-    zipped = F.zip_with(pieces, F.col("_new"), lambda p, x: F.struct(p.alias("p"), x.alias("x")))
-    d = d.withColumn("_zip", F.when(some, zipped))
-
-    def walk(s, z):
-        at = s["at"] + F.length(z["p"])
-        end = at + F.coalesce(F.length(z["x"]["m"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), end.alias("end"), z["x"]["kind"].alias("kind"), z["x"]["new"].alias("pseudonym")))
-        return F.struct(end.alias("at"), F.when(z["x"]["kind"].isNotNull(), F.concat(s["all"], one)).otherwise(s["all"]).alias("all"))
-
-    none = F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string,pseudonym:string>>)")
-    found = F.when(some, F.aggregate("_zip", F.struct(F.lit(0).alias("at"), none.alias("all")), walk)["all"]).otherwise(none)
-    text = F.when(some, F.array_join(F.transform("_zip", lambda z: F.concat(z["p"], F.coalesce(z["x"]["new"], F.lit("")))), "")).otherwise(t)
-    return d.withColumn("found", found).withColumn("text", text).drop("_matches", "_new", "_zip")
+    some = F.regexp_like(t, F.lit(ALL)) | F.regexp_like(t, F.lit(STARTS))
+    d = docs.withColumn("_all", F.when(some, _candidates(t)))
+    apart = F.filter("_all", lambda x: ~(x["loose"] & F.exists("_all", lambda y: ~y["loose"] & (y["start"] < x["end"]) & (y["end"] > x["start"]))))
+    d = d.withColumn("_all", F.array_sort(apart))
+    none = F.slice("_all", 1, 0)
+    settled = F.aggregate("_all", none, lambda a, x: F.when(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1)["end"], F.lit(0)) <= x["start"], F.array_append(a, x)).otherwise(a))
+    d = d.withColumn("_all", settled)
+    made = F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("pseudonym")))
+    d = d.withColumn("found", F.coalesce(made, F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string,pseudonym:string>>)"))).drop("_all")
+    end = lambda i: F.coalesce(F.when(i > 0, F.get("found", i - 1)["end"]), F.lit(0))
+    parts = F.transform("found", lambda x, i: F.concat(F.substr(t, end(i) + 1, x["start"] - end(i)), x["pseudonym"]))
+    rest = F.substr(t, end(F.size("found")) + 1, F.length(t))
+    return d.withColumn("text", F.when(F.size("found") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
