@@ -1,20 +1,25 @@
 """Operator 8: documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
 Two sets of sizes a and b with that similarity differ in at most H = (a + b) // 7 shingles. The universe of shingle hashes
-is partitioned into m > H segments, m by size band (a scheme), so at least m - H segments of the two sets agree. A document
-indexes a subset of its segments: the H + 1 largest and some to spare, in an order that depends on content alone, so that
-two linked documents always index an equal segment. Where a band's sets are so small that segments of this kind would be
-empty or alike too often, a scheme has half as many segments and indexes one-deletion neighbourhoods as well; the choice is by
-estimated cost, from the counts of all document sizes.
-
-Keys that are frequent cost pairs. A document with no more frequent keys than it has to spare drops them, which loses no
-link: two linked documents still share another key. Pairs come in waves: a holder of keys with the smallest holder of
-most of them; then with the smallest holders of the others; then, for keys whose holders are still in different components,
-pairs across components. All pairs are verified on the exact sets.
+is partitioned into m segments, m by size band (a scheme). Large sets index whole segments; m is 0.4 of the size, more than
+H, so at least m - H segments of two such sets agree. Small sets (below SMALL shingles) would have segments too poor to tell
+sets apart, so they have about half as many and index the one-deletion neighbourhood of each as well: at least m - H // 2
+segments differ by one shingle at most, and share a key then.
+
+Which segments of a set are indexed is decided by their cost, the number of sets that hold a key, counted over all documents.
+Keys are put in one order for all sets, rare ones first; a set drops its most costly segments, one fewer than the number that
+must agree, and keeps every key up to the most costly one left. By the pigeonhole principle two linked sets still share a
+key: of the segments in which they agree one is kept by the set that keeps fewer, and the other set keeps that key too. Keys
+that no other set holds need not be indexed, so most sets drop out here, and frequent passages are hardly ever indexed.
+
+Pairs come in waves. First each document with the smallest holder of most of its keys. Then, for keys whose holders are in
+different components, pairs across components are tested inside the key's task by size and parity sketch (frequent keys are
+cut into blocks, each pair of blocks a task of its own): first the best pair of two components, then all that passed and still
+join different components. Whatever passes is verified on the exact sets.
 
 Nulls and edge cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five
-words are one shingle; equal texts are one class, found by equal sets; rows of one doc_id are taken as one document; extra
-columns are ignored; an empty table gives an empty table.
+words are one shingle; equal texts are one class, found by equal sets; rows of one doc_id are taken as one document; a null
+doc_id links with nothing but equal sets; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +36,22 @@ from .common import cut, mix, slices, table, word_hashes
 from .components import connected_components
 
 WORDS = 5
-#: Holders from which a key counts as frequent.
-FREQUENT = 32
+#: Sets below this size index one-deletion neighbourhoods.
+SMALL = 88
+#: Segments for each shingle of a large set.
+SEGMENTS = 0.4
 #: Doc_ids (16 bytes each) that may be broadcast.
 MOST_BROADCAST = 1_000_000
 #: Keys in one task's group.
 GROUP_KEYS = 2_000_000
+#: Documents from which keys too frequent for one task are estimated. They rank last without being counted; results don't depend on it.
+SAMPLE = 65_536
+#: Holders of one key that are compared in one block.
+BLOCK = 2048
+#: Rows of blocks in one task.
+BLOCK_ROWS = 60_000
+#: Cost class of keys too frequent to be counted.
+HOT = 255
 
 
 def shingle_sets(column: pa.Array, k: int = WORDS) -> list[np.ndarray]:
@@ -65,22 +80,32 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
         return int(mix(h, 3).sum(dtype=np.uint64).astype(np.int64)), int(mix(h, 4).sum(dtype=np.uint64).astype(np.int64))
 
 
+def sketch_bits(n: int) -> int:
+    return min(4096, 1 << max(10, (8 * n - 1).bit_length()))
+
+
 def parity(h: np.ndarray) -> bytes:
-    """Parity bits of the set's hashes by their low bits: two to four bits for a shingle, 1,024 at least. Sets that differ in d
+    """Parity bits of the set's hashes by their low bits: about eight for a shingle, from 1,024 to 4,096. Sets that differ in d
     shingles differ in at most d bits; a sketch's halves, added, are the sketch of half its length."""
-    bits = 1 << max(10, (2 * len(h) - 1).bit_length())
+    bits = sketch_bits(len(h))
     return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows) at a smaller width."""
+    while x.shape[-1] > width:
+        x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+    return x
+
+
 def parity_distance(a: bytes, b: bytes) -> int:
-    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, n) ^ folded(y, n)).sum())
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sketch): set size, 128-bit key and parity bits of each document's set."""
+    """(doc_id, n_shingles, k1, k2): set size and 128-bit key of each document's set."""
 
     def run(batches):
         tokens.forget()  # workers are used again from stage to stage
@@ -88,50 +113,44 @@ def profile(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 keys = [set_key(h) for h in sets]
-                cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([parity(h) for h in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+                cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n_shingles", "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 class Scheme:
-    """Segments for sets of sizes low to high: m of them, `spare` keys beyond the needed, or one-deletion neighbourhoods."""
+    """m segments for sets of sizes low to high."""
 
-    def __init__(self, number: int, low: int, high: int, count: int):
+    def __init__(self, number: int, low: int, high: int):
         self.number, self.low, self.high = number, low, high
         most = 2 * high // 7
-        self.spare = math.ceil(0.1 * (2 * low // 7 + 1))
-        self.m = most + 1 + self.spare
+        self.deletions = high < SMALL
         half = most // 2 + 1
-        mean = (low + high) / 2
-        # expected cost: keys, and pairs through segments that had to be kept although empty
-        empty = (1 - 1 / self.m) ** mean
-        kept = max(0.0, self.m * empty - self.spare + 2 * math.sqrt(self.m * empty * (1 - empty))) / self.m
-        pairs = count * count / 2 * kept * empty * self.m
-        pairs_half = count * count / 2 * half * (1 - 1 / half) ** mean * (1 + mean / half) if half > 1 else 0.0
-        self.deletions = mean <= 64 and count * (half + mean) + pairs_half < count * (most + 1) + pairs
-        if self.deletions:
-            self.m, self.spare = half, 0
+        self.m = half + math.ceil(0.3 * half) if self.deletions else max(most + 1, math.ceil(SEGMENTS * high))
         self.edges = ((np.arange(self.m + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(self.m - 1)) // np.uint64(self.m)
 
+    def spare(self, a: int) -> int:
+        """Segments that a set of size a may drop: one fewer than must agree with any partner."""
+        differ = (a + min(self.high, 4 * a // 3)) // 7
+        return self.m - (differ // 2 if self.deletions else differ) - 1
+
     def keys(self, h: np.ndarray) -> np.ndarray:
-        a = len(h)
+        """A key for each segment and, with deletions, for each segment without one of its shingles; these hold the segment's
+        number in their last six bits."""
         at = np.searchsorted(h >> np.uint64(32), self.edges)
-        at[-1] = a
+        at[-1] = len(h)
         with np.errstate(over="ignore"):
             each = mix(h, 5)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
             content = total[at[1:]] - total[at[:-1]]
-            size = np.diff(at)
             named = np.arange(self.m, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(self.number << 40)
             keys = mix(content + named, 6)
-            if self.deletions:
-                seg = np.repeat(np.arange(self.m), size)
-                return np.concatenate((keys, mix(content[seg] - each + named[seg], 6)))
-        need = (a + min(self.high, 4 * a // 3)) // 7 + 1 + self.spare
-        if need >= self.m:
-            return keys
-        return keys[np.lexsort((keys, -size))[:need]]
+            if not self.deletions:
+                return keys
+            seg = np.repeat(np.arange(self.m), np.diff(at))
+            keys = np.concatenate((keys, mix(content[seg] - each + named[seg], 6)))
+            return keys & ~np.uint64(63) | np.concatenate((np.arange(self.m), seg)).astype(np.uint64)
 
 
 def band_edges(most: int) -> list[int]:
@@ -142,91 +161,181 @@ def band_edges(most: int) -> list[int]:
     return out
 
 
-def plan_schemes(sizes: dict[int, int]) -> list[Scheme]:
-    edges = band_edges(2 * max(sizes, default=1))
-    schemes = []
-    for j, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        below = 3 * low // 4
-        count = sum(n for size, n in sizes.items() if below <= size < high)
-        schemes.append(Scheme(j, low, high - 1, count))
-    return schemes
+def plan_schemes(most: int) -> list[Scheme]:
+    """Schemes for sets of up to `most` shingles."""
+    edges = band_edges(2 * most)
+    return [Scheme(j, low, high - 1) for j, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+
+
+def schemes_of(a: int, schemes: list[Scheme]) -> list[Scheme]:
+    """A set's own scheme, and the next one if a partner may belong there."""
+    j = next(k for k, s in enumerate(schemes) if a <= s.high)
+    return schemes[j : j + 2] if 4 * a // 3 > schemes[j].high else schemes[j : j + 1]
+
+
+def frequent_keys(docs: DataFrame, schemes: list[Scheme], total: int) -> np.ndarray:
+    """Keys that would fill a quarter of a task's group or more by their share of a bounded sample."""
+    every = max(1, total // SAMPLE)
+    if total <= GROUP_KEYS // 4:  # no key can have that many holders
+        return np.zeros(0, np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                keys = [s.keys(h) for h in shingle_sets(part.column("text")) if len(h) > 2 for s in schemes_of(len(h), schemes)]
+                key, n = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long, n long")
+    found = some.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, GROUP_KEYS // 4 // every)).collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+PACKED = "grp int, docs binary, schemes binary, spares binary, counts binary, keys binary, costs binary"
+_PACKED = [x.split()[0] for x in PACKED.split(", ")]
+
 
+def _packed_rows(to: np.ndarray, entry: np.ndarray, per_entry: tuple[np.ndarray, ...], flat: np.ndarray, cost: np.ndarray) -> list[tuple]:
+    """A row for each value of `to`: documents, schemes and spare segments of its entries, their numbers of keys, keys, costs."""
+    order = np.lexsort((entry, to))
+    to, entry, flat, cost = to[order], entry[order], flat[order], cost[order]
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+    rows = []
+    for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True):
+        who, many = np.unique(entry[s:e], return_counts=True)
+        rows.append((int(to[s]), *(x[who].tobytes() for x in per_entry), many.astype(np.uint32).tobytes(), flat[s:e].tobytes(), cost[s:e].tobytes()))
+    return rows
 
-def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int) -> DataFrame:
-    """Packed keys: for each batch and group one row of arrays (documents, set keys, schemes, counts, keys)."""
-    lows = np.array([s.low for s in schemes])
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_PACKED)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], _PACKED)
+
+
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """(document, scheme, spare, key, cost) for each key."""
+    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
+    many = read("counts", np.uint32)
+    return *(np.repeat(read(c, t), many) for c, t in (("docs", np.int64), ("schemes", np.uint8), ("spares", np.uint32))), read("keys", np.uint64), read("costs", np.uint8)
+
+
+def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray) -> DataFrame:
+    """Packed keys by group of keys; hot ones, which aren't counted, in groups of their own (below 0)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, most=4 << 20):
-                yield from packed(part)
+                rows = packed(part)
+                if rows:
+                    yield _arrow(rows)
 
     def packed(part):
-        doc, own, scheme, keys, smallest = [], [], [], [], {}
+        doc, number, spare, keys = [], [], [], []
         for sub in slices(part):
             for d, h in zip(sub.column("doc_id").to_pylist(), shingle_sets(sub.column("text")), strict=True):
                 if len(h) < 3 or d is None:  # smaller sets link with equal sets only
                     continue
-                key = set_key(h)[0]
-                if d >= smallest.get(key, 2**63 - 1):  # a copy in this slice, and not the smallest doc_id
-                    continue
-                smallest[key] = d
-                j = int(np.searchsorted(lows, len(h), "right")) - 1
-                for s in (schemes[j], schemes[j + 1]) if 4 * len(h) // 3 >= schemes[j + 1].low else (schemes[j],):
-                    k = s.keys(h)
-                    doc.append(d), own.append(key), scheme.append(s.number), keys.append(k)
+                for s in schemes_of(len(h), schemes):
+                    doc.append(d), number.append(s.number), spare.append(s.spare(len(h))), keys.append(s.keys(h))
         if not keys:
-            return
-        n = np.array([len(k) for k in keys])
-        doc, own, scheme, entry, flat = np.array(doc, np.int64), np.array(own, np.int64), np.array(scheme, np.uint8), np.repeat(np.arange(len(keys)), n), np.concatenate(keys)
+            return []
+        entry, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
         group = ((flat >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(group, kind="stable")
-        group, entry, flat = group[order], entry[order], flat[order].astype(np.uint32)
-        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        rows = []
-        for s, e in zip(cuts, np.append(cuts[1:], len(group)), strict=True):
-            who, first, many = np.unique(entry[s:e], return_index=True, return_counts=True)
-            rows.append((int(group[s]), doc[who].tobytes(), own[who].tobytes(), scheme[who].tobytes(), many.astype(np.uint32).tobytes(), flat[s:e].tobytes()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["grp", "docs", "sets", "schemes", "counts", "keys"])
+        cost = np.zeros(len(flat), np.uint8)
+        if len(hot):
+            often = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
+            group[often], cost[often] = -1 - group[often], HOT
+        return _packed_rows(group, entry, (np.array(doc, np.int64), np.array(number, np.uint8), np.array(spare, np.uint32)), flat, cost)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "grp int, docs binary, sets binary, schemes binary, counts binary, keys binary")
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
-def postings(packed: DataFrame) -> DataFrame:
-    """(key, doc, scheme, leader, n) for every key that different sets share; of equal sets only the smallest doc_id."""
+def costed(packed: DataFrame, groups: int) -> DataFrame:
+    """Keys that several sets hold, with their cost class (a logarithm of the number of holders), packed by group of documents."""
 
     def run(group: pa.Table) -> pa.Table:
-        read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
-        many = read("counts", np.uint32)
-        keys = read("keys", np.uint32)
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        same = k[1:] == k[:-1]
-        shared = np.zeros(len(k), bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        order, k = order[shared], k[shared]
-        entry = np.repeat(np.arange(len(many), dtype=np.int32), many)[order]
-        doc, own, scheme = read("docs", np.int64)[entry], read("sets", np.int64)[entry], read("schemes", np.uint8)[entry]
-        order = np.lexsort((doc, own, k))
-        k, doc, own, scheme = k[order], doc[order], own[order], scheme[order]
-        first = np.concatenate(([True], (k[1:] != k[:-1]) | (own[1:] != own[:-1]))) if len(k) else np.zeros(0, bool)
-        k, doc, scheme = k[first], doc[first], scheme[first]
-        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-        n = np.diff(np.append(at, len(k)))
-        leader = np.minimum.reduceat(doc, at) if len(k) else doc
-        rep = np.repeat(np.arange(len(n)), n)
-        keep = n[rep] > 1
-        grp = int(group.column("grp")[0].as_py())
-        return pa.table({"key": (np.int64(grp) << np.int64(32)) + k[keep].astype(np.int64), "doc": doc[keep], "scheme": scheme[keep].astype(np.int32), "leader": leader[rep][keep], "n": n[rep][keep].astype(np.int64)})
-
-    return packed.groupBy("grp").applyInArrow(run, "key long, doc long, scheme int, leader long, n long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. Sizes and parity sketches exclude most others before the sets are read."""
-    side = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        doc, scheme, spare, key, cost = _unpacked(group)
+        if group.column("grp")[0].as_py() >= 0:
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            shared = np.zeros(len(key), bool)
+            shared[order[1:]] |= same
+            shared[order[:-1]] |= same
+            doc, scheme, spare, key = doc[shared], scheme[shared], spare[shared], key[shared]
+            order = np.lexsort((doc, key))
+            doc, scheme, spare, key = doc[order], scheme[order], spare[order], key[order]
+            once = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))[: len(key)]  # repeated rows of a document
+            doc, scheme, spare, key = doc[once], scheme[once], spare[once], key[once]
+            _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+            cost = np.minimum(8 * np.log2(n), HOT - 1).astype(np.uint8)[at]
+            doc, scheme, spare, key, cost = (x[n[at] > 1] for x in (doc, scheme, spare, key, cost))
+        order = np.lexsort((scheme, doc))
+        doc, scheme, spare, key, cost = doc[order], scheme[order], spare[order], key[order], cost[order]
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (scheme[1:] != scheme[:-1])))[: len(doc)]
+        entry, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        to = (mix(doc.view(np.uint64), 11) % np.uint64(groups)).astype(np.int32)
+        return pa.Table.from_batches([_arrow(_packed_rows(to, entry, (doc[first], scheme[first], spare[first]), key, cost))])
+
+    return packed.groupBy("grp").applyInArrow(run, PACKED)
+
+
+def kept_keys(doc: np.ndarray, scheme: np.ndarray, spare: np.ndarray, key: np.ndarray, cost: np.ndarray, deletions: np.ndarray) -> np.ndarray:
+    """Which keys stay: of each document and scheme all up to the most costly one of the segments left."""
+    order = np.lexsort((key, cost))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key))
+    order = np.lexsort((scheme, doc))
+    d, s = doc[order], scheme[order]
+    entry = np.empty(len(key), np.int64)
+    entry[order] = np.cumsum(np.concatenate(([0], (d[1:] != d[:-1]) | (s[1:] != s[:-1])))[: len(d)])
+    segment = np.where(deletions[scheme], (key & np.uint64(63)).astype(np.int64), rank + 64)
+    order = np.lexsort((rank, segment, entry))
+    e, s = entry[order], segment[order]
+    top = order[np.concatenate(((e[1:] != e[:-1]) | (s[1:] != s[:-1]), [True]))[: len(order)]]  # each segment's most costly key
+    top = top[np.lexsort((-rank[top], entry[top]))]
+    e = entry[top]
+    first = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))[: len(e)])
+    place = np.arange(len(e)) - np.repeat(first, np.diff(np.append(first, len(e))))
+    edge = np.full(int(entry.max(initial=-1)) + 1, -1)
+    at = place == spare[top]
+    edge[e[at]] = rank[top[at]]
+    return rank <= edge[entry]
+
+
+def postings(costs: DataFrame, schemes: list[Scheme]) -> DataFrame:
+    """(key, doc): the keys that documents index."""
+    deletions = np.array([s.deletions for s in schemes])
+
+    def run(group: pa.Table) -> pa.Table:
+        doc, scheme, spare, key, cost = _unpacked(group)
+        keep = kept_keys(doc, scheme, spare, key, cost, deletions)
+        return pa.table({"key": key[keep].view(np.int64), "doc": doc[keep]})
+
+    return costs.groupBy("grp").applyInArrow(run, "key long, doc long")
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids for a join: broadcast if they are few, so that texts stay where they are read; beyond it Spark shuffles."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def exact_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n, sketch, hashes) of the documents in ids."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column("text"))
+                cols = [pa.array([len(h) for h in sets], pa.int64()), pa.array([parity(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "n", "sketch", "hashes"])
+
+    return docs.select("doc_id", "text").join(few(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, sketch binary, hashes binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked. Sizes and sketches exclude most others before the sets are read."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     p = p.where(4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
 
@@ -237,12 +346,6 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     p = cut(p.mapInArrow(close, "a long, b long"))
-    ids = p.select(F.col("a").alias("doc_id")).union(p.select(F.col("b").alias("doc_id"))).distinct()
-
-    def sets(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h.tobytes() for h in shingle_sets(part.column("text"))], pa.binary())], ["doc_id", "hashes"])
 
     def check(batches):
         for batch in batches:
@@ -254,49 +357,105 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
                 good.append(100 * inter >= 75 * (len(both) - inter))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = cut(ids)
-    ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids  # texts stay where they are read; beyond it Spark shuffles
-    found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, hashes binary")
-    found = cut(found)
+    ids = few(p.select(F.col("a").alias("doc_id")).union(p.select(F.col("b").alias("doc_id"))).distinct())
+    found = sets.join(ids, "doc_id", "left_semi")
     member = p.join(found.select(F.col("doc_id").alias("b"), F.col("hashes").alias("h_b")), "b")
     return cut(member.join(found.select(F.col("doc_id").alias("a"), F.col("hashes").alias("h_a")), "a").select("a", "b", "h_a", "h_b").mapInArrow(check, "a long, b long"))
 
 
+def close_pairs(low: np.ndarray, high: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: list[np.ndarray], chunk: int = 1 << 20):
+    """(a, b, score) in parts: row a against the rows low[a] to high[a], for pairs of different components whose sizes and
+    sketches allow a link."""
+    wide = np.array([len(x) for x in sketch])
+    held = np.zeros((len(sketch), wide.max(initial=1)), np.uint64)
+    for k, x in enumerate(sketch):
+        held[k, : len(x)] = x
+    many = np.maximum(high - low, 0)
+    ends = np.cumsum(many)
+    r = 0
+    while r < len(many):
+        to = max(r + 1, int(np.searchsorted(ends, (ends[r - 1] if r else 0) + chunk, "right")))
+        m = many[r:to]
+        a = np.repeat(np.arange(r, to), m)
+        b = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + low[a]
+        some = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+        a, b = a[some], b[some]
+        r = to
+        for s in range(0, len(a), 1 << 14):
+            e, f = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
+            far = np.zeros(len(e), np.int64)
+            for p, q in np.unique(np.stack((wide[e], wide[f]), 1), axis=0):
+                k = (wide[e] == p) & (wide[f] == q)
+                far[k] = np.bitwise_count(folded(held[e[k], :p], min(p, q)) ^ folded(held[f[k], :q], min(p, q))).sum(1, dtype=np.int64)
+            both = n[e] + n[f]
+            good = far <= both // 7
+            yield e[good], f[good], far[good] / both[good]
+
+
+def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be linked; best: one for two components of a block."""
+    rows = posts.join(comps, posts.doc == comps.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x <> y")
+    rows = cut(rows.join(mixed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "key"))
+    many = rows.agg(F.sum("blocks")).first()[0] or 0
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BLOCK_ROWS))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.join(sets.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "n", "sketch")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+
+    def run(group: pa.Table) -> pa.Table:
+        key, i, j, block, doc, comp, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "block", "doc", "comp", "n"))
+        order = np.lexsort((doc, block, j, i, key))
+        key, i, j, block, doc, comp, n = (x[order] for x in (key, i, j, block, doc, comp, n))
+        sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sketch").combine_chunks().take(pa.array(order))]
+        at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+        size = np.diff(np.append(at, len(key)))
+        high = np.repeat(at + size, size)
+        second = (i < j) & (block == j)
+        first = np.repeat(at + np.add.reduceat((~second).astype(np.int64), at), size)  # where the second block begins
+        low = np.where(i == j, np.arange(len(key)) + 1, np.where(second, high, first))
+        found = []
+        for a, b, score in close_pairs(low, high, n, comp, sketch):
+            ends, sides = (np.sort(np.stack((x[a], x[b]), 1), 1) for x in (doc, comp))
+            found.append(np.column_stack((ends, sides, (score * 1e9).astype(np.int64))))
+        found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
+        if best and len(found):
+            found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 4], found[:, 3], found[:, 2]))]
+            found = found[np.concatenate(([True], (found[1:, 2:4] != found[:-1, 2:4]).any(1)))]
+        pairs = np.unique(found[:, :2], axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return cut(rows.groupBy("part").applyInArrow(run, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     docs = docs.select("doc_id", "text")
     sizes = cut(profile(docs))
-    by_size = {int(r[0]): int(r[1]) for r in sizes.groupBy("n_shingles").count().collect()}  # bounded by the longest text
-    schemes = plan_schemes({s: n for s, n in by_size.items() if s})
-    total = sum(s * n for s, n in by_size.items())
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_KEYS))
-    posts = cut(postings(keys_of(docs, schemes, groups)))
-    # first wave: each document with the leader that shares most keys with it; second: its other leaders, if not yet linked
+    # equal sets are one class, named by its smallest doc_id; only that one is indexed
+    one = cut(sizes.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("class")))
+    copies = sizes.where("doc_id is not null").join(one, ["n_shingles", "k1", "k2"]).groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("class")).alias("copy")).where("copy").select("doc_id")
+    alone = docs.join(few(copies), "doc_id", "left_anti")
+    total, words, most = sizes.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0)), F.coalesce(F.max("n_shingles"), F.lit(0))).first()
+    schemes = plan_schemes(max(most, 1))
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-words // GROUP_KEYS))
+    hot = frequent_keys(alone, schemes, total)
+    posts = postings(costed(keys_of(alone, schemes, groups, hot), groups), schemes)
+    posts = cut(posts)
+    held = posts.groupBy("key").agg(F.min("doc").alias("leader"), F.count("*").alias("held")).where("held > 1").select("key", "leader")
+    posts = cut(posts.join(held, "key"))
+    sets = cut(exact_sets(docs, posts.select(F.col("doc").alias("doc_id")).distinct()))
     stars = posts.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("n"))
-    stars = cut(stars)
-    best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
-    links = verified(best, docs, sizes)
-    comp = connected_components(links)
-    of = lambda c: comp.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
-    rest = stars.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = cut(rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"))
-    links = links.union(verified(rest, docs, sizes))
-    first = connected_components(links)
-    spare = F.array(*[F.lit(s.spare) for s in schemes])
-    frequent = posts.where(F.col("n") > FREQUENT).groupBy("doc", "scheme").agg(F.count("*").alias("_often"))
-    full = frequent.where(F.col("_often") > F.element_at(spare, F.col("scheme") + 1)).select("doc", "scheme")
-    rare = posts.where(F.col("n") <= FREQUENT).unionByName(posts.where(F.col("n") > FREQUENT).join(full, ["doc", "scheme"], "left_semi").select(posts.columns))
-    rare = rare.join(first, rare.doc == first.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed = rare.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = cut(rare.join(mixed, "key", "left_semi"))
-    left, right = rest.select("key", F.col("doc").alias("a"), F.col("comp").alias("ca")), rest.select("key", F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(verified(pairs, docs, sizes))
-    # equal sets are one class, named by its smallest doc_id
-    one = sizes.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("class"))
-    comps = connected_components(links)
+    links = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), sets)
+    comps = cut(connected_components(links))
+    posts = posts.select("key", "doc")
+    for best in (True, False):
+        links = links.union(verified(across(posts, comps, sets, best), sets))
+        comps = cut(connected_components(links))
     one = one.join(comps, one["class"] == comps.id, "left").select("n_shingles", "k1", "k2", F.coalesce("component", "class").alias("component"))
-    out = sizes.drop("sketch").join(one, ["n_shingles", "k1", "k2"], "left")
+    out = sizes.join(one, ["n_shingles", "k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -254,7 +254,7 @@ def test_ngram_join(docs):
     check_join(docs)
 
 
-def test_ngram_join_of_near_copies(spark):
+def test_ngram_join_of_near_copies(spark, monkeypatch):
     """Families of copies with changed words, at all sizes and near the limit, and a passage that all documents share."""
     rng = np.random.default_rng(3)
     shared = " ".join(f"p{i}" for i in range(40))
@@ -270,32 +270,40 @@ def test_ngram_join_of_near_copies(spark):
                 out.append(" ".join(w) + (" " + shared if rng.random() < 0.5 else ""))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(out)], "doc_id long, text string")
     assert check_join(docs) > 100
-    old = ngram_join.FREQUENT
-    ngram_join.FREQUENT = 3
-    try:
-        check_join(docs)
-    finally:
-        ngram_join.FREQUENT = old
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)  # keys are cut into blocks
+    monkeypatch.setattr(ngram_join, "GROUP_KEYS", 100)  # many keys are too frequent to be counted
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 0)
+    check_join(docs)
 
 
-def test_schemes_find_all_within_the_bound():
-    """Two sets within H differences share an indexed key, also when either drops as many keys as it has to spare."""
+def test_kept_keys_meet_within_the_bound():
+    """Two sets within H differences share a key that both keep, whatever the keys cost."""
     rng = np.random.default_rng(8)
-    schemes = ngram_join.plan_schemes({10: 10**6, 30: 10**6, 200: 10**6, 2000: 1000})
-    assert any(s.deletions for s in schemes[2:8]) and not all(s.deletions for s in schemes)
-    for _ in range(400):
-        a = int(rng.choice([3, 4, 6, 7, 9, 14, 15, 27, 48, 60, 157, 400]))
-        both = rng.integers(0, 2**63, 2 * a).astype(np.uint64)
+    schemes = ngram_join.plan_schemes(2000)
+    deletions = np.array([s.deletions for s in schemes])
+    assert deletions.any() and not deletions.all()
+    for _ in range(1500):
+        a = int(rng.choice([3, 4, 6, 7, 9, 14, 15, 27, 48, 60, 87, 90, 157, 400]))
+        both = rng.integers(0, 2**63, 2 * a).astype(np.uint64) * np.uint64(2)
         b = int(rng.integers(a, 4 * a // 3 + 1))
         h = (a + b) // 7
         common = (a + b - h + 1) // 2
         if common > a:
             continue
         x, y = np.sort(both[:a]), np.sort(np.concatenate((both[:common], rng.integers(0, 2**63, b - common).astype(np.uint64))))
-        j = next(k for k, s in enumerate(schemes) if s.low <= b <= s.high)
-        s = schemes[j]
-        assert schemes[j].low <= 4 * a // 3
-        assert len(np.intersect1d(s.keys(x), s.keys(y))) > s.spare or len(np.intersect1d(s.keys(x), s.keys(y))) > 0
+        s = next(s for s in schemes if b <= s.high)
+        assert s in ngram_join.schemes_of(a, schemes) and s in ngram_join.schemes_of(b, schemes)
+        keys = s.keys(x), s.keys(y)
+        shared = np.intersect1d(*keys)
+        costs = {k: rng.integers(1, 6) + 5 * (rng.random() < 0.5) for k in shared.tolist()}  # what they share costs most
+        kept = []
+        for which, size in zip(keys, (a, b), strict=True):
+            k = np.array([v for v in np.unique(which).tolist() if v in costs or rng.random() < 0.3], np.uint64)
+            cost = np.array([costs.get(v, 1) for v in k.tolist()], np.uint8)
+            n = len(k)
+            stay = ngram_join.kept_keys(np.zeros(n, np.int64), np.full(n, s.number, np.uint8), np.full(n, s.spare(size), np.uint32), k, cost, deletions)
+            kept.append(k[stay])
+        assert len(np.intersect1d(*kept))
 
 
 def test_toxicity(spark):
