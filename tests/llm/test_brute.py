@@ -11,7 +11,7 @@ import pytest
 
 from quire.llm import line_dedup, media, mixing, ngram_join, packing, repair, tokens, toxicity
 
-from .helpers import WORD, ascii_lower, odd_documents, table_of, words
+from .helpers import LINE, WORD, ascii_lower, odd_documents, table_of, words
 
 
 @pytest.fixture(scope="module", params=["small", "odd", "empty"])
@@ -72,6 +72,15 @@ def test_line_dedup(docs):
         assert (got[d].text or "", got[d].n_lines, got[d].n_dropped) == ("\n".join(keep), len(lines), len(lines) - len(keep))
 
 
+def test_line_dedup_of_null_and_clashing_ids(spark):
+    shared = LINE
+    rows = [(None, f"{shared}\nalpha"), (None, f"beta\n{shared}"), (7, f"{shared}\nown"), (7, f"first\n{shared}\n{shared}"), (7, f"first\n{shared}\n{shared}"), (8, shared), (9, f"x\n {shared.upper()}"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS dropped", "2 AS n_lines", "3 AS n_dropped", "4 AS copy", "5 AS gone")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(docs).collect()), key=repr)
+    want = [(None, "alpha", 2, 1), (None, "beta", 2, 1), (7, "own", 2, 1), (7, "first", 3, 2), (7, "first", 3, 2), (8, "", 1, 1), (9, f"x\n {shared.upper()}", 2, 0), (9, None, 1, 0)]
+    assert got == sorted(want, key=repr)
+
+
 def test_line_dedup_sql(spark, duck):
     from tests.conftest import SF
 
