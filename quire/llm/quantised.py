@@ -1,18 +1,21 @@
 """Operator 3: near-duplicate embeddings by product quantisation.
 
-Coarse centroids give inverted lists within each label; a list holds residual codes, one byte for each subspace. A vector
-probes its own list and every list whose bisecting plane is near enough for a linked vector to lie behind it; distances come
-from lookup tables (asymmetric: exact query, coded entry), and an entry's stored coding error makes the table test lossless;
-what is left is reranked by exact cosine in double precision. Lists are dealt in blocks, each block of a list against each
-block of its queries, so that a hot label is many tasks.
+Coarse centroids, and finer ones of the residuals where a label is large, give inverted lists within each label; a list holds
+residual codes, one byte for each subspace. A vector probes its own list and every list whose bisecting plane is near enough
+for a linked vector to lie behind it; distances come from lookup tables (asymmetric: exact query, coded entry), and an
+entry's stored coding error makes the table test lossless; what is left is reranked by exact cosine in double precision.
+Lists are dealt in blocks, each block of a list against each block of its queries, so that a hot label is many tasks. A pair
+counts for both ends, also where only one of them probes the other's list.
 
 Centroids and codebooks are fitted on a bounded sample (`most_sample` vectors in the order of a hash); every vector is
-indexed and every vector is a query. `margin` is the share of the link radius that a probe covers: 1 loses nothing by
-geometry; the default covers over three standard deviations of a displacement in 64 dimensions (recall is tested).
-
-Nulls and edge cases: vectors that are null, zero, of another length than the most common one, or hold null or non-finite
-components, and vectors with a null label, link with nothing; equal vectors are one entry with a count; repeated vec_ids are
-taken as one vector; extra columns are ignored; an empty table gives an empty table.
+indexed and every vector is a query. Lists grow in number with the largest label, up to 1,024 coarse ones times 256 finer ones.
+`margin` is the share of the link radius that a probe covers: 1 loses nothing by geometry. Its default comes from the data:
+`DEVIATIONS` standard deviations of a displacement in as many dimensions as the sample's residuals spread over, so that it is
+1 up to some 16 dimensions (recall is tested from 4 to 256).
+
+Nulls and edge cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, link
+with nothing; vectors link within one length only; equal vectors are one entry with a count; repeated vec_ids are taken as
+one vector; labels may be of any type; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from .common import cut, table
 from .components import connected_components
 
 BLOCK = 4096
+#: Pairs whose vectors a task holds at once for the exact cosine.
+PAIRS = 1 << 15
+DEVIATIONS = 4.0
+MOST_LISTS, MOST_FINER = 1024, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -50,30 +57,51 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, lists: int, parts: int = 8, codes: int = 256):
+    def __init__(self, sample: np.ndarray, lists: int, finer: int = 1, parts: int = 8, codes: int = 256):
         self.coarse = kmeans(sample, lists)
         residual = sample - self.coarse[nearest(sample, self.coarse)[0]]
+        self.finer = kmeans(residual, finer)
+        spread = np.linalg.eigvalsh(residual.T @ residual)
+        self.dimensions = float(spread.sum() ** 2 / max((spread**2).sum(), 1e-300)) if spread.sum() > 1e-9 else 1.0
         self.cuts = np.linspace(0, sample.shape[1], min(parts, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], codes, 5) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's list."""
+        at = nearest(x, self.coarse)[0]
+        return at * len(self.finer) + nearest(x - self.coarse[at], self.finer)[0]
+
     def code(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals and the coding errors."""
-        r = x - self.coarse[at]
+        r = x - self.coarse[at // len(self.finer)]
         codes = np.stack([nearest(r[:, a:b], c)[0] for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], 1).astype(np.uint8)
         back = np.concatenate([c[codes[:, j]] for j, c in enumerate(self.books)], 1)
         return codes, np.sqrt(((r - back) ** 2).sum(1))
 
+    @staticmethod
+    def _near(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(i, c): row i's nearest centroid, and others whose bisecting plane with it is within `reach` of the row."""
+        d = distances(x, centroids)
+        own, all_of = d.argmin(1), np.arange(len(d))
+        apart = np.sqrt(distances(centroids, centroids))[own]
+        gap = (d - d[all_of, own][:, None]) / np.maximum(2 * apart, 1e-12)
+        gap[all_of, own] = 0
+        return np.nonzero(gap <= reach)
+
     def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
         """Lists that can hold a vector within `reach` of x in the direction of their centroid."""
-        d = distances(x, self.coarse)
-        own = d.argmin(1)
-        apart = np.sqrt(distances(self.coarse, self.coarse))[own]
-        gap = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-        gap[np.arange(len(d)), own] = 0
-        return [np.flatnonzero(g <= reach).astype(np.int32) for g in gap]
+        out = []
+        for s in range(0, len(x), 256):
+            v = x[s : s + 256]
+            i, c = self._near(v, self.coarse, reach)
+            if len(self.finer) > 1:
+                j, f = self._near(v[i] - self.coarse[c], self.finer, reach)
+                i, c = i[j], c[j] * len(self.finer) + f
+            out += np.split(c.astype(np.int32), np.cumsum(np.bincount(i, minlength=len(v)))[:-1])
+        return out
 
     def tables(self, q: np.ndarray, at: int) -> list[np.ndarray]:
-        r = q - self.coarse[at]
+        r = q - self.coarse[at // len(self.finer)]
         return [distances(r[:, a:b], c) for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
 
 
@@ -90,48 +118,51 @@ def _raw(batches):
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable vectors with their class's key, and one row for each class of equal vectors: vec_id (smallest), many, raw."""
+    """Usable vectors with their class's key, and one row for each class of equal vectors: vec_id (smallest), many, raw. grp is
+    the label with the vector's length; shorter vectors are filled up with zeros, which changes no cosine."""
     e = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     good &= ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    v = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "label", e.alias("embedding"), F.coalesce(good, F.lit(False)).alias("good"))
+    v = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", F.concat_ws(":", F.size("embedding"), F.col("label").cast("string")).alias("grp"), e.alias("embedding"), F.coalesce(good, F.lit(False)).alias("good"))
     v = v.where("good").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     v = v.where(F.exists("embedding", lambda x: x != 0)).drop("good")
-    v = cut(v.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding"), "dim": F.size("embedding")}))
-    usual = v.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    v = v.where(F.col("dim") == (usual[0] if usual else 0))
-    one = v.groupBy("label", "k1", "k2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"), F.countDistinct("vec_id").alias("many"))
-    one = one.select("label", "vec_id", "many", "embedding").mapInArrow(_raw, "label int, vec_id long, many long, raw binary")
-    return v.select("vec_id", "label", "k1", "k2").distinct(), cut(one)
+    v = cut(v.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")}))
+    longest = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    one = v.groupBy("grp", "k1", "k2").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("vec_id"), F.countDistinct("vec_id").alias("many"))
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("embedding")))
+    one = one.select("grp", "vec_id", "many", filled.alias("embedding")).mapInArrow(_raw, "grp string, vec_id long, many long, raw binary")
+    return v.select("vec_id", "grp", "k1", "k2").distinct(), cut(one)
 
 
-def links(one: DataFrame, least: float, margin: float, most_sample: int, list_size: int) -> DataFrame:
+def links(one: DataFrame, least: float, margin: float | None, most_sample: int, list_size: int) -> DataFrame:
     """(id, n, to): links counted for id in one block, and the smallest id that block's links join it to."""
-    largest = one.groupBy("label").count().agg(F.max("count")).first()[0]
+    largest = one.groupBy("grp").count().agg(F.max("count")).first()[0]
     if not largest:
         return one.sparkSession.createDataFrame([], "id long, n long, to long")
     sample = unit([bytes(r[0]) for r in one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_sample).select("raw").collect()])
-    q = Quantiser(sample, max(1, min(1024, -(-largest // list_size))))
+    lists = -(-largest // list_size)
+    q = Quantiser(sample, max(1, min(MOST_LISTS, lists)), max(1, min(MOST_FINER, lists // MOST_LISTS)))
     radius = float(np.sqrt(2 - 2 * least))
+    reach = radius * (min(1.0, DEVIATIONS / np.sqrt(q.dimensions)) if margin is None else margin) + 1e-9
 
     def index(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = unit(batch.column("raw").to_pylist())
-            at = nearest(x, q.coarse)[0]
-            codes, error = q.code(x, at)
-            cols = [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([p.tolist() for p in q.probes(x, margin * radius)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "list", "codes", "error", "probes"])
-
-    indexed = cut(one.mapInArrow(index, "label int, vec_id long, many long, raw binary, list int, codes binary, error double, probes array<int>"))
-    blocks = indexed.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = unit(part.column("raw").to_pylist())
+                at = q.place(x)
+                codes, error = q.code(x, at)
+                cols = [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(q.probes(x, reach), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "list", "codes", "error", "probes"])
+
+    indexed = cut(one.mapInArrow(index, "grp string, vec_id long, many long, raw binary, list int, codes binary, error double, probes array<int>"))
+    blocks = indexed.groupBy("grp", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col("blocks").cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    entries = indexed.join(blocks, ["label", "list"]).withColumn("block", block(1))
-    entries = entries.select("label", "list", "block", every.alias("q_block"), "vec_id", "many", "raw", "codes", "error")
-    asks = indexed.select("label", F.explode("probes").alias("list"), "vec_id", "raw").join(blocks, ["label", "list"]).withColumn("q_block", block(2))
-    asks = asks.select(F.col("label").alias("label"), F.col("list").alias("list"), every.alias("block"), "q_block", F.col("vec_id").alias("vec_id"), F.col("raw").alias("raw"))
+    entries = indexed.join(blocks, ["grp", "list"]).withColumn("block", block(1))
+    entries = entries.select("grp", "list", "block", every.alias("q_block"), "vec_id", "many", "raw", "codes", "error", "probes")
+    asks = indexed.select("grp", F.col("list").alias("own"), F.explode("probes").alias("list"), "vec_id", "many", "raw").join(blocks, ["grp", "list"]).withColumn("q_block", block(2))
+    asks = asks.select(*[F.col(c).alias(c) for c in ("grp", "list", "q_block", "vec_id", "many", "own", "raw")], every.alias("block"))
 
     def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
         found_n, found_id, found_to = [], [], []
@@ -140,15 +171,21 @@ def links(one: DataFrame, least: float, margin: float, most_sample: int, list_si
             x, ids, many = unit(held.column("raw").to_pylist()), held.column("vec_id").to_numpy(), held.column("many").to_numpy()
             codes = np.frombuffer(b"".join(held.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
             bound = (radius + held.column("error").to_numpy() + 1e-6) ** 2
-            q_ids = asked.column("vec_id").to_numpy()
-            n, left, right = np.zeros(len(q_ids), np.int64), [], []
+            q_ids, q_many, q_own = (asked.column(c).to_numpy() for c in ("vec_id", "many", "own"))
+            probes = held.column("probes").combine_chunks()
+            probed = np.repeat(np.arange(len(ids)), np.diff(probes.offsets.to_numpy())) << 32 | probes.flatten().to_numpy()  # sorted
+            n, back, left, right = np.zeros(len(q_ids), np.int64), np.zeros(len(ids), np.int64), [], []
             for i in range(0, len(q_ids), 512):
                 v = unit(asked.column("raw").slice(i, 512).to_pylist())
                 total = sum(t[:, codes[:, j]] for j, t in enumerate(q.tables(v, at)))
                 a, b = np.nonzero(total <= bound)
-                good = (np.einsum("ij,ij->i", v[a], x[b]) >= least) & (q_ids[a + i] != ids[b])
+                cosine = [np.einsum("ij,ij->i", v[a[k : k + PAIRS]], x[b[k : k + PAIRS]]) for k in range(0, len(a), PAIRS)]
+                good = (np.concatenate(cosine) >= least) & (q_ids[a + i] != ids[b]) if cosine else np.zeros(0, bool)
                 a, b = a[good] + i, b[good]
                 np.add.at(n, a, many[b])
+                wanted = b << 32 | q_own[a]  # does the entry probe the asking vector's list, and so count this link itself?
+                alone = probed[np.minimum(np.searchsorted(probed, wanted), len(probed) - 1)] != wanted
+                np.add.at(back, b[alone], q_many[a[alone]])
                 left.append(q_ids[a]), right.append(ids[b])
             a, b = np.concatenate(left), np.concatenate(right)
             names, where = np.unique(np.concatenate((a, b)), return_inverse=True)
@@ -161,25 +198,25 @@ def links(one: DataFrame, least: float, margin: float, most_sample: int, list_si
                 if (new == low).all():
                     break
                 low = new
-            some = n > 0
-            found_id, found_n, found_to = [q_ids[some], names], [n[some], np.zeros(len(names), np.int64)], [q_ids[some], names[low]]
+            some, more = n > 0, back > 0
+            found_id, found_n, found_to = [q_ids[some], ids[more], names], [n[some], back[more], np.zeros(len(names), np.int64)], [q_ids[some], ids[more], names[low]]
         flat = lambda p: pa.array(np.concatenate(p) if p else np.zeros(0, np.int64), pa.int64())
         return pa.table({"id": flat(found_id), "n": flat(found_n), "to": flat(found_to)})
 
-    keys = ("label", "list", "block", "q_block")
+    keys = ("grp", "list", "block", "q_block")
     return cut(asks.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInArrow(compare, "id long, n long, to long"))
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, margin: float = 0.45, most_sample: int = 8192, list_size: int = 128) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, margin: float | None = None, most_sample: int = 8192, list_size: int = 128) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
     usable, one = classes(vectors)
     found = links(one, least, margin, most_sample, list_size)
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     sums = found.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("_n"))
-    of_class = usable.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))
+    of_class = usable.groupBy("grp", "k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("many"))
     of_class = of_class.join(sums, F.col("first") == F.col("_id"), "left").join(comps, F.col("first") == comps.id, "left")
-    of_class = of_class.select("label", "k1", "k2", (F.coalesce("_n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
-    own = usable.join(of_class, ["label", "k1", "k2"]).select(F.col("vec_id").alias("_v"), "n_links", "component_id")
+    of_class = of_class.select("grp", "k1", "k2", (F.coalesce("_n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
+    own = usable.join(of_class, ["grp", "k1", "k2"]).select(F.col("vec_id").alias("_v"), "n_links", "component_id")
     out = vectors.select("vec_id").join(own, F.col("vec_id") == F.col("_v"), "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
