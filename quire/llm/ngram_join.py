@@ -191,32 +191,34 @@ def frequent_keys(docs: DataFrame, schemes: list[Scheme], total: int) -> np.ndar
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-PACKED = "grp int, docs binary, schemes binary, spares binary, counts binary, keys binary, costs binary"
+PACKED = "grp int, high int, docs binary, schemes binary, spares binary, counts binary, keys binary, costs binary"
 _PACKED = [x.split()[0] for x in PACKED.split(", ")]
 
 
-def _packed_rows(to: np.ndarray, entry: np.ndarray, per_entry: tuple[np.ndarray, ...], flat: np.ndarray, cost: np.ndarray) -> list[tuple]:
-    """A row for each value of `to`: documents, schemes and spare segments of its entries, their numbers of keys, keys, costs."""
+def _packed_rows(to: np.ndarray, high: np.ndarray, entry: np.ndarray, per_entry: tuple[np.ndarray, ...], flat: np.ndarray, cost: np.ndarray) -> list[tuple]:
+    """A row for each value of `to` (all of whose keys are of one group `high`): documents, schemes and spare segments of its
+    entries, their numbers of keys, the keys' low halves and their costs."""
     order = np.lexsort((entry, to))
-    to, entry, flat, cost = to[order], entry[order], flat[order], cost[order]
+    to, high, entry, flat, cost = to[order], high[order], entry[order], flat[order].astype(np.uint32), cost[order]
     cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
     rows = []
     for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True):
         who, many = np.unique(entry[s:e], return_counts=True)
-        rows.append((int(to[s]), *(x[who].tobytes() for x in per_entry), many.astype(np.uint32).tobytes(), flat[s:e].tobytes(), cost[s:e].tobytes()))
+        rows.append((int(to[s]), int(high[s]), *(x[who].tobytes() for x in per_entry), many.astype(np.uint32).tobytes(), flat[s:e].tobytes(), cost[s:e].tobytes()))
     return rows
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * len(_PACKED)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], _PACKED)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k > 1 else pa.int32()) for k, c in enumerate(cols)], _PACKED)
 
 
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
-    """(document, scheme, spare, key, cost) for each key."""
+    """(document, scheme, spare, key, cost) for each key; keys of one task are told apart by group and low half."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
-    many = read("counts", np.uint32)
-    return *(np.repeat(read(c, t), many) for c, t in (("docs", np.int64), ("schemes", np.uint8), ("spares", np.uint32))), read("keys", np.uint64), read("costs", np.uint8)
+    many, costs = read("counts", np.uint32), group.column("costs").to_pylist()
+    high = np.repeat(group.column("high").to_numpy().astype(np.uint64) << np.uint64(32), [len(x) for x in costs])
+    return *(np.repeat(read(c, t), many) for c, t in (("docs", np.int64), ("schemes", np.uint8), ("spares", np.uint32))), high | read("keys", np.uint32), np.frombuffer(b"".join(costs), np.uint8)
 
 
 def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray) -> DataFrame:
@@ -241,11 +243,11 @@ def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray
             return []
         entry, flat = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys)
         group = ((flat >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
-        cost = np.zeros(len(flat), np.uint8)
+        to, cost = group.copy(), np.zeros(len(flat), np.uint8)
         if len(hot):
             often = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
-            group[often], cost[often] = -1 - group[often], HOT
-        return _packed_rows(group, entry, (np.array(doc, np.int64), np.array(number, np.uint8), np.array(spare, np.uint32)), flat, cost)
+            to[often], cost[often] = -1 - group[often], HOT
+        return _packed_rows(to, group, entry, (np.array(doc, np.int64), np.array(number, np.uint8), np.array(spare, np.uint32)), flat, cost)
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -274,7 +276,8 @@ def costed(packed: DataFrame, groups: int) -> DataFrame:
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (scheme[1:] != scheme[:-1])))[: len(doc)]
         entry, first = np.cumsum(new) - 1, np.flatnonzero(new)
         to = (mix(doc.view(np.uint64), 11) % np.uint64(groups)).astype(np.int32)
-        return pa.Table.from_batches([_arrow(_packed_rows(to, entry, (doc[first], scheme[first], spare[first]), key, cost))])
+        high = (key >> np.uint64(32)).astype(np.int32)
+        return pa.Table.from_batches([_arrow(_packed_rows(to, high, entry, (doc[first], scheme[first], spare[first]), key, cost))])
 
     return packed.groupBy("grp").applyInArrow(run, PACKED)
 
