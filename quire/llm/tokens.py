@@ -2,7 +2,9 @@
 
 The pre-tokeniser never joins text across a single space that stands before a non-space character: the space goes with
 what follows. Encoding the pieces between such places one by one therefore gives the ids of the whole text, and equal
-pieces are encoded once for each Python worker. Null text: empty. `<|endoftext|>` in a text is ordinary text.
+pieces are encoded once for each Python worker. A new piece is cut further where the pre-tokeniser always cuts: around a
+newline between other characters, and before punctuation that ends a line's word. Null text: empty. `<|endoftext|>` in a
+text is ordinary text.
 """
 
 from __future__ import annotations
@@ -41,40 +43,114 @@ def pieces(text: str) -> list[str]:
 def forget() -> None:
     """Give back a worker's memory of pieces; for stages that need the room."""
     for memory in _TOKENIZERS.values():
-        memory[1:] = {}, {}, {}
-
-
-def learn(tok, memory: dict[str, bytes], before: str, new: list[str], together: int = 512) -> None:
-    """Ids of new pieces. Pieces that begin with a space are encoded many in a text, since they never join."""
-    if not before:
-        memory.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return
-    groups = [new[i : i + together] for i in range(0, len(new), together)]
-    for group, e in zip(groups, tok.encode_batch(["".join([before + p for p in g]) for g in groups], add_special_tokens=False), strict=True):
-        starts = np.cumsum([0] + [len(p) + len(before) for p in group])
-        at = 4 * np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), starts)
-        ids, at = np.array(e.ids, "<u4").tobytes(), at.tolist()
-        memory.update(zip(group, (ids[a:b] for a, b in zip(at, at[1:])), strict=True))
+        memory.clear()
+
+
+#: ASCII punctuation but the apostrophe, which contractions begin with.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _ends(stem: str, line: str) -> bool:
+    """Whether the pre-tokeniser cuts a line after this stem: a Latin letter or a digit before marks."""
+    return len(stem) != len(line) and stem != "" and stem[-1].isalnum() and stem[-1] < "\u0250" and (stem[-1].isalpha() or stem[-1].isdecimal())
+
+
+def parts(piece: str) -> list[str]:
+    """A piece's parts, newlines between two of them included; their ids follow one another. The first one has the space that
+    stood before the piece, the others have none."""
+    lines = piece.split()
+    if len(lines) != 1 and lines != piece.split("\n"):  # other white space, or newlines in a row: leave it to the tokenizer
+        return [piece]
+    if len(lines) == 1:
+        if len(lines[0]) != len(piece):
+            return [piece]
+        stem = piece.rstrip(_MARKS)
+        return [stem, piece[len(stem) :]] if _ends(stem, piece) else lines
+    out = []
+    for line in lines:
+        stem = line.rstrip(_MARKS)
+        out += ["\n", stem, line[len(stem) :]] if _ends(stem, line) else ["\n", line]
+    return out[1:]
+
+
+class Memory:
+    """A tokenizer and the ids, as bytes, of pieces after a space (`known`, and `older` ones that aged) and of bare ones."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        size = self.tok.get_vocab_size()
+        self.after_space = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.older, self.bare = {}, {}, {}
+
+    def age(self, most: int) -> None:
+        if len(self.known) + len(self.bare) > most:
+            self.known, self.older, self.bare = {}, self.known, {}
+
+    def _each(self, texts: list[str]):
+        return (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _encode(self, new: list[str], to: dict[str, bytes], bare: bool, together: int = 512) -> None:
+        """Many in a text: each begins with a token that holds a space or, if bare, a newline stands between two."""
+        odd = [p for p in new if not p.isalpha() and p.split() != [p] or bare and len(self.newline) != 1]
+        if odd:
+            to.update(zip(odd, self._each([p if bare else " " + p for p in odd]), strict=True))
+            odd = set(odd)
+            new = [p for p in new if p not in odd]
+        groups = [new[i : i + together] for i in range(0, len(new), together)]
+        texts = ["\n".join(g) if bare else " " + " ".join(g) for g in groups]
+        for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.newline[0] if bare else self.after_space[ids]), len(ids))
+            if bare:
+                starts = np.concatenate(([0], ends[:-1] + 1))
+            else:
+                starts, ends = ends[:-1], ends[1:]
+            if len(starts) != len(group):
+                to.update(zip(group, self._each([p if bare else " " + p for p in group]), strict=True))
+                continue
+            raw = ids.tobytes()
+            to.update(zip(group, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+
+    def learn(self, pieces_: set[str], first: set[str]) -> None:
+        """Ids of pieces that stand after a space, and of texts' first pieces."""
+        words = {p for p in pieces_ if p.isalpha()}
+        cut, cut_first = {p: parts(p) for p in pieces_.difference(words)}, {p: parts(p) for p in first}
+        words.update([c[0] for c in cut.values()])
+        words.difference_update(self.known)
+        aged = words.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in aged)
+        self._encode(list(words.difference(aged)), self.known, False)
+        bare = {x for c in cut.values() if len(c) > 1 for x in c[1:]}.union(*cut_first.values())
+        self._encode(list(bare.difference(self.bare)), self.bare, True)
+        known, bare = self.known, self.bare
+        for p, c in cut.items():
+            if len(c) == 2:
+                known[p] = known[c[0]] + bare[c[1]]
+            elif len(c) > 2:
+                known[p] = known[c[0]] + b"".join([bare[x] for x in c[1:]])
+        for p, c in cut_first.items():
+            bare[p] = b"".join([bare[x] for x in c])
 
 
 def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
     import os
 
-    from tokenizers import Tokenizer
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _TOKENIZERS:
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _TOKENIZERS[path] = [tok, {}, {}, {}]
+        _TOKENIZERS[path] = Memory(path)
     memory = _TOKENIZERS[path]
-    if len(memory[1]) + len(memory[3]) > remembered:
-        memory[1:] = {}, memory[1], {}
-    tok, known, older, heads = memory
+    memory.age(remembered)
+    known, older = memory.known, memory.older
     cut = [pieces(t) if t else [""] for t in texts]
     first = [c.pop(0) for c in cut]
-    learn(tok, heads, "", list(set(first).difference(heads)))
     found = [list(map(known.get, c)) for c in cut]
     new = []
     for c, ids in zip(cut, found, strict=True):
@@ -84,7 +160,7 @@ def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) ->
             new.append((ids, i, c[i]))
     missing = {p for _, _, p in new}
     known.update((p, older[p]) for p in missing.intersection(older))
-    learn(tok, known, " ", list(missing.difference(older)))
+    memory.learn(missing.difference(known), set(first).difference(memory.bare))
     for ids, i, p in new:
         ids[i] = known[p]
-    return [heads[f] + b"".join(ids) for f, ids in zip(first, found, strict=True)]
+    return [memory.bare[f] + b"".join(ids) for f, ids in zip(first, found, strict=True)]
