@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ready
@@ -109,10 +110,10 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 19):
     """Cut a batch into runs of rows with at most `most` bytes of text (a longer single text is a run of its own)."""
-    at = batch.column(column).fill_null("")
-    ends = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64) if len(at) else np.zeros(1, np.int64)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
     i = 0
-    while i < len(at):
+    while i < len(size):
         j = max(i + 1, int(np.searchsorted(ends, ends[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j

@@ -1,9 +1,10 @@
 """Operator 2: token ids as Re-Pair grammars.
 
 Documents are dealt into ranges of ascending doc_id; a range is written as shards of about `shard_tokens` ids. In a shard,
-frequent pairs of ids become nonterminals, the most frequent first and many pairs in a round, until no pair is frequent or
-the 16-bit symbols are used up. No pair crosses the end of a document, so the stored expansion lengths lead to any
-document's symbols without decoding the others.
+frequent pairs of ids (`least` times or more) become nonterminals, the most frequent first. Pairs are counted anew in each
+round and up to `per_round` of them replaced, until no pair is frequent, the 16-bit symbols are used up (15,278 rules with a
+vocabulary of 50,257), or a round replaces less than the share `worthwhile` of the pairs. No pair crosses the end of a
+document, and rules have their expansion lengths, so `read_range` finds any ids of any document without decoding others.
 
 File format: a Parquet table in the shared folder, one row a shard: part, shard; docs (int64 doc_ids), n_ids and n_symbols
 (int32 for each document), rules (two uint16 for each nonterminal, numbered from `terminals`), rule_len (uint32
@@ -32,11 +33,13 @@ FORMAT = "part int, shard int, total long, docs binary, n_ids binary, n_symbols
 _NONE = np.uint16(0xFFFF)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, least: int = 8, per_round: int = 8192):
+def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, least: int = 8, per_round: int = 8192, worthwhile: float = 0.005):
     """Grammar of `ids` (uint16), whose documents end before the positions `ends`.
 
     Returns rules (n x 2), expansion lengths of the rules, symbols, and the documents' new ends.
     """
+    if terminals >= 0xFFFF or len(ids) and int(np.max(ids)) >= terminals:
+        raise ValueError(f"ids must be below {terminals}, and that below 65,535")
     seq = np.asarray(ids, np.uint16)
     last = np.zeros(len(seq), bool)
     last[ends[ends > 0] - 1] = True
@@ -76,7 +79,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, terminals: int = TERMINALS, leas
         stay[i + 1] = False
         seq, last = seq[stay], last[stay]
         rules = np.concatenate((rules, np.stack((new >> np.uint32(16), new & np.uint32(0xFFFF)), 1).astype(np.uint16)))
-        if len(i) < len(pairs) // 200:
+        if len(i) < int(worthwhile * len(pairs)):
             break
     size = [1] * terminals
     for a, b in rules.tolist():
@@ -108,17 +111,39 @@ def expand(rules: np.ndarray, rule_len: np.ndarray, symbols: np.ndarray, termina
 
 def shard_row(part: int, shard: int, docs: list[int], coded: list[bytes]) -> tuple:
     n = np.array([len(c) // 4 for c in coded], np.int64)
-    rules, size, symbols, ends = compress(np.frombuffer(b"".join(coded), "<u4").astype(np.uint16), np.cumsum(n))
+    rules, size, symbols, ends = compress(np.frombuffer(b"".join(coded), "<u4"), np.cumsum(n))
     le = lambda a, t: np.ascontiguousarray(a, t).tobytes()
     return part, shard, int(n.sum()), le(docs, "<i8"), le(n, "<i4"), le(np.diff(ends, prepend=0), "<i4"), le(rules, "<u2"), le(size, "<u4"), le(symbols, "<u2")
 
 
-def read_document(row, i: int) -> np.ndarray:
-    """Ids of document i of a shard, from its own symbols only."""
+def read_range(row, i: int, start: int, count: int, terminals: int = TERMINALS) -> np.ndarray:
+    """Ids start to start + count (or its end) of document i of a shard. Symbols and rules outside the range are skipped by
+    their expansion lengths; only rules that reach into it are opened."""
     n = np.frombuffer(row["n_symbols"], "<i4")
-    at = int(n[:i].sum())
-    symbols = np.frombuffer(row["symbols"], "<u2", int(n[i]), 2 * at)
-    return expand(np.frombuffer(row["rules"], "<u2").reshape(-1, 2), np.frombuffer(row["rule_len"], "<u4"), symbols)
+    symbols = np.frombuffer(row["symbols"], "<u2", int(n[i]), 2 * int(n[:i].sum()))
+    rules, rule_len = np.frombuffer(row["rules"], "<u2").reshape(-1, 2), np.frombuffer(row["rule_len"], "<u4")
+    size = np.ones(len(symbols), np.int64)
+    size[symbols >= terminals] = rule_len[symbols[symbols >= terminals] - terminals]
+    ends = np.cumsum(size)
+    first, last = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + count, "left")
+    out, todo = [], [int(s) for s in symbols[first : last + 1][::-1]]
+    skip = start - (int(ends[first - 1]) if first else 0)
+    while todo and len(out) < count:
+        s = todo.pop()
+        length = int(rule_len[s - terminals]) if s >= terminals else 1
+        if length <= skip:
+            skip -= length
+        elif s < terminals:
+            out.append(s)
+        else:
+            a, b = rules[s - terminals].tolist()
+            todo += [b, a]
+    return np.array(out, np.uint32)
+
+
+def read_document(row, i: int) -> np.ndarray:
+    """All ids of document i of a shard."""
+    return read_range(row, i, 0, int(np.frombuffer(row["n_ids"], "<i4")[i]))
 
 
 def write_shards(docs: DataFrame, end_id: int = 0, path: str | None = None, shard_tokens: int = 2_000_000) -> tuple[DataFrame, str]:

@@ -123,7 +123,7 @@ class Memory:
         words = {p for p in pieces_ if p.isalpha()}
         cut, cut_first = {p: parts(p) for p in pieces_.difference(words)}, {p: parts(p) for p in first}
         words.update([c[0] for c in cut.values()])
-        words.difference_update(self.known)
+        words = words.difference(self.known)  # not difference_update: that goes through all that is known
         aged = words.intersection(self.older)
         self.known.update((p, self.older[p]) for p in aged)
         self._encode(list(words.difference(aged)), self.known, False)
@@ -151,16 +151,9 @@ def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) ->
     known, older = memory.known, memory.older
     cut = [pieces(t) if t else [""] for t in texts]
     first = [c.pop(0) for c in cut]
-    found = [list(map(known.get, c)) for c in cut]
-    new = []
-    for c, ids in zip(cut, found, strict=True):
-        i = -1
-        for _ in range(ids.count(None)):
-            i = ids.index(None, i + 1)
-            new.append((ids, i, c[i]))
-    missing = {p for _, _, p in new}
-    known.update((p, older[p]) for p in missing.intersection(older))
-    memory.learn(missing.difference(known), set(first).difference(memory.bare))
-    for ids, i, p in new:
-        ids[i] = known[p]
-    return [memory.bare[f] + b"".join(ids) for f, ids in zip(first, found, strict=True)]
+    missing = set().union(*cut).difference(known)
+    aged = missing.intersection(older)
+    known.update((p, older[p]) for p in aged)
+    memory.learn(missing.difference(aged), set(first).difference(memory.bare))
+    bare, ids = memory.bare, known.__getitem__
+    return [bare[f] + b"".join(map(ids, c)) for f, c in zip(first, cut, strict=True)]

@@ -220,7 +220,10 @@ def test_repair(docs):
         start += len(ids)
     for row in shards.collect():
         for i, d in list(enumerate(np.frombuffer(row["docs"], "<i8").tolist()))[::7]:
-            assert repair.read_document(row, i).tolist() == ids_of(rows[d]) + [0]
+            ids = ids_of(rows[d]) + [0]
+            assert repair.read_document(row, i).tolist() == ids
+            for a, n in ((0, 1), (len(ids) // 3, 5), (len(ids) // 2, len(ids)), (len(ids) - 1, 1), (len(ids), 3)):
+                assert repair.read_range(row, i, a, n).tolist() == ids[a : a + n]
 
 
 def test_repair_compresses():
@@ -229,6 +232,8 @@ def test_repair_compresses():
     assert len(symbols) < 400 and size.max() >= 8
     assert (repair.expand(rules, size, symbols) == ids).all()
     assert (repair.expand(rules, size, symbols[: ends[0]]) == ids[:1500]).all()
+    with pytest.raises(ValueError):
+        repair.compress(np.array([5, 60_000]), np.array([2]))
 
 
 def shingles(text):
