@@ -14,7 +14,7 @@ that no other set holds need not be indexed, so most sets drop out here, and fre
 
 Pairs come in waves. First each document with the smallest holder of most of its keys. Then, for keys whose holders are in
 different components, pairs across components are tested inside the key's task by size and parity sketch (frequent keys are
-cut into blocks, each pair of blocks a task of its own): first the best pair of two components, then all that passed and still
+cut into blocks, each pair of blocks a task of its own): twice the closest pair of each component, then all that pass and still
 join different components. Whatever passes is verified on the exact sets.
 
 Nulls and edge cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five
@@ -396,7 +396,7 @@ def close_pairs(low: np.ndarray, high: np.ndarray, n: np.ndarray, comp: np.ndarr
 
 
 def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked; best: one for two components of a block."""
+    """Pairs (a, b) of different components that share a key and may be linked; best: for each component its closest pair only."""
     rows = posts.join(comps, posts.doc == comps.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x <> y")
     rows = cut(rows.join(mixed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "key"))
@@ -424,13 +424,20 @@ def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> D
             ends, sides = (np.sort(np.stack((x[a], x[b]), 1), 1) for x in (doc, comp))
             found.append(np.column_stack((ends, sides, (score * 1e9).astype(np.int64))))
         found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-        if best and len(found):
-            found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 4], found[:, 3], found[:, 2]))]
-            found = found[np.concatenate(([True], (found[1:, 2:4] != found[:-1, 2:4]).any(1)))]
-        pairs = np.unique(found[:, :2], axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return cut(rows.groupBy("part").applyInArrow(run, "a long, b long").distinct())
+        if best:
+            side = np.concatenate((found[:, 2], found[:, 3]))
+            found = np.concatenate((found, found))
+            order = np.lexsort((found[:, 1], found[:, 0], found[:, 4], side))
+            found, side = found[order], side[order]
+            found = found[np.concatenate(([True], side[1:] != side[:-1]))[: len(side)]]
+        found = np.unique(found, axis=0)
+        return pa.table({c: found[:, k] for k, c in enumerate(("a", "b", "x", "y", "score"))})
+
+    found = rows.groupBy("part").applyInArrow(run, "a long, b long, x long, y long, score long")
+    if best:
+        sides = found.select(F.explode(F.array("x", "y")).alias("comp"), "a", "b", "score")
+        found = sides.groupBy("comp").agg(F.min(F.struct("score", "a", "b")).alias("best")).select("best.a", "best.b")
+    return cut(found.select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -454,7 +461,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), sets)
     comps = cut(connected_components(links))
     posts = posts.select("key", "doc")
-    for best in (True, False):
+    for best in (True, True, False):
         links = links.union(verified(across(posts, comps, sets, best), sets))
         comps = cut(connected_components(links))
     one = one.join(comps, one["class"] == comps.id, "left").select("n_shingles", "k1", "k2", F.coalesce("component", "class").alias("component"))
