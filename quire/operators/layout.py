@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .predicates import Clause
 
 
@@ -57,12 +58,12 @@ def units(answers: DataFrame, column: str) -> DataFrame:
     return u.select(*[c for c in answers.columns if c != column], name.alias("unit_id"), F.coalesce("_x.unit_type", F.lit("unknown")).alias("unit_type"), conf.alias("confidence"), F.col("_x.fields").alias("fields"))
 
 
-def flatten_records(rows: DataFrame, column: str, fields: list[str], depth: int = 4) -> DataFrame:
+def flatten_records(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """key, record (map): leaf records of nested JSON. An object with at least 0.3 of the fields is a record; a parent's key
-    fills a blank first field. Levels are walked `depth` deep, one projection each."""
+    fills a blank first field. Each level is one projection and is cut before the next, down to the deepest one."""
     level = rows.select("key", F.lit("").alias("parent"), F.col(column).alias("j"))
     found = None
-    for _ in range(depth):
+    while True:
         m = level.withColumn("m", F.from_json("j", "map<string,string>")).where("m IS NOT NULL")
         hits = F.size(F.array_intersect(F.map_keys("m"), F.array(*[F.lit(f) for f in fields])))
         flat = hits >= 0.3 * len(fields)
@@ -71,8 +72,9 @@ def flatten_records(rows: DataFrame, column: str, fields: list[str], depth: int
         found = leaf if found is None else found.unionByName(leaf)
         below = m.where(~flat).select("key", F.explode("m").alias("parent", "j"))
         lists = below.where("j LIKE '[%'").select("key", F.lit("").alias("parent"), F.explode(F.from_json("j", "array<string>")).alias("j"))
-        level = below.where("j LIKE '{%'").unionByName(lists.where("j LIKE '{%'"))
-    return found
+        level = cut(below.where("j LIKE '{%'").unionByName(lists.where("j LIKE '{%'")))
+        if level.isEmpty():
+            return found
 
 
 def instruction_pairs(specs: DataFrame, column: str, headers: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
@@ -86,6 +88,11 @@ def instruction_pairs(specs: DataFrame, column: str, headers: list[str], aliases
     return d.select("table_index", last["k"].alias("filter_field"), last["v"].alias("filter_value"), newest.alias("fixed_values"))
 
 
+def variants(city: Column) -> Column:
+    """A city's name and its other form, with or without 市."""
+    return F.array(F.trim(city), F.when(F.trim(city).endswith("市"), F.regexp_replace(F.trim(city), "市$", "")).otherwise(F.concat(F.trim(city), F.lit("市"))))
+
+
 def city_variants(city: str) -> list[str]:
     """With and without 市."""
     city = city.strip()

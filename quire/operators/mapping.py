@@ -71,3 +71,32 @@ def header_union(headers: DataFrame) -> DataFrame:
     """header, pos: all headers in first-seen order (one row for each header)."""
     first = headers.groupBy("header").agg(F.min("pos").alias("_p"))
     return first.select("header", F.row_number().over(Window.orderBy("_p", "header")).cast("long").alias("pos"))
+
+
+# Names that stand for a hint's columns, and parts of names of date columns.
+HINTS = {"city": ("城市", "市", "地区", "行政区划"), "monitor_time": ("监测时间", "时间", "日期"), "date": ("日期", "时间", "监测时间")}
+DATE_WORDS = ("日期", "时间", "时刻", "监测时间", "统计日期", "date", "time")
+
+
+def candidate_columns(columns: list[str], hint: str, aliases: dict[str, list[str]]) -> list[str]:
+    """Columns that a hint may mean: those named so, by alias too; for a date's hint else those whose names hold a date word."""
+    canonical = {a: name for name, others in aliases.items() for a in others}
+    wanted = {hint.strip(), *HINTS.get(hint.strip(), ()), canonical.get(hint.strip(), "")} - {""}
+    names = [c for c in dict.fromkeys(columns) if c.strip()]
+    found = [c for c in names if c.strip() in wanted or canonical.get(c.strip()) in wanted]
+    if found or not wanted & set(DATE_WORDS):
+        return found
+    return [c for c in names if any(w in c.lower() for w in DATE_WORDS)]
+
+
+def with_date_column(records: DataFrame, has_range: bool, name: str = "date", signals: tuple[str, ...] = DATE_WORDS) -> DataFrame:
+    """A blank date column for records that have none, where the instruction names a range of dates."""
+    dated = any(w in c.lower() for c in records.columns for w in signals)
+    return records.withColumn(name, F.lit("")) if has_range and not dated else records
+
+
+def bundle_records(tables: list[DataFrame], fields: list[str], specs: list[dict], aliases: dict[str, list[str]], keep: list[str] = ()) -> DataFrame:
+    """All tables of a bundle under the profile's columns, and under those that target tables filter by or fix."""
+    helpers = [n for s in specs for n in (s.get("filter_field") or "", *(s.get("fixed_values") or {}))]
+    wanted = [*fields, *(n for n in dict.fromkeys(x.strip() for x in helpers) if n and n not in fields)]
+    return reduce(lambda a, b: a.unionByName(b), (to_profile(t, wanted, aliases, keep, drop_blank=True) for t in tables))

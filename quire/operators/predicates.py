@@ -138,3 +138,16 @@ def rows_in_scope(rows: DataFrame, clauses: list[Clause], columns: dict[str, lis
     whole = any_clause(row_text([n for n in rows.columns if n not in keys]), clauses)
     r = rows.withColumn("route", F.when(named, "columns").when(whole, "row_text")).where("route IS NOT NULL")
     return r.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+
+
+def holders(docs: DataFrame, values: DataFrame, value: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs x values: documents whose text holds a value's text. A value is looked for by its longest inner word, which a text
+    that holds the value must have between white space; only values without one are compared with all texts."""
+    inner = lambda v: F.slice(F.split(v, r"\s+"), 2, F.greatest(F.size(F.split(v, r"\s+")) - 2, F.lit(0)))
+    word = F.array_max(F.transform(F.filter(inner(F.col(value)), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    v = values.withColumn("_word", word)
+    words = docs.select(key, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_word"))
+    found = words.join(v.where("_word IS NOT NULL"), "_word").drop("_word").join(docs, key)
+    found = found.where(F.contains(text, F.col(value)))
+    rest = docs.join(v.where("_word IS NULL").drop("_word"), F.contains(text, F.col(value)))
+    return found.unionByName(rest.select(found.columns))

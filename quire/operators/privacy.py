@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The three patterns, highest priority first.
-PATTERNS = {"mobile": r"1[3-9]\d{9}", "id_number": r"\d{17}[\dXx]", "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
+# The three patterns, highest priority first. A name is taken as a whole run, so that a run without @ is read once.
+PATTERNS = {"mobile": r"1[3-9]\d{9}", "id_number": r"\d{17}[\dXx]", "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"}
 
 
 def _label(name: str, i: Column) -> Column:

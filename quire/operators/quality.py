@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import blank_free
+from ..functions.values import blank_free, is_blank
 
 #: Bounds of the latency histogram, in seconds.
 LATENCY_BOUNDS = (0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
-#: Work of one byte by suffix, against plain text.
-SUFFIX_WEIGHT = {"pdf": 3.0, "docx": 1.5, "xlsx": 1.2, "html": 1.1}
+# Text of one byte by suffix (others: 1), the suffixes of the input kinds, track and stage names.
+TEXT_WEIGHT = {"xlsx": 3, "xls": 3, "docx": 3, "doc": 3, "pdf": 2}
+TABULAR = ("xlsx", "xls", "xlsm", "csv", "ods")
+TEXT = ("txt",)
+OFFICE = ("docx", "doc", "pdf", "pptx", "ppt", "html", "htm", "epub")
+MODEL_DISABLED, PARALLEL_TABLES, SEMANTIC, CHARACTERS = "model_disabled", "word_multi_parallel", "semantic_slicing_stack", "char_slice_or_direct"
 
 
 def cell_audit(raw: DataFrame, final: DataFrame, columns: list[str], key: str = "record_idx") -> DataFrame:
@@ -44,14 +51,18 @@ def latency_histogram(log: DataFrame, seconds: str, by: str, bounds=LATENCY_BOUN
 
 
 def complexity(files: DataFrame, task: str, size: str, suffix: str) -> DataFrame:
-    """task, chunks, seconds, level, timeout: a plan from weighted sizes; the timeout is 1.5 x the estimate + 10, in 30..300."""
-    w = F.lit(1.0)
-    for k, v in SUFFIX_WEIGHT.items():
-        w = F.when(F.col(suffix) == k, v).otherwise(w)
+    """task, chunks (of 3,000 characters), seconds, level: low up to 10 chunks, medium up to 30, else high."""
+    w = F.lit(1)
+    for k, v in TEXT_WEIGHT.items():
+        w = F.when(F.lower(suffix) == k, v).otherwise(w)
     chunks = F.greatest(F.lit(1), F.floor(F.sum(F.col(size) * w) / 3000)).cast("long")
     a = files.groupBy(task).agg(chunks.alias("chunks")).withColumn("seconds", 2 + 3 * F.col("chunks"))
-    level = F.when(F.col("seconds") <= 10, "fast").when(F.col("seconds") <= 30, "medium").otherwise("slow")
-    return a.withColumn("level", level).withColumn("timeout", F.least(F.lit(300), F.greatest(F.lit(30), F.floor(1.5 * F.col("seconds")) + 10)).cast("long"))
+    return a.withColumn("level", F.when(F.col("chunks") <= 10, "low").when(F.col("chunks") <= 30, "medium").otherwise("high"))
+
+
+def timeout(given: Column, seconds: Column, default: int) -> Column:
+    """The caller's timeout; where that is the default, 1.5 times the estimate and 10 more, from 30 to 300."""
+    return F.when(given == default, F.least(F.lit(300), F.greatest(F.lit(30), F.floor(1.5 * seconds) + 10))).otherwise(given).cast("long")
 
 
 def runtime(log: DataFrame, task: str, inference: Column, retry: Column, limit: float) -> DataFrame:
@@ -61,25 +72,35 @@ def runtime(log: DataFrame, task: str, inference: Column, retry: Column, limit:
 
 
 def route(tasks: DataFrame) -> DataFrame:
-    """tasks (n_tables, n_text_chunks, has_schema, n_specs) with track and stages."""
-    track = F.when((F.col("n_tables") > 0) & (F.col("n_text_chunks") == 0), "tables").when(F.col("n_specs") > 1, "multi_table").when(F.col("n_tables") > 0, "mixed").otherwise("text")
-    stages = F.concat(
-        F.array(F.lit("load"), F.lit("scope")), F.when(F.col("n_tables") > 0, F.array(F.lit("read_tables"))).otherwise(F.array().cast("array<string>")),
-        F.when(track != "tables", F.array(F.lit("model"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("merge"), F.lit("postprocess"), F.lit("write")),
-    )
-    return tasks.withColumn("track", track).withColumn("stages", F.array_join(stages, ">"))
+    """Adds track and stages to tasks (use_model, multi_table, homogeneous: boolean; n_text_chunks). Target tables that
+    differ are filled in parallel; tables with the same columns are extracted as one and split afterwards."""
+    names = lambda *x: F.array(*[F.lit(n) for n in x])
+    parallel = F.col("multi_table") & ~F.col("homogeneous")
+    track = F.when(~F.col("use_model"), MODEL_DISABLED).when(parallel, PARALLEL_TABLES).when(F.col("n_text_chunks") > 0, SEMANTIC).otherwise(CHARACTERS)
+    why = F.when(F.col("n_text_chunks") > 0, "auto_heterogeneous_tables").otherwise("auto_no_text_chunks")
+    first = F.when(track == PARALLEL_TABLES, F.array(F.lit("parse_inputs"), F.lit("parallel_word_table_llm"), F.concat(F.lit("skip_word_multi_lx_prefill:"), why)))
+    first = first.when(track == SEMANTIC, names("parse_inputs", "semantic_chunks", "langextract_or_prompt")).otherwise(names("parse_inputs", "char_slice_or_direct_prompt"))
+    last = F.when(F.col("multi_table"), names("process_by_profile", "internal_structured_merge", "write_template")).otherwise(names("process_by_profile", "write_template"))
+    return tasks.withColumns({"track": track, "stages": F.array_join(F.when(track == MODEL_DISABLED, names("skip_llm")).otherwise(F.concat(first, last)), ">")})
 
 
 def input_kind(files: DataFrame, task: str, suffix: str) -> DataFrame:
-    """task, suffixes, kind: tabular, text, office, mixed or unknown by the set of suffixes."""
-    a = files.groupBy(task).agg(F.array_sort(F.collect_set(suffix)).alias("s"))
-    only = lambda *k: F.size(F.array_except("s", F.array(*[F.lit(x) for x in k]))) == 0
-    kind = F.when(F.size("s") == 0, "unknown").when(only("xlsx", "xls", "csv"), "tabular").when(only("txt", "md", "html"), "text").when(only("docx", "doc", "pdf"), "office").otherwise("mixed")
+    """task, suffixes, kind: tabular or text if all suffixes are, office for one office suffix, unknown for none, else mixed."""
+    a = files.groupBy(task).agg(F.array_sort(F.collect_set(suffix)).alias("s"))  # as many as there are kinds of files
+    only = lambda kinds: F.size(F.array_except("s", F.array(*[F.lit(x) for x in kinds]))) == 0
+    kind = F.when(F.size("s") == 0, "unknown").when(only(TABULAR), "tabular").when(only(TEXT), "text").when((F.size("s") == 1) & only(OFFICE), "office").otherwise("mixed")
     return a.select(task, F.array_join("s", ",").alias("suffixes"), kind.alias("kind"))
 
 
+def result_metadata(records: DataFrame, within: list[str], required: list[str], files: str) -> DataFrame:
+    """One row a task: file_count, record_count, retried_count (records with a blank required cell), complete."""
+    blank = reduce(or_, (is_blank(k) for k in required))
+    a = records.groupBy(*within).agg(F.countDistinct(files).alias("file_count"), F.count("*").alias("record_count"), F.count_if(blank).alias("retried_count"))
+    return a.withColumn("complete", F.col("retried_count") == 0)
+
+
 def ranges(docs: DataFrame, within: list[str], order: str, gap: int = 2) -> DataFrame:
     """Adds lo and hi: the document's character range in the labelled concatenation of its task."""
     w = Window.partitionBy(*within).orderBy(order)
-    end = F.sum(F.length("text") + gap).over(w)
-    return docs.withColumn("hi", end).withColumn("lo", F.col("hi") - F.length("text") - gap)
+    d = docs.withColumn("_n", F.length("text") + gap).drop("text")  # texts aren't sorted along
+    return d.withColumn("hi", F.sum("_n").over(w)).withColumn("lo", F.col("hi") - F.col("_n")).drop("_n")

@@ -126,8 +126,10 @@ def assign(records: DataFrame, specs: DataFrame, field: str = "filter_field", or
 
 
 def cap_rows(assigned: DataFrame, order: str = "record_idx") -> DataFrame:
+    """The first rows of each table that has a capacity; tables without one aren't ranked."""
     n = F.row_number().over(Window.partitionBy("table_index").orderBy(order))
-    return assigned.withColumn("_n", n).where("max_rows <= 0 OR _n <= max_rows").drop("_n")
+    capped = assigned.where("max_rows > 0").withColumn("_n", n).where("_n <= max_rows").drop("_n")
+    return capped.unionByName(assigned.where("max_rows <= 0 OR max_rows IS NULL"))
 
 
 def weak_groups(assigned: DataFrame, columns: list[str]) -> DataFrame:
@@ -157,3 +159,15 @@ def missing_cells(records: DataFrame, required: list[str], keys: list[str]) -> D
     """keys, field for every blank required cell."""
     blanks = F.filter(F.array(*[F.struct(F.lit(k).alias("field"), is_blank(k).alias("blank")) for k in required]), lambda x: x["blank"])
     return records.select(*keys, F.explode(blanks).alias("x")).select(*keys, "x.field")
+
+
+def reconcile(model: DataFrame, tables: DataFrame, headers: DataFrame, within: list[str]) -> DataFrame:
+    """Records of tasks with several target tables. Where all targets have the same columns and the model gave one record at
+    most, the records of the source tables take its place. headers: within, table_index, header. Adds source."""
+    same = headers.groupBy(*within, "table_index").agg(F.array_join(F.array_sort(F.collect_set("header")), "\x01").alias("_s"))
+    same = same.groupBy(*within).agg((F.countDistinct("_s") == 1).alias("_same"))
+    count = lambda df, name: df.groupBy(*within).agg(F.count("*").alias(name))
+    c = same.join(count(model, "_m"), within, "left").join(count(tables, "_t"), within, "left")
+    use = F.when(F.col("_same") & (F.coalesce("_m", F.lit(0)) <= 1) & (F.coalesce("_t", F.lit(0)) > 0), "table").otherwise("model")
+    both = model.withColumn("source", F.lit("model")).unionByName(tables.withColumn("source", F.lit("table")))
+    return both.join(c.select(*within, use.alias("source")), [*within, "source"])

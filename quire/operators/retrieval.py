@@ -5,36 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import latin_tokens
+from ..functions.values import tokens as all_tokens
+from ..session import cut
 
 #: Published constants of Okapi BM25 and the share of the mean that a negative idf is raised to.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 BOOST = {"table": 1.2, "formula": 1.1, "code": 1.05}
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, tokens=latin_tokens) -> DataFrame:
+def frequencies(chunks: DataFrame, tokens=all_tokens) -> DataFrame:
+    """(token, df): the chunks that hold each token, counted before the shuffle; the blank token's row has the number of all
+    chunks, and in dl the sum of their lengths."""
+    t = chunks.select(tokens("text").alias("_t"))
+    t = t.select(F.size("_t").alias("dl"), F.explode(F.array_append(F.array_distinct("_t"), F.lit(""))).alias("token"))
+    return t.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("dl"))).alias("dl"))
+
+
+def bm25(chunks: DataFrame, questions: DataFrame, tokens=all_tokens, counts: DataFrame | None = None) -> DataFrame:
     """question, keys of chunks, bm25: every chunk that holds a question's token. chunks: doc_id, idx, text.
 
-    Terms are counted once for each chunk before the shuffle; questions are few and broadcast by size.
+    Only document frequencies are shuffled (a row for each token and task); a chunk counts the questions' tokens in its own
+    row. The questions of one job are a bounded few, and so are their tokens.
     """
-    t = chunks.select("doc_id", "idx", tokens("text").alias("_t")).withColumn("dl", F.size("_t"))
-    size = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = t.select("doc_id", "idx", "dl", F.explode("_t").alias("token")).groupBy("doc_id", "idx", "dl", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    df = cut(frequencies(chunks, tokens)) if counts is None else counts
+    size = df.where("token = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = df.where("token <> ''").select("token", "df").crossJoin(F.broadcast(size))  # one row
     df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("idf").alias("mean"))
     q = questions.select("question", F.explode(tokens("question")).alias("token")).groupBy("question", "token").agg(F.count("*").alias("times"))
-    asked = df.join(q, "token").crossJoin(F.broadcast(mean))
-    idf = F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))
-    hits = tf.join(asked.withColumn("w", idf), "token")
+    asked = df.join(F.broadcast(q), "token").crossJoin(F.broadcast(mean))
+    asked = asked.withColumn("w", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))).select("token", "question", "times", "w", "avgdl")
+    words = q.agg(F.collect_set("token").alias("_q"))
+    t = chunks.select("doc_id", "idx", tokens("text").alias("_t")).crossJoin(F.broadcast(words))  # one row
+    held = F.transform(F.array_intersect("_t", "_q"), lambda h: F.struct(h.alias("token"), F.size(F.filter("_t", lambda x: x == h)).alias("tf")))
+    hits = t.select("doc_id", "idx", F.size("_t").alias("dl"), F.explode(held).alias("_h")).select("doc_id", "idx", "dl", "_h.token", "_h.tf")
+    hits = hits.join(F.broadcast(asked), "token")
     score = F.col("times") * F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("question", "doc_id", "idx").agg(F.sum(score).alias("bm25"))
 
 
-def all_scores(chunks: DataFrame, questions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Every chunk with its score, 0 where none."""
-    every = chunks.crossJoin(F.broadcast(questions.select("question")))  # questions of one job, a bounded few
-    return every.join(scores, ["question", "doc_id", "idx"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+def search(chunks: DataFrame, questions: DataFrame, k: int = 10, tokens=all_tokens) -> DataFrame:
+    """question, doc_id, idx, type, text, score, method, rank: the k best chunks by BM25, scaled to 0..1 within a question over
+    all chunks and boosted by type; ties in reading order.
+
+    Chunks without a hit score as 0 BM25. They are never crossed with the questions: 0 enters the scaling where a question
+    has fewer hits than there are chunks, and only the first 2 k chunks of each type can fill places that hits leave.
+    """
+    counts = cut(frequencies(chunks, tokens))
+    hits = cut(bm25(chunks, questions, tokens, counts))
+    n = counts.where("token = ''").select(F.col("df").alias("_n"))
+    q = questions.select("question").distinct()
+    span = q.join(hits.groupBy("question").agg(F.count("*").alias("_c"), F.min("bm25").alias("_lo"), F.max("bm25").alias("_hi")), "question", "left").crossJoin(F.broadcast(n))
+    some = F.coalesce("_c", F.lit(0)) < F.col("_n")  # some chunk has no hit
+    low = F.when(some, F.least(F.coalesce("_lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_lo"))
+    high = F.when(some, F.greatest(F.coalesce("_hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_hi"))
+    span = F.broadcast(span.select("question", low.alias("_lo"), high.alias("_hi")))  # a row for each question
+    scaled = lambda x: F.when(F.col("_hi") - F.col("_lo") < 1e-12, 0.0).otherwise((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
+    first = chunks.select("doc_id", "idx", "type").withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("doc_id", "idx"))).where(F.col("_r") <= 2 * k)
+    rest = first.drop("_r").crossJoin(span).join(hits.select("question", "doc_id", "idx"), ["question", "doc_id", "idx"], "left_anti").withColumn("score", scaled(F.lit(0.0)))
+    # the boost changes the order of hits, so all hits are ranked
+    found = hits.join(span, "question").join(chunks.select("doc_id", "idx", "type"), ["doc_id", "idx"]).withColumn("score", scaled(F.col("bm25")))
+    found = found.select("question", "doc_id", "idx", "type", "score").unionByName(rest.select("question", "doc_id", "idx", "type", "score"))
+    best = top_k(found.withColumn("score", F.round(F.col("score") * boost("type"), 9)), ["question"], ["doc_id", "idx"], k)
+    return best.withColumn("method", F.lit("bm25")).join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"])
 
 
 def cosine(a: str, b: str) -> Column:
@@ -70,6 +103,11 @@ def top_k(scores: DataFrame, within: list[str], order: list[str], k: int) -> Dat
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def source_list(found: DataFrame, documents: DataFrame, length: int = 200) -> DataFrame:
+    """question, rank, source, excerpt, score, method, type of search results."""
+    return found.join(documents, "doc_id").select("question", "rank", "source", F.substring(F.trim("text"), 1, length).alias("excerpt"), F.round("score", 3).alias("score"), "method", "type")
+
+
 def conversation_pairs(turns: DataFrame) -> DataFrame:
     """conv_id, turn, q, a: a user turn with the assistant turn right after it; pairs that are blank on both sides go."""
     w = Window.partitionBy("conv_id").orderBy("turn")

@@ -10,7 +10,7 @@ from ..operators import predicates as E
 from ..operators import privacy as P
 from ..operators import quality as J
 from ..operators import retrieval as R
-from ..sources.inputs import ITEMS, items, table
+from ..sources.inputs import ITEMS, MESSY, items, messy, table
 from ..streaming.arrivals import call_windows
 
 QUERIES, SQL = {}, {}
@@ -47,44 +47,49 @@ def r1(spark, d):
     return R.bm25(chunks(spark, d), questions(spark)).withColumn("bm25", F.round("bm25", 6))
 
 
-@query("r6_top_k", f"""WITH {_BM25}, a AS (SELECT v.question, c.doc_id, c.idx, type, coalesce(bm25, 0) AS bm25 FROM c CROSS JOIN (VALUES {_Q}) v(question) LEFT JOIN b ON b.question = v.question AND b.doc_id = c.doc_id AND b.idx = c.idx),
-n AS (SELECT *, min(bm25) OVER (PARTITION BY question) AS lo, max(bm25) OVER (PARTITION BY question) AS hi FROM a), f AS (SELECT question, doc_id, idx, type, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (bm25 - lo) / (hi - lo) END * CASE type WHEN 'table' THEN 1.2 WHEN 'formula' THEN 1.1 WHEN 'code' THEN 1.05 ELSE 1 END, 9) AS score FROM n)
-SELECT question, doc_id, idx, type, round(score, 6) AS score, 'bm25' AS method, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id, idx) AS rank FROM f) WHERE rank <= 10""")
+_TOP = f"""{_BM25}, a AS (SELECT v.question, c.doc_id, c.idx, type, coalesce(bm25, 0) AS bm25 FROM c CROSS JOIN (VALUES {_Q}) v(question) LEFT JOIN b ON b.question = v.question AND b.doc_id = c.doc_id AND b.idx = c.idx),
+n AS (SELECT *, min(bm25) OVER (PARTITION BY question) AS lo, max(bm25) OVER (PARTITION BY question) AS hi FROM a), f AS (SELECT question, doc_id, idx, type, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (bm25 - lo) / (hi - lo) END * CASE type WHEN 'table' THEN 1.2 WHEN 'formula' THEN 1.1 WHEN 'code' THEN 1.05 ELSE 1 END, 9) AS score FROM n),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id, idx) AS rank FROM f) WHERE rank <= 10)"""
+
+
+@query("r6_top_k", f"WITH {_TOP} SELECT question, doc_id, idx, type, round(score, 6) AS score, 'bm25' AS method, CAST(rank AS INTEGER) AS rank FROM top")
 def r6(spark, d):
     """Search: BM25, min-max, type boost, the ten best chunks of each question."""
-    c, q = chunks(spark, d), questions(spark)
-    s = R.all_scores(c.drop("text"), q, R.bm25(c, q))
-    s = R.fuse(R.min_max(s, "bm25", ["question"], "nb"), None, "nb")
-    s = R.top_k(s.withColumn("score", F.round(F.col("score") * R.boost("type"), 9)), ["question"], ["doc_id", "idx"], 10)
-    return s.select("question", "doc_id", "idx", "type", F.round("score", 6).alias("score"), "method", "rank")
+    return R.search(chunks(spark, d), questions(spark)).select("question", "doc_id", "idx", "type", F.round("score", 6).alias("score"), "method", "rank")
+
+
+@query("r8_source_list", f"WITH {_TOP} SELECT question, CAST(rank AS INTEGER) AS rank, source, substr(trim(line), 1, 200) AS excerpt, round(score, 3) AS score, 'bm25' AS method, top.type FROM top JOIN items USING (doc_id, idx) JOIN documents USING (doc_id)")
+def r8(spark, d):
+    return R.source_list(R.search(chunks(spark, d), questions(spark)), table(spark, d, "documents").select("doc_id", "source"))
 
 
 _COS = "list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))) / (sqrt(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)))) + 1e-9)"
 
 
-def cosines(spark, d, n=5):
+def cosines(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where(F.col("vec_id") < n).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("q_id", "vec_id", R.cosine("embedding", "q").alias("cos"))  # n query vectors against all rows
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    # a stated query set against all rows: Spark broadcasts it while it is small and pairs blocks of both sides beyond that
+    return e.crossJoin(q).select("q_id", "vec_id", R.cosine("embedding", "q").alias("cos"))
 
 
-@query("r2_cosine", f"SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 4) AS cos FROM embeddings e, embeddings q WHERE q.vec_id < 5")
+@query("r2_cosine", f"SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 4) AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0")
 def r2(spark, d):
     return cosines(spark, d).withColumn("cos", F.round("cos", 4))
 
 
-@query("r3_min_max", f"SELECT q_id, vec_id, round((cos - min(cos) OVER (PARTITION BY q_id)) / (max(cos) OVER (PARTITION BY q_id) - min(cos) OVER (PARTITION BY q_id)), 4) AS scaled FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id < 5)")
+@query("r3_min_max", f"SELECT q_id, vec_id, round((cos - min(cos) OVER (PARTITION BY q_id)) / (max(cos) OVER (PARTITION BY q_id) - min(cos) OVER (PARTITION BY q_id)), 4) AS scaled FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
 def r3(spark, d):
     return R.min_max(cosines(spark, d), "cos", ["q_id"], "scaled").select("q_id", "vec_id", F.round("scaled", 4).alias("scaled"))
 
 
-@query("r4_fuse", f"SELECT q_id, vec_id, round(0.65 * cos + 0.35 * (vec_id % 10) / 10.0, 4) AS score, 'hybrid(vector+bm25)' AS method FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id < 5)")
+@query("r4_fuse", f"SELECT q_id, vec_id, round(0.65 * cos + 0.35 * (vec_id % 10) / 10.0, 4) AS score, 'hybrid(vector+bm25)' AS method FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
 def r4(spark, d):
     s = cosines(spark, d).withColumn("text", (F.col("vec_id") % 10) / 10.0)
     return R.fuse(s, "cos", "text").select("q_id", "vec_id", F.round("score", 4).alias("score"), "method")
 
 
-@query("r7_vector_top_k", f"SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS rank FROM (SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 9) AS cos FROM embeddings e, embeddings q WHERE q.vec_id < 5)) WHERE rank <= 8")
+@query("r7_vector_top_k", f"SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS rank FROM (SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 9) AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 8")
 def r7(spark, d):
     return R.top_k(cosines(spark, d).withColumn("score", F.round("cos", 9)), ["q_id"], ["vec_id"], 8).select("q_id", "vec_id", "rank")
 
@@ -111,10 +116,13 @@ def p1(spark, d):
     return r.select("doc_id", F.md5(F.regexp_replace("redacted", r"⟦([a-z_]+)_\d+⟧", "<$1>").cast("binary")).alias("hash"))
 
 
-@query("p2_redaction_map", r"SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS original FROM documents")
+_MASKED = r"regexp_replace(text, '1[3-9]\d{9}', '<m>', 'g')"
+
+
+@query("p2_redaction_map", rf"SELECT doc_id, 'mobile' AS kind, unnest(regexp_extract_all(text, '1[3-9]\d{{9}}')) AS original FROM documents UNION ALL SELECT doc_id, 'id_number', unnest(regexp_extract_all({_MASKED}, '\d{{17}}[\dXx]')) FROM documents UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(regexp_replace({_MASKED}, '\d{{17}}[\dXx]', '<i>', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) FROM documents")
 def p2(spark, d):
     r = P.redact(table(spark, d, "documents").select("doc_id", "text"))
-    return P.redaction_map(r).where("placeholder LIKE '⟦email%'").select("doc_id", "original")
+    return P.redaction_map(r).select("doc_id", F.regexp_extract("placeholder", "^⟦(.*)_[0-9]+⟧$", 1).alias("kind"), "original")
 
 
 @query("p3_restore", "SELECT doc_id, md5(text) AS hash FROM documents")
@@ -144,18 +152,31 @@ def j4(spark, d):
     return J.runtime(e, "task_id", F.when(~bad, F.col("value")).otherwise(0.0), F.when(bad, F.col("value")).otherwise(0.0), 32000)
 
 
-@query("j8_route", "SELECT doc_id, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 = 0 THEN 'tables' WHEN doc_id % 5 > 1 THEN 'multi_table' WHEN doc_id % 4 > 0 THEN 'mixed' ELSE 'text' END AS track, concat('load>scope', CASE WHEN doc_id % 4 > 0 THEN '>read_tables' ELSE '' END, CASE WHEN doc_id % 4 > 0 AND doc_id % 3 = 0 THEN '' ELSE '>model' END, '>merge>postprocess>write') AS stages FROM documents")
+@query("j8_route", f"""WITH {ITEMS}, t AS (SELECT doc_id, any_value(lang) = 'en' AS use_model, count(*) FILTER (WHERE type = 'table') > 1 AS multi, count(DISTINCT length(line)) FILTER (WHERE type = 'table') = 1 AS same, count(*) FILTER (WHERE type <> 'table' AND trim(line) <> '') AS n FROM items JOIN documents USING (doc_id) GROUP BY 1)
+SELECT doc_id, CASE WHEN NOT use_model THEN 'model_disabled' WHEN multi AND NOT same THEN 'word_multi_parallel' WHEN n > 0 THEN 'semantic_slicing_stack' ELSE 'char_slice_or_direct' END AS track,
+CASE WHEN NOT use_model THEN 'skip_llm' ELSE concat('parse_inputs>', CASE WHEN multi AND NOT same THEN concat('parallel_word_table_llm>skip_word_multi_lx_prefill:', CASE WHEN n > 0 THEN 'auto_heterogeneous_tables' ELSE 'auto_no_text_chunks' END) WHEN n > 0 THEN 'semantic_chunks>langextract_or_prompt' ELSE 'char_slice_or_direct_prompt' END, '>process_by_profile>', CASE WHEN multi THEN 'internal_structured_merge>' ELSE '' END, 'write_template') END AS stages FROM t""")
 def j8(spark, d):
-    t = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 4).alias("n_tables"), (F.col("doc_id") % 3).alias("n_text_chunks"), (F.col("doc_id") % 5).alias("n_specs"))
+    """A document's tables are its targets; they have the same columns if all are equally long."""
+    i = items(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    is_table = F.col("type") == "table"
+    t = i.groupBy("doc_id").agg(
+        (F.any_value("lang") == "en").alias("use_model"), (F.count_if(is_table) > 1).alias("multi_table"), (F.countDistinct(F.when(is_table, F.length("line"))) == 1).alias("homogeneous"),
+        F.count_if(~is_table & (F.trim("line") != "")).alias("n_text_chunks"),
+    )
     return J.route(t).select("doc_id", "track", "stages")
 
 
-@query("j9_input_kind", "SELECT task_id, suffixes, CASE WHEN suffixes IN ('csv', 'csv,xlsx', 'xlsx') THEN 'tabular' WHEN suffixes = 'txt' THEN 'text' WHEN suffixes = 'pdf' THEN 'office' ELSE 'mixed' END AS kind FROM (SELECT doc_id // 2 AS task_id, string_agg(DISTINCT s, ',' ORDER BY s) AS suffixes FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'txt' WHEN 3 THEN 'pdf' ELSE 'pdf' END AS s FROM documents) GROUP BY 1)")
+@query("j9_input_kind", "SELECT task_id, string_agg(DISTINCT s, ',' ORDER BY s) AS suffixes, CASE WHEN bool_and(s IN ('csv', 'xlsx')) THEN 'tabular' WHEN bool_and(s = 'txt') THEN 'text' WHEN count(DISTINCT s) = 1 AND bool_and(s IN ('pdf', 'docx')) THEN 'office' ELSE 'mixed' END AS kind FROM (SELECT doc_id // 2 AS task_id, CASE doc_id % 5 WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'txt' WHEN 3 THEN 'pdf' ELSE 'docx' END AS s FROM documents) GROUP BY 1")
 def j9(spark, d):
-    f = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("task_id"), F.element_at(F.array(*[F.lit(x) for x in ("csv", "xlsx", "txt", "pdf", "pdf")]), (F.col("doc_id") % 5 + 1).cast("int")).alias("suffix"))
+    f = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("task_id"), F.element_at(F.array(*[F.lit(x) for x in ("csv", "xlsx", "txt", "pdf", "docx")]), (F.col("doc_id") % 5 + 1).cast("int")).alias("suffix"))
     return J.input_kind(f, "task_id", "suffix")
 
 
+@query("j5_result_metadata", f"WITH {MESSY} SELECT task_id, count(DISTINCT customer) AS file_count, count(*) AS record_count, count(*) FILTER (WHERE trim(status) = '' OR trim(order_date) = '') AS retried_count, count(*) FILTER (WHERE trim(status) = '' OR trim(order_date) = '') = 0 AS complete FROM messy GROUP BY 1")
+def j5(spark, d):
+    return J.result_metadata(messy(spark, d), ["task_id"], ["status", "order_date"], "customer")
+
+
 @query("j12_call_stats", "SELECT event_type AS model, count(*) AS calls, count(*) FILTER (WHERE value < 50) AS successes, count(*) FILTER (WHERE NOT value < 50) AS failures, round(avg(value), 6) AS mean_seconds FROM events GROUP BY ROLLUP (event_type)")
 def j12(spark, d):
     return J.call_stats(table(spark, d, "events").withColumnRenamed("event_type", "model"), "model", F.col("value") < 50, "value").withColumn("mean_seconds", F.round("mean_seconds", 6))
@@ -175,9 +196,12 @@ def c15(spark, d):
     return good.select("p_partkey", "record.name", "record.size")
 
 
-@query("k1_prompts", "SELECT doc_id, length(concat('Extract the fields a, b.', chr(10), 'Only totals.', chr(10), 'Text:', chr(10), substr(text, 1, 4000))) AS n FROM documents")
+@query("k1_prompts", "SELECT doc_id, length(concat('Extract the fields a, b. Answer with one object.', chr(10), 'Only totals.', chr(10), 'Text:', chr(10), text)) AS n, length(concat('Extract the fields a, b. Answer with a list of records, one object for each row.', chr(10), 'Only totals.', chr(10), 'Text:', chr(10), text)) AS n_table, length(concat('Extract the fields a, b. Answer with a list of records, one object for each row.', chr(10), 'Only totals.', chr(10), 'Cover all groups: c = x; c = y.', chr(10), 'Text:', chr(10), text)) AS n_groups FROM documents")
 def k1(spark, d):
-    return K.prompts(table(spark, d, "documents").select("doc_id", "text"), ["a", "b"], "Only totals.").select("doc_id", F.length("prompt").cast("long").alias("n"))
+    docs, form = table(spark, d, "documents").select("doc_id", "text"), {}
+    for name, more in (("n", {}), ("n_table", {"mode": "table_records"}), ("n_groups", {"mode": "multi_table", "groups": [("c", "x"), ("c", "y"), ("", "z")]})):
+        form[name] = F.length(K.prompt(F.col("text"), ["a", "b"], "Only totals.", **more)).cast("long")
+    return docs.select("doc_id", *[c.alias(k) for k, c in form.items()])
 
 
 @query("k3_rule_records", rf"""WITH {ITEMS} SELECT doc_id, idx, unnest(regexp_extract_all(line, '{K.NUMBER_UNIT}', 1)) AS value FROM items""")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import chunks as C
+from ..operators import intake
+from ..operators import predicates as E
 from ..operators import quality as J
 from ..sources.inputs import ITEMS, items, table
 
@@ -46,17 +48,34 @@ def a3(spark, d):
     return table(spark, d, "documents").where(n < 40).select("doc_id", F.when(n == 0, "empty").otherwise("too_short").alias("reason"))
 
 
-@query("a5_labelled_concat", """SELECT doc_id % 16 AS task_id, count(*) AS n_docs, sha256(string_agg(concat('【文件名】', doc_id, chr(10), text), chr(10) || chr(10) ORDER BY doc_id)) AS sha FROM documents GROUP BY 1""")
+@query("a5_labelled_concat", """SELECT doc_id // 16 AS task_id, count(*) AS n_docs, sha256(string_agg(concat('【文件名】', doc_id, chr(10), text), chr(10) || chr(10) ORDER BY doc_id)) AS sha FROM documents GROUP BY 1""")
 def a5(spark, d):
     one = F.concat(F.lit("【文件名】"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("t")))), lambda x: x["t"])
-    a = table(spark, d, "documents").groupBy((F.col("doc_id") % 16).alias("task_id")).agg(F.count("*").alias("n_docs"), F.array_join(parts, "\n\n").alias("t"))
+    a = table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 16).alias("task_id")).agg(F.count("*").alias("n_docs"), F.array_join(parts, "\n\n").alias("t"))
     return a.select("task_id", "n_docs", F.sha2(F.col("t").cast("binary"), 256).alias("sha"))
 
 
-@query("a6_classify", """SELECT page_id, CASE WHEN contains(html, '<table') THEN 'structured' WHEN contains(html, '<li') THEN 'semi' ELSE 'unstructured' END AS kind FROM pages""")
+@query("a6_classify", r"""SELECT page_id, CASE WHEN len(regexp_extract_all(html, '<tr')) >= 1 OR regexp_extract(lower(url), '\.([a-z0-9]+)$', 1) IN ('xlsx', 'xls', 'csv') THEN 'structured' ELSE 'unstructured' END AS kind FROM pages""")
 def a6(spark, d):
-    return table(spark, d, "pages").select("page_id", F.when(F.contains("html", F.lit("<table")), "structured").when(F.contains("html", F.lit("<li")), "semi").otherwise("unstructured").alias("kind"))
+    rows = F.size(F.regexp_extract_all("html", F.lit("<tr"), F.lit(0)))
+    return table(spark, d, "pages").select("page_id", intake.classify(table_rows=rows, suffix=F.regexp_extract(F.lower("url"), r"\.([a-z0-9]+)$", 1)).alias("kind"))
+
+
+@query("a4_decode_text", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def a4(spark, d):
+    """A third of the texts is written as GB18030, a third as UTF-8 with a mark, and all are decoded again."""
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 3).alias("form"))
+    files = docs.mapInPandas(lambda frames: (f.assign(content=[t.encode(("utf-8", "utf-8-sig", "gb18030")[k]) for t, k in zip(f["text"], f["form"], strict=True)])[["doc_id", "content"]] for f in frames), "doc_id long, content binary")
+    return intake.decoded(files, "content").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("a12_retrieved_chunks", "SELECT doc_id, CAST(i AS INTEGER) AS pos, length(t) AS n, source FROM (SELECT doc_id, source, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS t FROM documents)")
+def a12(spark, d):
+    chunks = F.transform(F.split("text", "\n"), lambda t: F.struct(t.alias("text"), F.lit("text").alias("type")))
+    docs = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(chunks.alias("retrieved_chunks"), F.struct("source").alias("structured_result"))).alias("j"))
+    c, r = intake.retrieved(docs, "j", ["doc_id"])
+    return c.join(r.select("doc_id", F.col("structured_result")["source"].alias("source")), "doc_id").select("doc_id", "pos", F.length("text").cast("long").alias("n"), "source")
 
 
 @query("a11_reuse_by_hash", """SELECT doc_id, substr(md5(text), 1, 16) AS key FROM documents WHERE substr(md5(text), 1, 16) NOT IN (SELECT substr(md5(text), 1, 16) FROM documents WHERE doc_id % 3 = 0)""")
@@ -183,10 +202,9 @@ def b19(spark, d):
     return table(spark, d, "documents").where(F.col("text").rlike(p)).select("doc_id", F.array_join(units, ",").alias("units"), (F.size(units) > 5).alias("is_table"))
 
 
-@query("b20_segment_signal", r"""SELECT doc_id, (contains(text, '.') AND length(text) > 200) OR regexp_matches(text, '\n\d+[.)]') AS segments, greatest(1, length(text) // 200) AS records FROM documents""")
+@query("b20_segment_signal", r"""SELECT doc_id, (contains(text, '。') AND length(text) > 200) OR regexp_matches(text, '(^|\n)\s*\d+[.、)]') AS segments, greatest(1, length(text) // 200) AS records FROM documents""")
 def b20(spark, d):
-    n = F.length("text")
-    return table(spark, d, "documents").select("doc_id", ((F.contains("text", F.lit(".")) & (n > 200)) | F.col("text").rlike(r"\n\d+[.)]")).alias("segments"), F.greatest(F.lit(1).cast("long"), F.floor(n / 200)).alias("records"))
+    return table(spark, d, "documents").select("doc_id", intake.segments(F.col("text")).alias("segments"), intake.record_estimate(F.col("text")).alias("records"))
 
 
 @query("b21_target_context", f"""WITH {ITEMS}, i AS (SELECT *, coalesce(sum(CASE WHEN type = 'table' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM items)
@@ -205,28 +223,28 @@ def d32(spark, d):
     return once.groupBy("token").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
-@query("d27_all_dates", f"""WITH {ITEMS}, x AS (SELECT doc_id, idx, concat('on ', strftime(DATE '2024-01-01' + CAST((doc_id * 7 + idx) % 120 AS INTEGER), '%Y-%m-%d'), ' and 2024-02-31 ', substr(line, 1, 30)) AS line FROM items WHERE idx < 5)
+@query("d27_all_dates", f"""WITH {ITEMS}, x AS (SELECT doc_id, idx, concat('on ', strftime(DATE '2024-01-01' + CAST((doc_id * 7 + idx) % 120 AS INTEGER), '%Y-%m-%d'), ' and 2024-02-31 ', line) AS line FROM items)
 SELECT doc_id, idx, len(list_filter(list_transform(regexp_extract_all(line, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}'), lambda t: try_strptime(t, '%Y-%m-%d')), lambda t: t IS NOT NULL)) AS n_dates FROM x""".replace("\\\\", "\\"))
 def d27(spark, d):
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("doc_id") * 7 + F.col("idx")) % 120).cast("int")), "yyyy-MM-dd")
-    i = items(spark, d).where("idx < 5").withColumn("line", F.concat(F.lit("on "), day, F.lit(" and 2024-02-31 "), F.substring("line", 1, 30)))
+    i = items(spark, d).withColumn("line", F.concat(F.lit("on "), day, F.lit(" and 2024-02-31 "), F.col("line")))
     return i.select("doc_id", "idx", F.size(V.all_dates("line")).cast("long").alias("n_dates"))
 
 
-@query("j6_complexity", """SELECT doc_id % 16 AS task_id, chunks, 2 + 3 * chunks AS seconds, CASE WHEN 2 + 3 * chunks <= 10 THEN 'fast' WHEN 2 + 3 * chunks <= 30 THEN 'medium' ELSE 'slow' END AS level, CAST(least(300, greatest(30, floor(1.5 * (2 + 3 * chunks)) + 10)) AS BIGINT) AS timeout
-FROM (SELECT doc_id % 16 AS doc_id, greatest(1, CAST(floor(sum(n_chars * CASE WHEN doc_id % 3 = 0 THEN 3.0 WHEN doc_id % 3 = 1 THEN 1.1 ELSE 1.0 END) / 3000) AS BIGINT)) AS chunks FROM documents GROUP BY 1)""")
+@query("j6_complexity", """SELECT task_id, chunks, 2 + 3 * chunks AS seconds, CASE WHEN chunks <= 10 THEN 'low' WHEN chunks <= 30 THEN 'medium' ELSE 'high' END AS level
+FROM (SELECT doc_id // 4 AS task_id, greatest(1, CAST(sum(n_chars * CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 1 END) // 3000 AS BIGINT)) AS chunks FROM documents GROUP BY 1)""")
 def j6(spark, d):
-    f = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("task_id"), "n_chars", F.element_at(F.array(F.lit("pdf"), F.lit("html"), F.lit("txt")), (F.col("doc_id") % 3 + 1).cast("int")).alias("suffix"))
+    f = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("task_id"), "n_chars", F.element_at(F.array(F.lit("pdf"), F.lit("docx"), F.lit("txt")), (F.col("doc_id") % 3 + 1).cast("int")).alias("suffix"))
     return J.complexity(f, "task_id", "n_chars", "suffix")
 
 
-@query("h13_source_by_offset", """WITH r AS (SELECT doc_id % 16 AS task_id, doc_id, sum(length(text) + 2) OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS hi, length(text) + 2 AS n FROM documents), o AS (SELECT i % 16 AS task_id, i * 977 AS at FROM range(0, 400) t(i))
+@query("h13_source_by_offset", """WITH r AS (SELECT doc_id // 16 AS task_id, doc_id, sum(length(text) + 2) OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) AS hi, length(text) + 2 AS n FROM documents), o AS (SELECT doc_id // 16 AS task_id, doc_id * 977 % 50000 AS at FROM documents)
 SELECT o.task_id, o.at, r.doc_id FROM o JOIN r ON o.task_id = r.task_id AND o.at >= r.hi - r.n AND o.at < r.hi""")
 def h13(spark, d):
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("task_id"), "doc_id", "text")
+    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("task_id"), "doc_id", "text")
     r = J.ranges(docs, ["task_id"], "doc_id").select("task_id", "doc_id", "lo", "hi")
-    o = spark.range(400).select((F.col("id") % 16).alias("task_id"), (F.col("id") * 977).alias("at"))
-    return F.broadcast(o).join(r, (o.task_id == r.task_id) & (o.at >= r.lo) & (o.at < r.hi)).select(o.task_id, "at", "doc_id")
+    o = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("task_id"), (F.col("doc_id") * 977 % 50000).alias("at"))
+    return o.join(r, "task_id").where("at >= lo AND at < hi").select("task_id", "at", "doc_id")
 
 
 @query("h12_field_evidence", """SELECT item_id, doc_id, substr(text, CAST(greatest(1, instr(text, v) - 250) AS BIGINT), 540) AS snippet FROM (SELECT b.item_id, substr(b.text, 1, 40) AS v, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY ALL) JOIN documents USING (doc_id)""")
@@ -234,5 +252,5 @@ def h12(spark, d):
     """The first document that holds a value, and 250 characters around it."""
     b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("v"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    hit = docs.join(F.broadcast(b), F.contains("text", F.col("v")))
+    hit = E.holders(docs, b, "v")
     return hit.groupBy("item_id").agg(F.min_by(F.substr("text", F.greatest(F.lit(1), F.instr("text", F.col("v")) - 250), F.lit(540)), "doc_id").alias("snippet"), F.min("doc_id").alias("doc_id"))

@@ -166,7 +166,7 @@ def d20(spark, d):
 @query("d21_snippet", "SELECT item_id, doc_id, substr(text, CAST(greatest(1, instr(text, v) - 520) AS BIGINT), CAST(instr(text, v) + 24 + 520 - greatest(1, instr(text, v) - 520) AS BIGINT)) AS snippet FROM (SELECT b.item_id, d.doc_id, d.text, substr(b.text, 1, 24) AS v FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 24)))")
 def d21(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 24).alias("v"))
-    hit = table(spark, d, "documents").join(F.broadcast(b), F.contains("text", F.col("v")))
+    hit = E.holders(table(spark, d, "documents").select("doc_id", "text"), b, "v")
     return hit.select("item_id", "doc_id", interpret.snippet(F.col("text"), F.col("v")).alias("snippet"))
 
 
@@ -251,10 +251,11 @@ def j3(spark, d):
     return a.join(missing, "task_id", "left").select("task_id", "records", F.coalesce("missing", F.lit(0)).alias("missing"), "chars")
 
 
-@query("j7_timeout", "SELECT p_partkey, CAST(least(300, greatest(30, floor(1.5 * (2 + 3 * p_size)) + 10)) AS BIGINT) AS timeout FROM part")
+@query("j7_timeout", "SELECT task_id, CASE WHEN task_id % 2 = 0 THEN least(300, greatest(30, CAST(floor(1.5 * (2 + 3 * chunks)) + 10 AS BIGINT))) ELSE 120 END AS timeout FROM (SELECT doc_id // 4 AS task_id, greatest(1, CAST(sum(n_chars) // 3000 AS BIGINT)) AS chunks FROM documents GROUP BY 1)")
 def j7(spark, d):
-    f = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 3000).alias("n"), F.lit("txt").alias("suffix"))
-    return J.complexity(f, "p_partkey", "n", "suffix").select("p_partkey", "timeout")
+    f = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("task_id"), "n_chars", F.lit("txt").alias("suffix"))
+    given = F.when(F.col("task_id") % 2 == 0, 240).otherwise(120)  # every other caller left the default
+    return J.complexity(f, "task_id", "n_chars", "suffix").select("task_id", J.timeout(given, F.col("seconds"), 240).alias("timeout"))
 
 
 @query("j14_output_groups", "SELECT source AS stem, count(*) AS outputs, (SELECT count(DISTINCT source) > 1 FROM documents) AS multi FROM documents GROUP BY source")
@@ -265,13 +266,10 @@ def j14(spark, d):
     return stems.crossJoin(F.broadcast(stems.agg((F.count("*") > 1).alias("multi"))))
 
 
-@query("k4_second_pass", f"WITH {MESSY} SELECT record_idx, CASE WHEN trim(status) = '' THEN 'F' ELSE status END AS status FROM messy")
+@query("k4_second_pass", f"WITH {MESSY} SELECT record_idx, CASE WHEN trim(status) = '' THEN concat('n=', length(concat('Extract the fields status. Answer with one object.', chr(10), chr(10), 'Text:', chr(10), amount))) ELSE status END AS status FROM messy")
 def k4(spark, d):
     """Records with a missing required cell go to a second pass; its answers fill the gaps."""
-    m = messy(spark, d)
-    todo = m.join(R.missing_cells(m, ["status"], ["record_idx"]).select("record_idx"), "record_idx", "left_semi")
-    again = todo.select("record_idx", F.lit("F").alias("_answer"))
-    return m.join(again, "record_idx", "left").select("record_idx", F.when(V.is_blank("status"), F.col("_answer")).otherwise(F.col("status")).alias("status"))
+    return K.second_pass(messy(spark, d), "status", F.col("amount"), lambda ps: [f"n={len(p)}" for p in ps]).select("record_idx", "status")
 
 
 @query("k8_end_to_end")
@@ -289,11 +287,6 @@ def r5(spark, d):
     return items(spark, d).select("doc_id", "idx", F.round(F.length("line") * retrieval.boost("type"), 6).alias("score"))
 
 
-@query("r8_source_list", "SELECT doc_id, source, substr(text, 1, 200) AS excerpt, round(n_chars / 7.0, 3) AS score, 'bm25' AS method FROM documents")
-def r8(spark, d):
-    return table(spark, d, "documents").select("doc_id", "source", F.substring("text", 1, 200).alias("excerpt"), F.round(F.col("n_chars") / 7.0, 3).alias("score"), F.lit("bm25").alias("method"))
-
-
 @query("f2_removed_count", f"WITH {DUPS} SELECT count(*) AS before_rows, count(DISTINCT concat_ws(chr(1), {', '.join(STRICT(k) for k in ('customer', 'amount'))})) AS after_rows FROM dups")
 def f2_count(spark, d):
     x = dups(spark, d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, documents, extraction, records
+from . import answers, documents, extraction, intake, records
 
-QUERIES: dict = documents.QUERIES | records.QUERIES | answers.QUERIES | extraction.QUERIES
-SQL: dict = documents.SQL | records.SQL | answers.SQL | extraction.SQL
+QUERIES: dict = documents.QUERIES | records.QUERIES | answers.QUERIES | extraction.QUERIES | intake.QUERIES
+SQL: dict = documents.SQL | records.SQL | answers.SQL | extraction.SQL | intake.SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,11 +19,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def cut(df):
-    """Compute once and cut the lineage in the folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    import tempfile
-
+    """Compute once and cut the lineage in the folder of spark.checkpoint.dir."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))  # one machine: any folder is shared
     return df.checkpoint(eager=True)

@@ -112,3 +112,92 @@ def test_fuzzy_merge_is_the_greedy_pass(spark):
     got = {r.record_idx: r.leader for r in fuzzy.leaders(fuzzy.similar_pairs(d, least)).collect()}
     assert got == leader
     assert fuzzy.fuzzy_merge(d.limit(0), ["t"]).count() == 0
+
+
+def test_texts_of_bytes_and_files(spark, tmp_path):
+    from quire.operators import intake
+
+    for name, data in (("a.txt", "中文é".encode("gb18030")), ("b.txt", "é".encode()), ("c.txt", b"\xef\xbb\xbfx"), ("d.md", b"no"), ("e.txt", b"a\xff")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: r.text for r in intake.read_files(spark, f"file://{tmp_path}", "*.txt").collect()}
+    assert got == {"a.txt": "中文é", "b.txt": "é", "c.txt": "x", "e.txt": "a"}
+    assert intake.text_of(None) is None
+
+
+def test_classes_and_segments(spark):
+    from quire.operators import intake
+
+    d = spark.createDataFrame([(0, 0, "pdf", "x"), (1, 0, "pdf", "a\n 3、b"), (0, 2, "txt", "。" * 201), (0, 0, "XLSX", "。"), (None, None, "md", "1.5 x")], "n int, t int, s string, x string")
+    got = d.select(intake.classify(F.col("n"), 0, F.col("t"), F.col("s")).alias("k"), intake.segments(F.col("x")).alias("g")).collect()
+    assert [r.k for r in got] == ["unstructured", "structured", "structured", "structured", "unstructured"]
+    assert [r.g for r in got] == [False, True, True, False, True]
+
+
+def test_complexity_and_kinds(spark):
+    from quire.operators import quality
+
+    f = spark.createDataFrame([(1, 11, "txt"), (2, 6, "pdf"), (3, 10_000, "docx"), (4, 60_000, "pdf"), (5, 1000, "docx"), (5, 1000, "pdf")], "t int, n long, s string")
+    got = {r.t: (r.chunks, r.seconds, r.level) for r in quality.complexity(f, "t", "n", "s").collect()}
+    assert got == {1: (1, 5, "low"), 2: (1, 5, "low"), 3: (10, 32, "low"), 4: (40, 122, "high"), 5: (1, 5, "low")}
+    assert {r.t: r.kind for r in quality.input_kind(f, "t", "s").collect()} == {1: "text", 2: "office", 3: "office", 4: "office", 5: "mixed"}
+    rows = [(True, True, False, 0), (True, True, True, 2), (True, False, True, 0), (False, True, False, 1)]
+    t = spark.createDataFrame(rows, "use_model boolean, multi_table boolean, homogeneous boolean, n_text_chunks int")
+    assert [(r.track, r.stages.count(">") + 1) for r in quality.route(t).collect()] == [("word_multi_parallel", 6), ("semantic_slicing_stack", 6), ("char_slice_or_direct", 4), ("model_disabled", 1)]
+
+
+def test_series_residue_and_lists(spark):
+    from quire.functions import values as V
+
+    text = "a    1\n城市    济南\nName: 152, dtype: object"
+    assert one(spark, lambda c: V.series_value(c, "城市"), text) == "济南"
+    assert one(spark, lambda c: V.series_value(c, "x"), text) == "济南"
+    assert one(spark, lambda c: V.series_value(c, "x"), "Name: plain text") == "Name: plain text"
+    assert one(spark, lambda c: V.series_value(c), None) is None
+    assert one(spark, lambda c: F.array_join(V.text_list(F.array(c, F.lit(" b "), F.lit(" "))), "|"), None) == "b"
+
+
+def test_candidate_columns(spark):
+    from quire.operators import mapping
+
+    assert mapping.candidate_columns(["城市", "监测时间", "x"], "city", {}) == ["城市"]
+    assert mapping.candidate_columns(["a", "监测日期(时)", "Datetime"], "date", {}) == ["监测日期(时)", "Datetime"]
+    assert mapping.candidate_columns(["单位名"], "公司", {"公司": ["单位名"]}) == ["单位名"]
+    assert mapping.candidate_columns(["x"], "", {}) == []
+
+
+def test_deep_json_is_flattened_to_the_end(spark):
+    j = '{"name": "a", "size": "1"}'
+    for i in range(9):
+        j = f'{{"k{i}": {j}}}'
+    d = spark.createDataFrame([(1, j)], "key long, j string")
+    assert [(r.record["name"], r.record["size"]) for r in layout.flatten_records(d, "j", ["name", "size"]).collect()] == [("a", "1")]
+
+
+def test_search_finds_han_text_and_fills_places(spark):
+    from quire.operators import retrieval
+
+    rows = [(0, 0, "text", "甲城空气质量"), (0, 1, "table", "甲城空气质量"), *((i, 0, "text", f"other words {i}") for i in range(1, 9))]
+    c = spark.createDataFrame(rows, "doc_id long, idx long, type string, text string")
+    q = spark.createDataFrame([("空气质量",), ("nothing",)], "question string")
+    got = retrieval.search(c, q, 3).orderBy("question", "rank").collect()
+    assert [(r.doc_id, r.idx) for r in got if r.question == "nothing"] == [(0, 0), (0, 1), (1, 0)]
+    assert [(r.doc_id, r.idx) for r in got if r.question == "空气质量"][:2] == [(0, 1), (0, 0)] and len(got) == 6
+    assert retrieval.search(c.limit(0), q, 3).count() == 0
+
+
+def test_providers_are_asked_once_and_singly(spark, tmp_path):
+    from quire.operators import infer
+
+    log = str(tmp_path / "log")
+
+    def first(ps):
+        with open(log, "a") as f:
+            f.write("".join(f"{p}\n" for p in ps))
+        if any("bad" in p for p in ps):
+            raise ValueError("bad prompt")
+        return [f"1:{p}" for p in ps]
+
+    c = spark.createDataFrame([(i, 0, "bad" if i == 3 else f"p{i}") for i in range(6)], "doc_id long, chunk_idx int, prompt string").coalesce(1)
+    got = {r.doc_id: (r.response, r.provider) for r in infer.with_fallback(c, [("a", first), ("b", lambda ps: [f"2:{p}" for p in ps])]).collect()}
+    assert got == {i: (f"1:p{i}", "a") for i in range(6) if i != 3} | {3: ("2:bad", "b")}
+    assert open(log).read().split().count("p1") == 2  # in its batch, then singly
