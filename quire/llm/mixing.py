@@ -6,8 +6,8 @@ document floor(rate) times and, for the fraction, documents in seeded order up t
 target falls is taken in part, so that a source's sum is its target rounded.
 
 Nulls and edge cases: a null source is a source of its own, after all others; a null text has size 0 and is taken 0 times;
-repeated rows count once each, ties of the seeded order fall back to the text's hash; extra columns pass through; an empty
-table gives an empty table.
+repeated rows count once each, ties of the seeded order fall back to the text's hash; extra columns pass through, but columns
+named as the results (size, source_size, target, whole, taken) are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, table
 
 WEIGHTS = (5, 2, 1)
-#: Documents of one source are drawn in this many ranges of the seeded order.
-RANGES = 4096
+#: Documents of one source are drawn in ranges of the seeded order: this many, or one for so many documents.
+RANGES, IN_RANGE = 4096, 20_000
+#: Sources that may be broadcast.
+MOST_BROADCAST = 100_000
+RESULTS = ("size", "source_size", "target", "whole", "taken")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -52,9 +55,15 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def targets(sources: DataFrame, weights=WEIGHTS, epochs: int = 3) -> DataFrame:
     """One row for each source: source_size, target. `sources`: source, source_size."""
-    order = Window.orderBy(F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8"))  # one row a source
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    sources = cut(sources.withColumn("weight", w).withColumn("cap", F.col("source_size") * epochs))
+    # ranks by code point: within ranges of sources, then from the sizes of the ranges before
+    ordered = sources.withColumns({"_null": F.col("source").isNull(), "_key": F.encode(F.coalesce("source", F.lit("")), "UTF-8")})
+    ordered = cut(ordered.repartitionByRange("_null", "_key").withColumn("_part", F.spark_partition_id()))
+    before = ordered.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_null", "_key")) - 1 + F.col("_before")
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (rank % len(weights) + 1).cast("int"))
+    sources = ordered.join(before, "_part").withColumn("weight", w).withColumn("cap", F.col("source_size") * epochs)
+    sources = cut(sources.select("source", "source_size", "weight", "cap"))
     level, fixed = None, (-1, 0)
     while True:
         clamped = F.lit(False) if level is None else F.col("cap") <= F.col("weight") * F.lit(level)
@@ -71,21 +80,24 @@ def targets(sources: DataFrame, weights=WEIGHTS, epochs: int = 3) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 1) -> DataFrame:
     """docs with size, source_size, target, whole (whole repetitions) and taken (words taken, repeats counted)."""
+    docs = docs.drop(*RESULTS)
+    ranges = max(RANGES, docs.count() // IN_RANGE)
     d = sized(docs).withColumnRenamed("_size", "size")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(1 << 52))
-    d = d.withColumn("_draw", draw).withColumn("_range", (F.col("_draw") / (1 << 52) * RANGES).cast("int"))
+    d = d.withColumn("_draw", draw).withColumn("_range", (F.col("_draw") / (1 << 52) * ranges).cast("int"))
     small = cut(d.groupBy("source", "_range").agg(F.sum("size").alias("_size")))
     t = targets(small.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, epochs)
     t = t.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
     t = cut(t)
+    few = F.broadcast if t.count() <= MOST_BROADCAST else lambda x: x
     same = F.col("_source").eqNullSafe(F.col("source"))
     before = F.sum("_size").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    spans = small.withColumn("_from", F.coalesce(before, F.lit(0))).join(F.broadcast(t.withColumnRenamed("source", "_source")), same)
+    spans = small.withColumn("_from", F.coalesce(before, F.lit(0))).join(few(t.withColumnRenamed("source", "_source")), same)
     # the range in which the target falls; ranges before it are taken, ranges after it are not
     spans = spans.where((F.col("_from") < F.col("_rest")) & (F.col("_from") + F.col("_size") >= F.col("_rest")))
     spans = t.withColumnRenamed("source", "_source").join(spans.select(F.col("source").alias("_s"), F.col("_range").alias("_cut"), "_from"), F.col("_s").eqNullSafe(F.col("_source")), "left").drop("_s")
-    d = d.join(F.broadcast(spans), same, "left").drop("_source")
+    d = d.join(few(spans), same, "left").drop("_source")
     inside = d.where(F.col("_range") == F.col("_cut"))
     order = Window.partitionBy("source").orderBy("_draw", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("_at", F.col("_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
