@@ -11,8 +11,8 @@ validation: such a value wins over a card of unusual groups, then the earlier on
 further digits are joined to by a hyphen or dot are taken apart for cards and hyphens only, as Luhn's sum tells those.
 
 Nulls and edge cases: a null text stays null, an empty one empty; what fails validation as every kind stays as it is; a value whose
-halves are empty is shifted by the key alone; repeated rows give equal rows; extra columns pass through; an empty table gives
-an empty table.
+halves are empty is shifted by the key alone; repeated rows give equal rows; extra columns pass through, but one named found is
+replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -124,17 +124,33 @@ def is_ssn(digits):
 
 
 def ssn(value, key: str):
-    """Walks on until the number is a valid one again."""
-    step = lambda d, i: F.when((i == 1) | ~is_ssn(d), permute_digits(d, key, "ssn", F.lit(""))).otherwise(d)
-    return into_places(value, F.aggregate(F.sequence(F.lit(1), F.lit(40)), only_digits(value), step))
+    """Permuted among the valid numbers: 898 areas (not 000, 666 or 9xx) by 99 x 9,999 others."""
+
+    def of(d):
+        n = lambda i, size: F.substr(d, F.lit(i), F.lit(size)).cast("long")
+        area = n(1, 3) - F.when(n(1, 3) > 666, 2).otherwise(1)
+        other = (n(4, 2) - 1) * 9999 + n(6, 4) - 1
+        moved = feistel(area, other, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"), key, "ssn", F.lit(""))
+        pad = lambda x, size: F.lpad(x.cast("string"), size, "0")
+        return _let(moved, lambda s: into_places(value, F.concat(pad(s["l"] + F.when(s["l"] >= 665, 2).otherwise(1), 3), pad(F.floor(s["r"] / 9999) + 1, 2), pad(s["r"] % 9999 + 1, 4))))
+
+    return _let(only_digits(value), of)
 
 
 def phone(value, key: str):
-    """The last ten digits, or all if there are fewer, with the country code as tweak."""
+    """A mobile number keeps its first two digits, any other number all but the last seven, whose first digit stays among 0 and
+    1 or among 2 to 9; what stays is the tweak."""
 
     def of(d):
-        head = F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0)))
-        return into_places(value, F.concat(head, permute_digits(F.substr(d, F.length(head) + 1, F.lit(10)), key, "phone", head)))
+        mobile = value.rlike(r"^1[3-9]\d{9}$")
+        head = F.substr(d, F.lit(1), F.when(mobile, 2).otherwise(F.length(d) - 7))
+        rest = F.substr(d, F.length(head) + 1, F.lit(9))
+        high = F.substr(rest, F.lit(1), F.lit(1)) >= "2"
+        base, size = F.when(high, 2_000_000).otherwise(0).cast("long"), F.when(high, 8_000).otherwise(2_000).cast("long")
+        n = rest.cast("long") - base
+        moved = feistel(F.floor(n / 1000), n % 1000, size, F.lit(1000).cast("long"), key, "phone", head)
+        seven = _let(moved, lambda s: F.lpad((s["l"] * 1000 + s["r"] + base).cast("string"), 7, "0"))
+        return into_places(value, F.concat(head, F.when(mobile, permute_digits(rest, key, "phone", head)).otherwise(seven)))
 
     return _let(only_digits(value), of)
 
