@@ -3,10 +3,12 @@
 Base spans come from three patterns. The method adds spans: runs of 20 or more characters of the usual encodings are
 candidates; the narrowest alphabet that fits is inferred, and three tests are made on the symbols' ranks: chi-squared
 uniformity over the alphabet, runs above and below the middle, and correlation of neighbours. A candidate is random enough if
-the three together do not reject uniform symbols. It is a discovery if its chi-squared is far below what ordinary text of its
-length gives in that alphabet: this p-value falls with length, so a short run needs to be more even than a long one, and the
-Benjamini-Hochberg rule over the candidates of all documents controls the share of false ones. The rule needs counts of
-p-values in fixed bins only (at most BINS rows reach the driver).
+the three together do not reject uniform symbols. It is a discovery if it is also far from ordinary text of its length in that
+alphabet: by its chi-squared, which ordinary text exceeds, and, in alphabets of several classes (digits, upper and lower
+case), by its runs of a class, of which ordinary text has few. Both give one p-value, which falls with length, so a short run
+needs to be more even than a long one, and the Benjamini-Hochberg rule over the candidates of all documents controls the share
+of false ones. The rule needs counts of p-values in fixed bins only (at most BINS rows reach the driver). Tokens of 32
+characters are found in all alphabets but letters of one case, which are too like words below some 80 characters.
 
 Nulls and edge cases: a null or empty text has no spans; the hash of no spans is that of the empty string; candidates that
 overlap a base span are left to it; repeated rows give equal rows, and count as often in the false-discovery rule; extra
@@ -30,9 +32,11 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets from narrow to wide, and by how much ordinary text exceeds even use: size x sum of squared shares - 1.
 ALPHABETS = (
-    (DIGITS, 0.35), (DIGITS + "abcdef", 1.0), (DIGITS + "ABCDEF", 1.0), (LOWER, 0.75), (UPPER, 0.75), (UPPER + "234567", 1.1), (DIGITS + LOWER, 1.2),
+    (DIGITS, 2.5), (DIGITS + "abcdef", 1.5), (DIGITS + "ABCDEF", 1.5), (LOWER, 0.75), (UPPER, 0.75), (UPPER + "234567", 1.3), (DIGITS + LOWER, 1.2),
     (UPPER + LOWER, 2.3), (UPPER + LOWER + DIGITS, 2.7), (UPPER + LOWER + DIGITS + "+/", 2.8), (UPPER + LOWER + DIGITS + "-_", 2.8),
 )
+#: Changes of class (digit, upper case, lower case) that ordinary text has for each character.
+CHANGES = 0.08
 BINS, PER_DECADE = 600, 20
 
 
@@ -54,7 +58,8 @@ def spans(text, pattern: str, kind: int, keep, found: str | None = None):
 
 
 def statistics(run):
-    """(n, size, chi, excess, battery) of a candidate: length, alphabet, chi-squared, ordinary excess, and the battery's sum."""
+    """(n, size, chi, excess, changes, battery) of a candidate: length, alphabet, chi-squared, ordinary excess, changes of class
+    (null in an alphabet of one class), and the battery's sum."""
     body = F.rtrim(run, F.lit("="))
     choice = F.coalesce(*[F.when(F.length(F.translate(body, a, "")) == 0, F.struct(F.lit(a).alias("a"), F.lit(x).alias("x"))) for a, x in ALPHABETS], F.struct(F.lit(UPPER + LOWER + DIGITS + "+/").alias("a"), F.lit(2.8).alias("x")))
 
@@ -62,8 +67,10 @@ def statistics(run):
         body, alphabet, excess = state["body"], state["c"]["a"], state["c"]["x"]
         n, size = F.length(body).cast("double"), F.length(alphabet).cast("double")
         ranks = F.transform(F.split(body, ""), lambda ch: F.instr(alphabet, ch).cast("double") - 1)
+        classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
+        changes = F.when(~alphabet.isin(DIGITS, LOWER, UPPER), F.length(classes).cast("double") - 1)
         squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda s, ch: s + F.pow(n - F.length(F.replace(body, ch)), F.lit(2)))
-        return F.struct(n.alias("n"), size.alias("size"), (squares * size / n - n).alias("chi"), excess.alias("excess"), ranks.alias("v"))
+        return F.struct(n.alias("n"), size.alias("size"), (squares * size / n - n).alias("chi"), excess.alias("excess"), ranks.alias("v"), changes.alias("changes"))
 
     def battery(s):
         n, size, v, df = s["n"], s["size"], s["v"], s["size"] - 1
@@ -81,7 +88,7 @@ def statistics(run):
         lag = F.aggregate(F.zip_with(F.slice(about, 1, F.size(v) - 1), F.slice(about, 2, F.size(v) - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
         serial = F.when(var > 0, lag / var * F.sqrt(n)).otherwise(F.lit(99.0))
         total = F.pow(F.greatest(cube, F.lit(0.0)), F.lit(2)) + F.pow((runs - expected) / spread, F.lit(2)) + serial * serial
-        return F.struct(s["n"].alias("n"), size.alias("size"), s["chi"].alias("chi"), s["excess"].alias("excess"), total.alias("battery"))
+        return F.struct(s["n"].alias("n"), size.alias("size"), s["chi"].alias("chi"), s["excess"].alias("excess"), s["changes"].alias("changes"), total.alias("battery"))
 
     held = F.transform(F.array(F.struct(body.alias("body"), choice.alias("c"))), of)
     return F.transform(held, battery)[0]
@@ -115,7 +122,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     def with_p(r):
         s = r["s"]
         df = s["size"] - 1
-        z = (s["chi"] - (df + s["n"] * s["excess"])) / F.sqrt(2 * (df + 2 * s["n"] * s["excess"]))
+        even = (s["chi"] - (df + s["n"] * s["excess"])) / F.sqrt(2 * (df + 2 * s["n"] * s["excess"]))
+        z = F.coalesce((even + (CHANGES * s["n"] - s["changes"]) / F.sqrt(CHANGES * s["n"])) / 2**0.5, even)
         return F.struct(r["start"].alias("start"), r["kind"].alias("kind"), r["end"].alias("end"), F.greatest(lower_tail(z), F.lit(1e-30)).alias("p"), s["battery"].alias("battery"))
 
     return cut(d.select("doc_id", "base", F.transform(F.transform("runs", rated), with_p).alias("runs")))

@@ -171,6 +171,14 @@ def test_mixing(docs):
         assert abs(taken[s] - (3 * sizes[s] if s in capped else level * weight[s])) <= 1
 
 
+def test_mixing_replaces_columns_of_its_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    docs = odd_documents(spark)
+    want = sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "target", "taken").collect()))
+    more = docs.selectExpr("*", "'x' AS size", "1 AS source_size", "2 AS target", "3 AS whole", "4 AS taken")
+    assert sorted(map(tuple, mixing.mix(more).select("doc_id", "size", "target", "taken").collect())) == want
+
+
 def test_mixing_again(spark):
     docs = table_of(spark)
     one = sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken").collect()))
@@ -204,8 +212,20 @@ def test_media_formats():
     whole = np.kron(grey, np.ones((6, 6)))  # 30 x 42: boxes of whole pixels
     assert small == pytest.approx(whole.reshape(2, 15, 3, 14).mean((1, 3)))
     assert (media.read_tiles(media.tiles(colour, 2)) == colour).all()
-    with pytest.raises(ValueError):
-        media.decode(b"GIF89a")
+    assert media.decode(b"P2 3 1 15\n0 7 15").tolist() == [[0, 119, 255]] and media.decode(b"P5 2 1 1\n\0\1").tolist() == [[0, 255]]
+    body = b"".join(struct.pack("<I", r << 4 | g << 12 | b << 20) for r, g, b in ((255, 0, 1), (2, 255, 3)))
+    head = b"BM" + struct.pack("<IHHI", 66 + len(body), 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 32, 3, len(body), 0, 0, 0, 0) + struct.pack("<3I", 255 << 4, 255 << 12, 255 << 20)
+    assert media.decode(head + body).tolist() == [[[255, 0, 1], [2, 255, 3]]]
+    for bad in (b"GIF89a", b"P2 1 1 255\n300", b"P5 9 9 255\nx", b"BM", b"P5 1 1 0\n0", b"P2 99999 99999 1\n1"):
+        with pytest.raises((ValueError, struct.error)):
+            media.decode(bad)
+
+
+def test_media_of_images_without_pixels_and_broken_ones(spark):
+    rows = [(1, 9, b"P5 0 0 255\n"), (2, 9, b"P2 1 1 255\n300"), (3, 0, None), (4, 1, b"P5 1 1 255\n7")]
+    got = {r.doc_id: r for r in media.features(media.media_tiles(spark.createDataFrame(rows, "doc_id long, n_bytes long, image binary"))).collect()}
+    assert (got[1].payload_bytes, got[1].feature) == (0, "") and got[2].payload_bytes is None and got[3].feature is None
+    assert (got[4].payload_bytes, got[4].payload_sha256) == (1, hashlib.sha256(b"7").hexdigest())
 
 
 def test_repair(docs):

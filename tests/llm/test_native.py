@@ -60,6 +60,21 @@ def test_feistel_is_a_permutation(spark):
     assert two.select("x").distinct().count() == two.select("y").distinct().count() == 1000
 
 
+def test_phones_and_ssns_stay_valid(spark):
+    texts = [f"1{3 + i % 7}{i * 7919 % 10**9:09d}" for i in range(120)] + [f"(212) {2 + i % 8}{i:02d}-{i * 37 % 10**4:04d}" for i in range(60)] + [f"{(i * 7) % 899 + 1:03d}-{i % 99 + 1:02d}-{i * 91 % 9999 + 1:04d}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "text AS old", "1 AS found")
+    rows = [r for r in pseudonyms.pseudonymise(docs).collect() if r.found]
+    assert len(rows) > 370 and len({r.text for r in rows}) == len({r.old for r in rows})
+    for r in rows:
+        kind = r.found[0].kind
+        if kind == "ssn":
+            assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", r.text)
+        elif r.old[0] == "1":
+            assert kind == "phone" and r.text[:2] == r.old[:2] and len(r.text) == 11 and r.text.isdigit()
+        else:
+            assert r.text.startswith("(212) ") and r.text[6] >= "2" and len(r.text) == 14
+
+
 def test_pseudonyms_whole_table(spark):
     docs = table_of(spark, sf="/root/testdata/sf0.01").withColumn("old", F.col("text"))
     rows = pseudonyms.pseudonymise(docs).collect()
@@ -193,3 +208,16 @@ def test_vectors_odd(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in quantised.near_duplicate_vectors(docs).collect()}
     assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 9: (4, 0), 10: (4, 0), **{v: (0, v) for v in (3, 4, 5, 6, 7, 8, 11)}}
     assert quantised.near_duplicate_vectors(docs.limit(0)).count() == 0
+
+
+def test_secrets_recall_by_alphabet(spark):
+    """Tokens of 32 characters among ordinary documents; what is hexadecimal in lower case is a base span already."""
+    rng = np.random.default_rng(5)
+    alphabets = {"digits": (secrets.DIGITS, 24), "HEX": (secrets.DIGITS + "ABCDEF", 32), "base32": (secrets.UPPER + "234567", 32), "base36": (secrets.DIGITS + secrets.LOWER, 32)}
+    alphabets |= {"letters": (secrets.UPPER + secrets.LOWER, 32), "base62": (secrets.UPPER + secrets.LOWER + secrets.DIGITS, 32), "base64": (secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/", 32)}
+    rows = [(10**6 * (k + 1) + i, "key " + "".join(rng.choice(list(a), n)) + " end") for k, (a, n) in enumerate(alphabets.values()) for i in range(40)]
+    docs = table_of(spark, sf="/root/testdata/sf0.01").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = secrets.find_secrets(docs).where(F.exists("found", lambda s: s["kind"] == 3)).select("doc_id").collect()
+    n = np.bincount([r.doc_id // 10**6 for r in found], minlength=len(alphabets) + 1)
+    assert (n[1:] >= 0.9 * 40).all(), dict(zip(alphabets, n[1:].tolist(), strict=True))
+    assert n[0] <= 0.01 * n.sum()  # false discoveries
