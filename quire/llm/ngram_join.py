@@ -49,7 +49,7 @@ SAMPLE = 65_536
 #: Holders of one key that are compared in one block.
 BLOCK = 2048
 #: Rows of blocks in one task.
-BLOCK_ROWS = 60_000
+BLOCK_ROWS = 20_000
 #: Cost class of keys too frequent to be counted.
 HOT = 255
 
@@ -400,19 +400,23 @@ def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> D
     rows = posts.join(comps, posts.doc == comps.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x <> y")
     rows = cut(rows.join(mixed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "key"))
-    many = rows.agg(F.sum("blocks")).first()[0] or 0
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // BLOCK_ROWS))
+    parts = max(1, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // BLOCK_ROWS))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.join(sets.select(F.col("doc_id").alias("doc"), "n", "sketch"), "doc")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp", "n", "sketch")
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "comp")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)))
+    # a document's sketch comes once to each task, however many keys it has there
+    held = rows.select(F.col("part").alias("to"), F.col("doc").alias("doc_id")).distinct().join(sets.select("doc_id", "n", "sketch"), "doc_id")
 
-    def run(group: pa.Table) -> pa.Table:
-        key, i, j, block, doc, comp, n = (group.column(c).to_numpy() for c in ("key", "i", "j", "block", "doc", "comp", "n"))
+    def run(group: pa.Table, held: pa.Table) -> pa.Table:
+        key, i, j, block, doc, comp = (group.column(c).to_numpy() for c in ("key", "i", "j", "block", "doc", "comp"))
         order = np.lexsort((doc, block, j, i, key))
-        key, i, j, block, doc, comp, n = (x[order] for x in (key, i, j, block, doc, comp, n))
-        sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sketch").combine_chunks().take(pa.array(order))]
+        key, i, j, block, doc, comp = (x[order] for x in (key, i, j, block, doc, comp))
+        own = held.column("doc_id").to_numpy()
+        by_doc = np.argsort(own, kind="stable")
+        at = by_doc[np.searchsorted(own, doc, sorter=by_doc)]
+        n, each = held.column("n").to_numpy()[at], [np.frombuffer(x.as_buffer(), np.uint64) for x in held.column("sketch").combine_chunks()]
+        sketch = [each[k] for k in at]
         at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
         size = np.diff(np.append(at, len(key)))
         high = np.repeat(at + size, size)
@@ -433,7 +437,7 @@ def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> D
         found = np.unique(found, axis=0)
         return pa.table({c: found[:, k] for k, c in enumerate(("a", "b", "x", "y", "score"))})
 
-    found = rows.groupBy("part").applyInArrow(run, "a long, b long, x long, y long, score long")
+    found = rows.groupBy("part").cogroup(held.groupBy("to")).applyInArrow(run, "a long, b long, x long, y long, score long")
     if best:
         sides = found.select(F.explode(F.array("x", "y")).alias("comp"), "a", "b", "score")
         found = sides.groupBy("comp").agg(F.min(F.struct("score", "a", "b")).alias("best")).select("best.a", "best.b")
