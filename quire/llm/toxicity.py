@@ -1,20 +1,23 @@
 """Operator 9: toxicity by class-conditional Kneser-Ney models.
 
-Two Kneser-Ney word models, of toxic and of ordinary documents, are compared by their length-normalised log-likelihoods. A
-class's estimate comes from continuation counts (numbers of different words before a word, from the class's bigrams), less
-a discount of 1, and both classes end in the same backoff: for each word the number of documents that hold it, over the
-whole corpus. What a class shows once counts for nothing, so that rare expressions are told by the shared counts. The ratio
-of a word counts as far as it is more than `band` nats from the document's median: what moves all words of a document alike
-is its language or topic. (Bigram estimates on top of these made results worse: contexts seen in a few near copies
-decided. They serve for the continuation counts alone.) A logistic curve, fitted on labelled documents that the models
-haven't seen, gives the score.
+Two Kneser-Ney bigram models, of toxic and of ordinary documents, are compared by their length-normalised log-likelihoods. In
+each, a pair of words counts once for a document that holds it, less a discount; what the discount takes goes to the word's
+continuation estimate (its number of different predecessors in the class, less a discount of 1), and from there to a backoff
+that both classes share: for each word the number of documents that hold it, over the whole corpus. So rare expressions are
+told by the shared counts. The pairs' discount is a share of the preceding word's count, chosen on the tuning rows: near copies
+repeat whole passages, and with a small discount the pairs of a few copies would decide. At 1 the backoff alone is left.
+
+The ratio of a word counts as far as it lies more than `band` nats from its document's reference: what moves all words of a
+document alike is its language or topic. The reference is the median of a text's unremarkable words and of eight words at the
+corpus's median ratio, which toxic words can't raise. A logistic curve over the length-normalised sums, fitted on labelled
+documents that the models haven't seen, gives the score and chooses the discount.
 
 The models are fitted on a bounded sample of labelled rows: at most `most_docs` of each class, and at most `most_tuning` for
 the curve, taken in the order of a hash. The shared counts and the scores cover all documents.
 
 Nulls and edge cases: a null or empty text scores what no evidence scores; labels that are null or held twice for one
 document count once, the larger one; without labels of both classes every score is the share of toxic labels, or 0; repeated
-rows score alike; extra columns pass through; an empty table gives an empty table.
+rows score alike; extra columns pass through, but one named score is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ from .common import cut, mix, slices, table, word_hashes
 
 _START = np.uint64(0x1234567890ABCDEF)
 _ODD = np.uint64(0xA24BAED4963EE407)
+#: Documents that a pair's discount takes at least, and documents of each class in which a word must precede others for its pairs
+#: to count.
+LEAST, SUPPORT = 2.0, 30
 #: Words of the base that each text's reference counts besides its own, so that short texts are measured against the corpus.
 PRIOR = 8
 
@@ -80,24 +86,57 @@ def shared_counts(docs: DataFrame) -> DataFrame:
 
 
 def _bigrams(sample: DataFrame) -> DataFrame:
+    """(toxic, before, word, n): the documents of each class that hold a pair of words."""
+
     def run(batches):
         for batch in batches:
-            toxic = batch.column("toxic").to_numpy()
-            for c in (0, 1):
-                words, at = word_hashes(batch.column("text").filter(pa.array(toxic == c)))
-                before = _before(words, at)
-                _, first, n = np.unique(_pair(before, words), return_index=True, return_counts=True)
-                cols = [pa.array(np.full(len(n), c, np.int32)), pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["toxic", "before", "word", "n"])
-
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, before long, word long, n long").groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
+            for part in slices(batch):
+                words, at = word_hashes(part.column("text"))
+                before, n = _before(words, at), np.diff(at)
+                toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32), n)
+                doc = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                _, first = np.unique(mix(_pair(before, words) + doc * _ODD, 8), return_index=True)  # once for a document
+                cols = [pa.array(toxic[first]), pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["toxic", "before", "word"])
+
+    found = sample.select("text", "toxic").mapInArrow(run, "toxic int, before long, word long")
+    return found.groupBy("toxic", "before", "word").agg(F.count("*").alias("n"))
+
+
+class Pairs:
+    """Discounted shares of word pairs, and what is left of each preceding word's share, in both classes. The discount is a
+    share of the preceding word's count, `LEAST` documents at least."""
+
+    def __init__(self, pairs, discount: float):
+        less = np.maximum(pairs["total"].to_numpy(float) * discount, LEAST)
+        kept, less = pairs[pairs["n"] > less], less[pairs["n"] > less]
+        before, word, c = (kept[k].to_numpy(np.int64) for k in ("before", "word", "toxic"))
+        share = (kept["n"].to_numpy(float) - less) / kept["total"].to_numpy(float)
+        hashes = _pair(before.view(np.uint64), word.view(np.uint64))
+        self.pairs, at = np.unique(hashes, return_inverse=True)
+        self.shares = np.zeros((len(self.pairs) + 1, 2))  # the last row is for pairs that aren't kept
+        self.shares[at, c] = share
+        self.before, at = np.unique(before.view(np.uint64), return_inverse=True)
+        self.left = np.ones((len(self.before) + 1, 2))
+        np.subtract.at(self.left, (at, c), share)
+
+    @staticmethod
+    def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(x), np.int64)
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return np.where(keys[at] == x, at, len(keys))
+
+    def estimates(self, before: np.ndarray, words: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Both classes' estimates of words after `before`, given those without it."""
+        return self.shares[self._find(self.pairs, _pair(before, words))] + self.left[self._find(self.before, before)] * lower
 
 
 class Model:
     """Words' hashes in order, both classes' estimates, and the curve's parameters."""
 
-    def __init__(self, words, shared: dict[int, float], discount: float, band: float):
-        self.curve, self.band = np.zeros(3), band
+    def __init__(self, words, shared: dict[int, float], pairs: Pairs, band: float, discount: float = 1.0):
+        self.curve, self.band, self.pairs = np.zeros(3), band, pairs
         hashes = words["word"].to_numpy(np.int64).view(np.uint64)
         self.words = np.unique(hashes)
         self.known = np.zeros((len(self.words), 2))
@@ -108,7 +147,8 @@ class Model:
             self.known[np.searchsorted(self.words, hashes[own]), c] = p
             left[c] = 1 - p.sum()
         self.known += np.outer([shared[int(w)] for w in self.words.view(np.int64)], left)
-        self.ratio = np.append(np.log(self.known[:, 1]) - np.log(self.known[:, 0]), np.log(left[1]) - np.log(left[0]))
+        self.known = np.vstack((self.known, left))  # words that neither class knows: the shared part cancels
+        self.ratio = np.log(self.known[:, 1]) - np.log(self.known[:, 0])
         mass = np.array([shared[int(w)] for w in self.words.view(np.int64)])
         mass = np.append(mass, max(0.0, 1 - mass.sum()))
         order = np.argsort(self.ratio, kind="stable")
@@ -124,9 +164,9 @@ class Model:
         words, at = word_hashes(column)
         out = np.zeros((len(at) - 1, 2))
         if len(words):
-            where = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
-            hit = self.words[where] == words if len(self.words) else np.zeros(len(words), bool)
-            ratio = self.ratio[np.where(hit, where, len(self.words))]
+            where = Pairs._find(self.words, words)
+            p = self.pairs.estimates(_before(words, at), words, self.known[where])
+            ratio = np.log(p[:, 1]) - np.log(p[:, 0])
             for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 if e > s:
                     r = ratio[s:e] - self.reference(ratio[s:e])
@@ -138,8 +178,8 @@ class Model:
         x = self.evidence(column) @ self.curve[:2] + self.curve[2]
         return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
-    def tune(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> None:
-        """Logistic regression by Newton's steps."""
+    def tune(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> float:
+        """Logistic regression by Newton's steps; returns its loss."""
         scale = np.maximum(np.abs(x).mean(0), 1e-9)
         z = np.column_stack((x / scale, np.ones(len(x))))
         w = np.zeros(3)
@@ -151,9 +191,11 @@ class Model:
             if np.abs(step).max() < 1e-8:
                 break
         self.curve = w / np.append(scale, 1)
+        p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-9, 1 - 1e-9)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_tuning: int = 6000, discount: float = 1.0, band: float = 2.0) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_tuning: int = 6000, discounts: tuple[float, ...] = (0.05, 0.15, 0.4, 1.0), band: float = 2.0) -> Model | float:
     """The model, or the share of toxic labels where only one class has labels."""
     chosen = sample_labels(labels, most_docs, most_tuning)
     sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
@@ -165,27 +207,32 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 2000, most_tuning:
     words = pairs.groupBy("toxic", "word").agg(F.count("*").alias("n"))  # different words before it
     sums = pairs.groupBy("toxic").agg(F.count("*").alias("total"))
     words = cut(words.where("n > 1").join(F.broadcast(sums), "toxic"))
+    totals = pairs.groupBy("before").pivot("toxic", [0, 1]).agg(F.sum("n")).where(F.least("0", "1") >= SUPPORT)
+    frequent = pairs.where(F.col("n") > LEAST).join(totals, "before").withColumn("total", F.when(F.col("toxic") == 1, F.col("1")).otherwise(F.col("0")))
+    frequent = frequent.select("toxic", "before", "word", "n", "total").toPandas()  # bounded by the sample
     counts = cut(shared_counts(docs))
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     known = counts.join(F.broadcast(words.select("word").distinct()), "word").toPandas()  # bounded by the sample
     shared = dict(zip(known["word"].tolist(), ((known["n"] + 1) / (total + kinds)).tolist(), strict=True))
-    model = Model(words.toPandas(), shared, discount, band)
-    tuning = sample.where("tuning").select("text", "toxic")
+    words = words.toPandas()
+    models = [Model(words, shared, Pairs(frequent, d), band) for d in discounts]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                x = model.evidence(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column("toxic")], ["x", "y", "toxic"])
+                x = np.hstack([m.evidence(part.column("text")) for m in models])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("toxic")], ["x", "toxic"])
 
-    seen = tuning.mapInArrow(run, "x double, y double, toxic int").toPandas()
-    seen = seen.sort_values(["x", "y", "toxic"])
-    model.tune(seen[["x", "y"]].to_numpy(), seen["toxic"].to_numpy(float))
-    return model
+    seen = sample.where("tuning").select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").toPandas()
+    x, y = np.stack(seen["x"].to_numpy()), seen["toxic"].to_numpy(float)
+    order = np.lexsort((y, *x.T))  # rows come in any order
+    losses = [m.tune(x[order, 2 * i : 2 * i + 2], y[order]) for i, m in enumerate(models)]
+    return models[int(np.argmin(losses))]
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """docs with score."""
+    docs = docs.drop("score")
     if isinstance(model, float):
         return docs.withColumn("score", F.lit(model))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
