@@ -18,12 +18,14 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one where it is absent and all runs on one machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         jsc = spark.sparkContext._jsc.sc()
         at = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
         if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = tempfile.mkdtemp(prefix="spark-quire-")
             spark.sparkContext.setCheckpointDir(at)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -44,6 +46,12 @@ def written(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
