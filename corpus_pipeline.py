@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import line_dedup, mixing, ngram_join, packing, toxicity
-from quire.llm.common import table, written
+from quire.llm.common import removed, table, written
+from quire.session import ready
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,14 +35,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays."""
-    table(spark, sf_dir, "documents")
+    ready(spark)
     copies = ngram_join.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return _documents(docs.join(copies, "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes it as a whole; the one that a target cuts counts if half of it is taken."""
-    table(spark, sf_dir, "documents")
+    ready(spark)
     mixed = mixing.mix(docs)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     return _documents(mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))))
@@ -49,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Workers still hold what earlier stages allocated, so the tokenizer's memory is kept small here."""
-    table(spark, sf_dir, "documents")
+    ready(spark)
     return packing.best_fit_packing(docs, remembered=150_000)
 
 
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), "stage")
+        docs, path = written(stage(spark, docs, sf_dir), "stage")
+        if before:
+            removed(spark, before)
+        before = path
     return docs
