@@ -210,13 +210,16 @@ def k3(spark, d):
     return r.where(F.col("field").rlike("^(%|km|kg|USD|元|万元|亿元|人|例)$")).select("doc_id", "idx", "value")
 
 
-@query("k2_apply_model")
+_HEAD = "concat('Extract the fields a. Answer with one object.', chr(10), chr(10), 'Text:', chr(10), {})"
+
+
+@query("k2_apply_model", f"WITH {ITEMS} SELECT doc_id, idx AS chunk_idx, concat('n=', length({_HEAD.format('line')})) AS response, CAST(NULL AS VARCHAR) AS error FROM items")
 def k2(spark, d):
     c = K.prompts(items(spark, d).select("doc_id", F.col("idx").alias("chunk_idx"), F.col("line").alias("text")), ["a"])
     return K.apply_model(c, lambda ps: [f"n={len(p)}" for p in ps])
 
 
-@query("k5_fallback")
+@query("k5_fallback", f"SELECT doc_id, 0 AS chunk_idx, CAST(length({_HEAD.format('text')}) AS VARCHAR) AS response, CAST(NULL AS VARCHAR) AS error, 'second' AS provider FROM documents")
 def k5(spark, d):
     def fragile(ps):
         raise TimeoutError("no answer")
