@@ -58,13 +58,15 @@ def _ends(stem: str, line: str) -> bool:
 def parts(piece: str) -> list[str]:
     """A piece's parts, newlines between two of them included; their ids follow one another. The first one has the space that
     stood before the piece, the others have none."""
+    stem = piece.rstrip(_MARKS)
+    if stem.isalpha() and stem[-1] < "\u0250":  # a word and marks, the usual case
+        return [stem, piece[len(stem) :]] if len(stem) != len(piece) else [piece]
     lines = piece.split()
     if len(lines) != 1 and lines != piece.split("\n"):  # other white space, or newlines in a row: leave it to the tokenizer
         return [piece]
     if len(lines) == 1:
         if len(lines[0]) != len(piece):
             return [piece]
-        stem = piece.rstrip(_MARKS)
         return [stem, piece[len(stem) :]] if _ends(stem, piece) else lines
     out = []
     for line in lines:
@@ -119,14 +121,13 @@ class Memory:
             to.update(zip(group, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
 
     def learn(self, pieces_: set[str], first: set[str]) -> None:
-        """Ids of pieces that stand after a space, and of texts' first pieces."""
+        """Ids of pieces that stand after a space, and of texts' first pieces; none of them is remembered."""
         words = {p for p in pieces_ if p.isalpha()}
         cut, cut_first = {p: parts(p) for p in pieces_.difference(words)}, {p: parts(p) for p in first}
-        words.update([c[0] for c in cut.values()])
-        words = words.difference(self.known)  # not difference_update: that goes through all that is known
-        aged = words.intersection(self.older)
+        stems = {c[0] for c in cut.values()}.difference(words).difference(self.known)
+        aged = stems.intersection(self.older)
         self.known.update((p, self.older[p]) for p in aged)
-        self._encode(list(words.difference(aged)), self.known, False)
+        self._encode([*words, *stems.difference(aged)], self.known, False)
         bare = {x for c in cut.values() if len(c) > 1 for x in c[1:]}.union(*cut_first.values())
         self._encode(list(bare.difference(self.bare)), self.bare, True)
         known, bare = self.known, self.bare
