@@ -121,10 +121,12 @@ def anchor_backfill(records: DataFrame, field: str, within: list[str], anchor: s
     """A task whose records have one value in `field` and three or more usable anchors takes the anchors as values."""
     text = F.trim(F.coalesce(F.col(anchor), F.lit("")))
     usable = (text != "") & (F.length(text) <= 40) & ~text.rlike("[\\n。；;，,]")
-    w = Window.partitionBy(*within)
-    value = F.trim(F.coalesce(F.col(field), F.lit("")))
-    r = records.withColumn("_a", F.size(F.collect_set(F.when(usable, text)).over(w))).withColumn("_v", F.size(F.collect_set(F.nullif(value, F.lit(""))).over(w)))
-    return r.withColumn(field, F.when((F.col("_a") >= 3) & (F.col("_v") <= 1) & usable, text).otherwise(F.col(field))).drop(anchor, "_a", "_v")
+    value = F.nullif(F.trim(F.coalesce(F.col(field), F.lit(""))), F.lit(""))
+    anchors = records.where(usable).select(*within, text.alias("_t")).distinct().groupBy(*within).agg((F.count("*") >= 3).alias("_some"))
+    same = records.groupBy(*within).agg(F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias("_same"))
+    tasks = anchors.where("_some").join(same.where("_same"), within).select(*within, "_some")
+    r = records.join(tasks, within, "left").withColumn(field, F.when(F.col("_some") & usable, text).otherwise(F.col(field)))
+    return r.select([c for c in records.columns if c != anchor])
 
 
 def head_and_tail(paragraphs: DataFrame, head: float = 0.06, tail: float = 0.04) -> DataFrame:
