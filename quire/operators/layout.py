@@ -138,3 +138,24 @@ def head_and_tail(paragraphs: DataFrame, head: float = 0.06, tail: float = 0.04)
     down = F.sum(n).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(0, Window.unboundedFollowing))
     part = F.when(up <= F.floor(total * head), "head").when(down <= F.floor(total * tail), "tail")
     return paragraphs.withColumn("part", part).where("part IS NOT NULL")
+
+
+def sampled(paragraphs: DataFrame, head: float = 0.06, middle: float = 0.05, tail: float = 0.04, whole: int = 5000) -> DataFrame:
+    """paragraphs (doc_id, pos, text) of a sample, with part: whole for documents below `whole` characters; else head and tail,
+    up to the first paragraph that overflows their share of the characters, and the middle, from the second and third quarter
+    of the paragraphs: those with digits and, if these are fewer than three, up to five others. Equal texts come once."""
+    n, doc = F.length("text"), Window.partitionBy("doc_id")
+    p = paragraphs.withColumns({"_total": F.sum(n).over(doc) + F.count("*").over(doc) - 1, "_n": F.count("*").over(doc)})
+    first, last = doc.orderBy("pos"), doc.orderBy(F.desc("pos"))
+    p = p.withColumns({"_up": F.sum(n).over(first), "_down": F.sum(n).over(last), "_at": F.row_number().over(first) - 1})
+    inside = (F.col("_at") >= F.floor(F.col("_n") / 4)) & (F.col("_at") < F.floor(3 * F.col("_n") / 4))
+    p = p.withColumns({"_mid": inside, "_digits": F.col("text").rlike("[0-9]")})
+    few = F.count_if(F.col("_mid") & F.col("_digits")).over(doc) < 3
+    other = F.count_if(F.col("_mid") & ~F.col("_digits")).over(first)
+    p = p.withColumn("_mid", F.col("_mid") & (F.col("_digits") | (few & (other <= 5))))
+    p = p.withColumn("_sum", F.sum(F.when(F.col("_mid"), n)).over(doc.orderBy(F.when(F.col("_mid"), 0).otherwise(1), F.when(F.col("_digits"), 0).otherwise(1), "pos")))
+    part = F.when(F.col("_total") < whole, "whole").when(F.col("_up") <= F.floor(F.col("_total") * head), "head").when(F.col("_down") <= F.floor(F.col("_total") * tail), "tail")
+    part = part.when(F.col("_mid") & (F.col("_sum") <= F.floor(F.col("_total") * middle)), "middle")
+    p = p.withColumn("part", part).where("part IS NOT NULL AND trim(text) <> ''")
+    again = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.when(F.col("part") == "middle", 2).when(F.col("part") == "tail", 1).otherwise(0), "pos"))
+    return p.withColumn("_again", again).where("_again = 1 OR part = 'whole'").select(*paragraphs.columns, "part")

@@ -83,11 +83,22 @@ def a16(spark, d):
 
 
 @query("b14_head_and_tail", f"WITH {ITEMS}, s AS (SELECT doc_id, idx, sum(length(line)) OVER (PARTITION BY doc_id) AS total, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY idx) AS up, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY idx DESC) AS down FROM items) SELECT doc_id, idx, CASE WHEN up <= floor(total * 0.06) THEN 'head' ELSE 'tail' END AS part FROM s WHERE up <= floor(total * 0.06) OR down <= floor(total * 0.04)")
-def b14(spark, d):
+def b14_ends(spark, d):
     i = items(spark, d).select("doc_id", F.col("idx").alias("pos"), F.col("line").alias("text"))
     return layout.head_and_tail(i).select("doc_id", F.col("pos").alias("idx"), "part")
 
 
+@query("b14_sample", f"""WITH {ITEMS}, a AS (SELECT doc_id, idx, line, sum(length(line)) OVER (PARTITION BY doc_id) + count(*) OVER (PARTITION BY doc_id) - 1 AS total, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY idx) AS up, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY idx DESC) AS down, regexp_matches(line, '[0-9]') AS digits FROM items),
+b AS (SELECT *, idx >= n // 4 AND idx < 3 * n // 4 AS inside FROM a),
+c AS (SELECT *, count(*) FILTER (WHERE inside AND digits) OVER (PARTITION BY doc_id) < 3 AS few, count(*) FILTER (WHERE inside AND NOT digits) OVER (PARTITION BY doc_id ORDER BY idx) AS other FROM b),
+m AS (SELECT doc_id, idx, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY digits DESC, idx) AS s FROM c WHERE inside AND (digits OR (few AND other <= 5))),
+p AS (SELECT c.doc_id, c.idx, line, CASE WHEN total < 5000 THEN 'whole' WHEN up <= floor(total * 0.06) THEN 'head' WHEN down <= floor(total * 0.04) THEN 'tail' WHEN s <= floor(total * 0.05) THEN 'middle' END AS part FROM c LEFT JOIN m ON m.doc_id = c.doc_id AND m.idx = c.idx)
+SELECT doc_id, idx, part FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY CASE part WHEN 'middle' THEN 2 WHEN 'tail' THEN 1 ELSE 0 END, idx) AS again FROM p WHERE part IS NOT NULL AND trim(line) <> '') WHERE again = 1 OR part = 'whole'""")
+def b14(spark, d):
+    i = items(spark, d).select("doc_id", F.col("idx").alias("pos"), F.col("line").alias("text"))
+    return layout.sampled(i).select("doc_id", F.col("pos").alias("idx"), "part")
+
+
 @query("c5_containment_keys", f"WITH {MESSY} SELECT record_idx, customer AS \"customer name\", trim(priority) AS prior FROM messy")
 def c5(spark, d):
     return mapping.to_profile(messy(spark, d), ["customer name", "prior"], {}, keep=["record_idx"])
