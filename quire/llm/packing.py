@@ -24,7 +24,7 @@ from .common import cut, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that are ranked in one task.
-RUN = 50_000
+RUN = 2_000
 
 
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str, remembered: int = tokens.REMEMBERED) -> DataFrame:
@@ -105,15 +105,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces with sequence_id and offset."""
     pieces = cut(pieces)
-    counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
+    counted = pieces.groupBy("length").count()
+    counts = {int(r[0]): int(r[1]) for r in counted.collect()}
     steps = sorted(plan(counts, capacity))
     lengths, ranks, firsts, offsets = (np.array(c, np.int64) for c in (zip(*steps, strict=True) if steps else [()] * 4))
     begins = np.searchsorted(lengths, np.arange(capacity + 2))
     # rank within length: first within runs of about RUN rows, then from the sizes of the runs before
-    many = max(1, -(-max(counts.values(), default=1) // RUN))
-    runs = F.create_map(*[x for k, n in counts.items() if n > RUN for x in (F.lit(k).cast("long"), F.lit(-(-n // RUN)))]) if many > 1 else None
-    n_runs = F.coalesce(F.try_element_at(runs, F.col("length")), F.lit(1)) if runs is not None else F.lit(1)
-    dealt = pieces.withColumn("_run", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n_runs.cast("long")))
+    runs = F.broadcast(counted.select("length", F.ceil(F.col("count") / RUN).alias("_runs")))  # a row for each length
+    dealt = pieces.join(runs, "length").withColumn("_run", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_runs"))).drop("_runs")
     sizes = dealt.groupBy("length", "_run").agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_run")) - F.col("_n")).drop("_n")
     within = Window.partitionBy("length", "_run").orderBy("doc_id", "piece", "start", "ids_crc32")
