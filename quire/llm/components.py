@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges for each task of a round, beyond the first few tasks: rounds are many, and small ones needn't be dealt widely.
+IN_TASK, FEWEST = 200_000, 8
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, component) for every end of an edge (a, b); component: the smallest id reachable. No edges: no rows."""
@@ -21,15 +24,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
-        state = now
+        state, tasks = now, FEWEST + int(now[0]) // IN_TASK
         # large star: larger neighbours of u link to the smallest one
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
         # small star: smaller neighbours of u and u itself link to the smallest of them
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.union(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))

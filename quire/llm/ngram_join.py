@@ -14,7 +14,7 @@ that no other set holds need not be indexed, so most sets drop out here, and fre
 
 Pairs come in waves. First each document with the smallest holder of most of its keys. Then, for keys whose holders are in
 different components, pairs across components are tested inside the key's task by size and parity sketch (frequent keys are
-cut into blocks, each pair of blocks a task of its own): twice the closest pair of each component, then all that pass and still
+cut into blocks, each pair of blocks a task of its own): first the closest pair of each component, then all that pass and still
 join different components. Whatever passes is verified on the exact sets.
 
 Nulls and edge cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five
@@ -465,7 +465,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(stars.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), sets)
     comps = cut(connected_components(links))
     posts = posts.select("key", "doc")
-    for best in (True, True, False):
+    for best in (True, False):
         links = links.union(verified(across(posts, comps, sets, best), sets))
         comps = cut(connected_components(links))
     one = one.join(comps, one["class"] == comps.id, "left").select("n_shingles", "k1", "k2", F.coalesce("component", "class").alias("component"))
