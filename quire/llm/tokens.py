@@ -9,6 +9,8 @@ text is ordinary text.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 
 import numpy as np
@@ -142,9 +144,17 @@ class Memory:
 
 def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    collecting = gc.isenabled()
+    gc.disable()  # millions of small objects without cycles: looking for some costs a tenth of the time
+    try:
+        return _encoded(texts, path, remembered)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _encoded(texts: list[str | None], path: str, remembered: int) -> list[bytes]:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Memory(path)
     memory = _TOKENIZERS[path]
