@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, toxicity
+from . import line_dedup, media, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, spelling, toxicity
 
 QUERIES = {
     "op1_pseudonyms": pseudonyms.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
+    "op13_spelling": spelling.query,
 }
 
-SQL = {"op8_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op8_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL, "op13_spelling": spelling.SQL}
