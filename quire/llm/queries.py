@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, spelling, toxicity
+from . import line_dedup, media, merkle, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, spelling, toxicity
 
 QUERIES = {
     "op1_pseudonyms": pseudonyms.query,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_merkle": merkle.query,
     "op13_spelling": spelling.query,
 }
 
-SQL = {"op8_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL, "op13_spelling": spelling.SQL}
+SQL = {"op8_ngram_join": ngram_join.SQL, "op10_line_dedup": line_dedup.SQL, "op11_merkle": merkle.SQL, "op13_spelling": spelling.SQL}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, written
+from .common import CRC32, crc32_of, cut, table, written
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of one list at most; lists with more are split.
@@ -220,19 +220,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-#: crc32 by its definition: the table of 256 remainders from the polynomial 0xEDB88320, then a step for each byte.
-CRC32 = """
-remainders AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS r),
-"""
-
-
-def crc32_of(text: str) -> str:
-    """DuckDB expression: the unsigned crc32 of ASCII and Latin-1 text in UTF-8; `r` is the remainders' column."""
-    code = "unicode(x)"
-    utf8 = f"flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 | ({code} >> 6), 128 | ({code} & 63)] END))"
-    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {utf8}::BIGINT[]), lambda c, b: xor(c >> 8, r[1 + (xor(c, b) & 255)])))"
-
-
 SQL = f"""
 WITH RECURSIVE {CRC32}
 runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[a-zA-Z\\x{{C0}}-\\x{{FF}}]{{5,}}')) AS run FROM documents),
