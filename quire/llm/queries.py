@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, merkle, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, spelling, toxicity
+from . import bpe, line_dedup, media, merkle, mixing, ngram_join, packing, pseudonyms, quantised, repair, secrets, spelling, toxicity
 
 QUERIES = {
     "op1_pseudonyms": pseudonyms.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_line_dedup": line_dedup.query,
     "op11_merkle": merkle.query,
+    "op12_bpe": bpe.query,
     "op13_spelling": spelling.query,
 }
 
