@@ -108,19 +108,3 @@ def embed(texts: DataFrame, size: int = 64) -> DataFrame:
 def only_new(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What earlier results don't hold: the input of an incremental refresh."""
     return new.join(done.select(key), key, "left_anti")
-
-
-def repaired_json(text: Column) -> Column:
-    """Valid JSON text of a model's answer, by staged repairs; null where none parses."""
-    fence = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-z]*\s*", ""), r"\s*```$", "")
-    commas = F.regexp_replace(fence, r",\s*([}\]])", "$1")
-    count = lambda s, ch: F.length(s) - F.length(F.replace(s, F.lit(ch)))
-    closed = F.concat(commas, F.repeat(F.lit("]"), F.greatest(F.lit(0), count(commas, "[") - count(commas, "]"))), F.repeat(F.lit("}"), F.greatest(F.lit(0), count(commas, "{") - count(commas, "}"))))
-    valid = lambda s: F.when(F.try_parse_json(s).isNotNull(), s)
-    return F.coalesce(valid(text), valid(fence), valid(commas), valid(closed))
-
-
-def parsed(responses: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): answers as structs, and those that no repair saves."""
-    r = responses.withColumn("_json", repaired_json(F.col(column)))
-    return r.where("_json IS NOT NULL").withColumn("record", F.from_json("_json", schema)).drop("_json"), r.where("_json IS NULL").drop("_json")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import answers
 from ..operators import infer as K
 from ..operators import predicates as E
 from ..operators import privacy as P
@@ -187,13 +188,34 @@ def j13(spark, d):
     return J.latency_histogram(table(spark, d, "events"), "value", "event_type")
 
 
-@query("c15_repair_json", "SELECT p_partkey, p_name AS name, p_size AS size FROM part WHERE p_partkey % 5 <> 4")
+#: Forms of a model's answer by p_partkey % 10; {n} a name, {s} a size, {m} the size and one.
+_ANSWERS = [
+    '{"records": [{"name": "{n}", "size": {s}}, {"name": "{n}", "size": {m}',
+    '```json\n{"name": "{n}", "size": {s}}\n```',
+    '{name: {n}, size: {s}}',
+    'Here is the record [as asked]: {"name": "{n}", "size": {s}} Anything else?',
+    '{"name": "{n}", "size": {s}}\n{"name": "{n}", "size": {m}}',
+    '[{"name": "{n}", "size": {s},}, {"name": "{n}", "size": {m}},]',
+    "{'name': '{n}', 'size': {s}, 'more': None}",
+    '{"records": [{"name": "{n}", "size": {s}, "more": {"unit": 37.5%}]}',
+    "No record found for {n}.",
+    '{"name": "{n}", "size" {s}} ',
+]
+_TWO = "p_partkey % 10 IN (0, 4, 5)"
+
+
+@query("c15_repair_json", f"""SELECT p_partkey, 0 AS pos, p_name AS name, p_size AS size, CAST(NULL AS VARCHAR) AS reason FROM part WHERE p_partkey % 10 < 8
+ UNION ALL SELECT p_partkey, 1, p_name, p_size + 1, NULL FROM part WHERE {_TWO}
+ UNION ALL SELECT p_partkey, NULL, NULL, NULL, CASE WHEN p_partkey % 10 = 8 THEN 'no JSON' ELSE 'broken' END FROM part WHERE p_partkey % 10 >= 8""")
 def c15(spark, d):
-    """Fenced, trailing-comma and unclosed answers parse after repair; the broken fifth is rejected."""
-    body = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "size": '), F.col("p_size").cast("string"))
-    text = F.element_at(F.array(F.concat(body, F.lit("}")), F.concat(F.lit("```json\n"), body, F.lit("}\n```")), F.concat(body, F.lit(",}")), body, F.concat(F.lit("oops "), body)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    good, _ = K.parsed(table(spark, d, "part").select("p_partkey", text.alias("t")), "t", "name string, size int")
-    return good.select("p_partkey", "record.name", "record.size")
+    """Truncated, fenced, unquoted, chatty, line by line, with trailing commas, single quotes or missing closers; two forms are
+    rejects with their reasons."""
+    text = F.element_at(F.array(*[F.lit(x) for x in _ANSWERS]), (F.col("p_partkey") % 10 + 1).cast("int"))
+    for mark, value in (("{n}", F.col("p_name")), ("{s}", F.col("p_size").cast("string")), ("{m}", (F.col("p_size") + 1).cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    good, bad = answers.records(table(spark, d, "part").select("p_partkey", text.alias("t")), "t", "name string, size int")
+    good = good.select("p_partkey", "pos", "record.name", "record.size").where("name IS NOT NULL")
+    return good.unionByName(bad.select("p_partkey", "reason"), allowMissingColumns=True)
 
 
 @query("k1_prompts", "SELECT doc_id, length(concat('Extract the fields a, b. Answer with one object.', chr(10), 'Only totals.', chr(10), 'Text:', chr(10), text)) AS n, length(concat('Extract the fields a, b. Answer with a list of records, one object for each row.', chr(10), 'Only totals.', chr(10), 'Text:', chr(10), text)) AS n_table, length(concat('Extract the fields a, b. Answer with a list of records, one object for each row.', chr(10), 'Only totals.', chr(10), 'Cover all groups: c = x; c = y.', chr(10), 'Text:', chr(10), text)) AS n_groups FROM documents")

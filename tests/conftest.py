@@ -9,15 +9,14 @@ sys.path.insert(0, ROOT)
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="session")
-def spark():
+def session(cores: int = 8):
     from pyspark.sql import SparkSession
 
     from quire.session import ready
 
     at = tempfile.mkdtemp(prefix="spark-")
     s = (
-        SparkSession.builder.master("local[8]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(f"local[{cores}]").appName("tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", at).config("spark.sql.warehouse.dir", f"{at}/warehouse")
         .config("spark.checkpoint.dir", f"file://{at}/shared").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
@@ -25,6 +24,11 @@ def spark():
     return ready(s)
 
 
+@pytest.fixture(scope="session")
+def spark():
+    return session()
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

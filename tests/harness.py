@@ -58,10 +58,9 @@ def difference(spark, sf_dir: str, query, sql: str, c=None) -> str:
 if __name__ == "__main__":
     import importlib
 
-    sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "/tmp"]
-    from try_ import session
-
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     import __spark_entry__ as e
+    from tests.conftest import session
 
     spark, sf = session(4), sys.argv[1]
     q, s = e.queries(), e.oracle_sql()

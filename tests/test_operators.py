@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
+from quire.operators import answers
 from quire.operators import chunks as C
 from quire.operators import infer as K
 from quire.operators import mapping, privacy
@@ -110,7 +111,7 @@ def test_boost_and_top_k(spark):
 
 def test_json_repair(spark):
     d = spark.createDataFrame([(1, '{"a": 1}'), (2, '```json\n{"a": 2,}\n```'), (3, '{"a": 3'), (4, "none")], "i int, t string")
-    good, bad = K.parsed(d, "t", "a int")
+    good, bad = answers.records(d, "t", "a int")
     assert {(r.i, r.record.a) for r in good.collect()} == {(1, 1), (2, 2), (3, 3)} and [r.i for r in bad.collect()] == [4]
 
 
