@@ -10,6 +10,8 @@ from ..session import cut
 
 #: Published constants of Okapi BM25 and the share of the mean that a negative idf is raised to.
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Rows of found chunks that are broadcast at most, to fetch their texts.
+MOST_BROADCAST = 100_000
 BOOST = {"table": 1.2, "formula": 1.1, "code": 1.05}
 
 
@@ -21,53 +23,80 @@ def frequencies(chunks: DataFrame, tokens=all_tokens) -> DataFrame:
     return t.groupBy("token").agg(F.count("*").alias("df"), F.sum(F.when(F.col("token") == "", F.col("dl"))).alias("dl"))
 
 
+def weights(counts: DataFrame, questions: DataFrame, tokens=all_tokens) -> DataFrame:
+    """question, token, times, w, avgdl for the tokens that questions ask for and some chunk holds; negative idf is raised to a
+    share of the mean idf of all tokens."""
+    size = counts.where("token = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counts.where("token <> ''").select("token", "df").crossJoin(F.broadcast(size))  # one row
+    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = df.agg(F.avg("idf").alias("mean"))
+    asked = df.join(F.broadcast(asked_tokens(questions, tokens)), "token").crossJoin(F.broadcast(mean))
+    return asked.withColumn("w", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))).select("token", "question", "times", "w", "avgdl")
+
+
+def asked_tokens(questions: DataFrame, tokens=all_tokens) -> DataFrame:
+    """question, token, times: a bounded few for the questions of one job."""
+    return questions.select("question", F.explode(tokens("question")).alias("token")).groupBy("question", "token").agg(F.count("*").alias("times"))
+
+
+def part_score(times="times", w="w", tf="tf", dl="dl", avgdl="avgdl") -> Column:
+    """What one token of a question adds to a chunk's BM25."""
+    return F.col(times) * F.col(w) * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.col(avgdl)))
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, tokens=all_tokens, counts: DataFrame | None = None) -> DataFrame:
-    """question, keys of chunks, bm25: every chunk that holds a question's token. chunks: doc_id, idx, text.
+    """question, keys of chunks (and type, if they have it), bm25: every chunk that holds a question's token. chunks: doc_id, idx,
+    text.
 
     Only document frequencies are shuffled (a row for each token and task); a chunk counts the questions' tokens in its own
-    row. The questions of one job are a bounded few, and so are their tokens.
+    row, if it has any. The questions of one job are a bounded few, and so are their tokens.
     """
-    df = cut(frequencies(chunks, tokens)) if counts is None else counts
-    size = df.where("token = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    df = df.where("token <> ''").select("token", "df").crossJoin(F.broadcast(size))  # one row
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf").alias("mean"))
-    q = questions.select("question", F.explode(tokens("question")).alias("token")).groupBy("question", "token").agg(F.count("*").alias("times"))
-    asked = df.join(F.broadcast(q), "token").crossJoin(F.broadcast(mean))
-    asked = asked.withColumn("w", F.when(F.col("idf") < 0, FLOOR * F.col("mean")).otherwise(F.col("idf"))).select("token", "question", "times", "w", "avgdl")
-    words = q.agg(F.collect_set("token").alias("_q"))
-    t = chunks.select("doc_id", "idx", tokens("text").alias("_t")).crossJoin(F.broadcast(words))  # one row
-    held = F.transform(F.array_intersect("_t", "_q"), lambda h: F.struct(h.alias("token"), F.size(F.filter("_t", lambda x: x == h)).alias("tf")))
-    hits = t.select("doc_id", "idx", F.size("_t").alias("dl"), F.explode(held).alias("_h")).select("doc_id", "idx", "dl", "_h.token", "_h.tf")
-    hits = hits.join(F.broadcast(asked), "token")
-    score = F.col("times") * F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("question", "doc_id", "idx").agg(F.sum(score).alias("bm25"))
+    asked = cut(weights(cut(frequencies(chunks, tokens)) if counts is None else counts, questions, tokens))
+    keys = ["doc_id", "idx", *[c for c in chunks.columns if c == "type"]]
+    t = chunks.select(*keys, tokens("text").alias("_t"))
+    held = t.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("token")).join(F.broadcast(asked.select("token").distinct()), "token")
+    hits = held.groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf")).join(F.broadcast(asked), "token")
+    return hits.groupBy("question", *keys).agg(F.sum(part_score()).alias("bm25"))
 
 
 def search(chunks: DataFrame, questions: DataFrame, k: int = 10, tokens=all_tokens) -> DataFrame:
     """question, doc_id, idx, type, text, score, method, rank: the k best chunks by BM25, scaled to 0..1 within a question over
-    all chunks and boosted by type; ties in reading order.
+    all chunks and boosted by type; ties in reading order. Texts are read for the found chunks only."""
+    counts = cut(frequencies(chunks, tokens))
+    hits = cut(bm25(chunks, questions, tokens, counts))
+    return with_texts(ranked_hits(hits, questions, counts.where("token = ''").select(F.col("df").alias("n")), chunks, k), chunks)
+
+
+def with_texts(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Adds text to the k best chunks of each question."""
+    best = cut(best)
+    return chunks.select("doc_id", "idx", "text").join(F.broadcast(best) if best.count() <= MOST_BROADCAST else best, ["doc_id", "idx"])
+
+
+def ranked_hits(hits: DataFrame, questions: DataFrame, size: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best of hits (question, doc_id, idx, type, bm25), a table that was cut; size: n, the number of all chunks.
 
     Chunks without a hit score as 0 BM25. They are never crossed with the questions: 0 enters the scaling where a question
-    has fewer hits than there are chunks, and only the first 2 k chunks of each type can fill places that hits leave.
+    has fewer hits than there are chunks, and only the first 2 k chunks of each type can fill places that hits leave; chunks
+    are read for that only where some question has fewer than k hits above 0.
     """
-    counts = cut(frequencies(chunks, tokens))
-    hits = cut(bm25(chunks, questions, tokens, counts))
-    n = counts.where("token = ''").select(F.col("df").alias("_n"))
     q = questions.select("question").distinct()
-    span = q.join(hits.groupBy("question").agg(F.count("*").alias("_c"), F.min("bm25").alias("_lo"), F.max("bm25").alias("_hi")), "question", "left").crossJoin(F.broadcast(n))
+    found = hits.groupBy("question").agg(F.count("*").alias("_c"), F.count(F.when(F.col("bm25") > 0, 1)).alias("_above"), F.min("bm25").alias("_lo"), F.max("bm25").alias("_hi"))
+    span = cut(q.join(found, "question", "left").crossJoin(F.broadcast(size.select(F.col("n").alias("_n")))))  # a row for each question
     some = F.coalesce("_c", F.lit(0)) < F.col("_n")  # some chunk has no hit
     low = F.when(some, F.least(F.coalesce("_lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_lo"))
     high = F.when(some, F.greatest(F.coalesce("_hi", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("_hi"))
-    span = F.broadcast(span.select("question", low.alias("_lo"), high.alias("_hi")))  # a row for each question
+    short = not span.where((F.coalesce("_above", F.lit(0)) < k) & (F.coalesce("_c", F.lit(0)) < F.col("_n"))).isEmpty()
+    span = F.broadcast(span.select("question", low.alias("_lo"), high.alias("_hi")))
     scaled = lambda x: F.when(F.col("_hi") - F.col("_lo") < 1e-12, 0.0).otherwise((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
-    first = chunks.select("doc_id", "idx", "type").withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("doc_id", "idx"))).where(F.col("_r") <= 2 * k)
-    rest = first.drop("_r").crossJoin(span).join(hits.select("question", "doc_id", "idx"), ["question", "doc_id", "idx"], "left_anti").withColumn("score", scaled(F.lit(0.0)))
     # the boost changes the order of hits, so all hits are ranked
-    found = hits.join(span, "question").join(chunks.select("doc_id", "idx", "type"), ["doc_id", "idx"]).withColumn("score", scaled(F.col("bm25")))
-    found = found.select("question", "doc_id", "idx", "type", "score").unionByName(rest.select("question", "doc_id", "idx", "type", "score"))
-    best = top_k(found.withColumn("score", F.round(F.col("score") * boost("type"), 9)), ["question"], ["doc_id", "idx"], k)
-    return best.withColumn("method", F.lit("bm25")).join(chunks.select("doc_id", "idx", "text"), ["doc_id", "idx"])
+    out = hits.join(span, "question").withColumn("score", scaled(F.col("bm25"))).select("question", "doc_id", "idx", "type", "score")
+    if short:
+        first = chunks.select("doc_id", "idx", "type").withColumn("_r", F.row_number().over(Window.partitionBy("type").orderBy("doc_id", "idx"))).where(F.col("_r") <= 2 * k)
+        rest = first.drop("_r").crossJoin(span).join(hits.select("question", "doc_id", "idx"), ["question", "doc_id", "idx"], "left_anti").withColumn("score", scaled(F.lit(0.0)))
+        out = out.unionByName(rest.select("question", "doc_id", "idx", "type", "score"))
+    best = top_k(out.withColumn("score", F.round(F.col("score") * boost("type"), 9)), ["question"], ["doc_id", "idx"], k)
+    return best.withColumn("method", F.lit("bm25"))
 
 
 def cosine(a: str, b: str) -> Column:
@@ -79,7 +108,7 @@ def min_max(scores: DataFrame, column: str, within: list[str], to: str) -> DataF
     """0 to 1 within a question; all 0 where the scores are equal."""
     a = scores.groupBy(*within).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
-    return scores.join(F.broadcast(a), within).withColumn(to, F.when(span < 1e-12, 0.0).otherwise((F.col(column) - F.col("_lo")) / span)).drop("_lo", "_hi")
+    return scores.join(a, within).withColumn(to, F.when(span < 1e-12, 0.0).otherwise((F.col(column) - F.col("_lo")) / span)).drop("_lo", "_hi")
 
 
 def fuse(scores: DataFrame, vector: str | None, text: str | None, alpha: float = 0.65) -> DataFrame:

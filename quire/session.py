@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,13 +19,23 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df):
-    """Compute once and cut the lineage in the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors see."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))  # one machine: any folder is shared
+    return jsc.getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df):
+    """Compute once and cut the lineage in the folder of spark.checkpoint.dir."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
