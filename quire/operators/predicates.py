@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import all_dates, blank_free, first_date
+from .lookup import occurrences
 
 _ORDER = {">": "__gt__", "<": "__lt__", ">=": "__ge__", "<=": "__le__"}
 
@@ -141,13 +142,15 @@ def rows_in_scope(rows: DataFrame, clauses: list[Clause], columns: dict[str, lis
 
 
 def holders(docs: DataFrame, values: DataFrame, value: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs x values: documents whose text holds a value's text. A value is looked for by its longest inner word, which a text
-    that holds the value must have between white space; only values without one are compared with all texts."""
-    inner = lambda v: F.slice(F.split(v, r"\s+"), 2, F.greatest(F.size(F.split(v, r"\s+")) - 2, F.lit(0)))
-    word = F.array_max(F.transform(F.filter(inner(F.col(value)), lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    v = values.withColumn("_word", word)
-    words = docs.select(key, F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("_word"))
-    found = words.join(v.where("_word IS NOT NULL"), "_word").drop("_word").join(docs, key)
-    found = found.where(F.contains(text, F.col(value)))
-    rest = docs.join(v.where("_word IS NULL").drop("_word"), F.contains(text, F.col(value)))
-    return found.unionByName(rest.select(found.columns))
+    """docs x values: documents whose text holds a value's text, found by one pass over the texts."""
+    found = occurrences(docs, values, value, text, key).select(key, value)
+    return docs.join(found, key).join(values, value)
+
+
+def holding_any(docs: DataFrame, clause: Clause, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Documents that hold a token of each of the clause's hints (dates and windows aside): one pass for all tokens of all hints,
+    however many they are."""
+    hints = [(v, h) for h, values in clause.tokens.items() for v in values]
+    asked = docs.sparkSession.createDataFrame(hints, "_token string, _hint string")
+    found = occurrences(docs, asked, "_token", text, key).join(asked, "_token").groupBy(key).agg(F.count_distinct("_hint").alias("_n"))
+    return docs.join(found.where(F.col("_n") == len(clause.tokens)).select(key), key, "left_semi")

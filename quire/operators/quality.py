@@ -97,10 +97,3 @@ def result_metadata(records: DataFrame, within: list[str], required: list[str],
     blank = reduce(or_, (is_blank(k) for k in required))
     a = records.groupBy(*within).agg(F.countDistinct(files).alias("file_count"), F.count("*").alias("record_count"), F.count_if(blank).alias("retried_count"))
     return a.withColumn("complete", F.col("retried_count") == 0)
-
-
-def ranges(docs: DataFrame, within: list[str], order: str, gap: int = 2) -> DataFrame:
-    """Adds lo and hi: the document's character range in the labelled concatenation of its task."""
-    w = Window.partitionBy(*within).orderBy(order)
-    d = docs.withColumn("_n", F.length("text") + gap).drop("text")  # texts aren't sorted along
-    return d.withColumn("hi", F.sum("_n").over(w)).withColumn("lo", F.col("hi") - F.col("_n")).drop("_n")

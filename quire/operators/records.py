@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import blank_free, filled_cells, is_blank, key_loose, key_strict
+from .lookup import occurrences
 
 
 def _first(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
@@ -107,10 +108,12 @@ def numeric_like(records: DataFrame, columns: list[str], least: int = 3, share:
 
 
 def reading_order(records: DataFrame, docs: DataFrame, value: str, within: list[str], order: str = "record_idx") -> DataFrame:
-    """Adds position: where the record's key first occurs in its own document, and rank by it; unknown ones last."""
-    r = records.join(docs, within, "left")
-    at = F.nullif(F.instr(F.coalesce(F.col("text"), F.lit("")), F.col(value)), F.lit(0))
-    r = r.withColumn("position", F.coalesce(at.cast("long"), F.lit(10**18))).drop("text")
+    """Adds position: where the record's key first occurs in its own document, and rank by it; unknown ones last. One pass over the
+    texts finds all keys, so that no text is carried along with records."""
+    (key,) = within
+    found = occurrences(docs, records, value, key=key).select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.col("position").alias("_at"))
+    r = records.join(found, (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_value")), "left")
+    r = r.withColumn("position", F.coalesce(F.col("_at").cast("long"), F.lit(10**18))).drop("_key", "_value", "_at")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("position", order)))
 
 

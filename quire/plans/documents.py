@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import chunks as C
-from ..operators import intake
+from ..operators import intake, lookup
 from ..operators import predicates as E
 from ..operators import quality as J
 from ..sources.inputs import ITEMS, items, table
@@ -238,19 +238,32 @@ def j6(spark, d):
     return J.complexity(f, "task_id", "n_chars", "suffix")
 
 
-@query("h13_source_by_offset", """WITH r AS (SELECT doc_id // 16 AS task_id, doc_id, sum(length(text) + 2) OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) AS hi, length(text) + 2 AS n FROM documents), o AS (SELECT doc_id // 16 AS task_id, doc_id * 977 % 50000 AS at FROM documents)
-SELECT o.task_id, o.at, r.doc_id FROM o JOIN r ON o.task_id = r.task_id AND o.at >= r.hi - r.n AND o.at < r.hi""")
+_H13 = """WITH r AS (SELECT {task} AS task_id, doc_id, sum(length(text) + 2) OVER (PARTITION BY {task} ORDER BY doc_id) AS hi, length(text) + 2 AS n FROM documents), e AS (SELECT task_id, max(hi) AS size FROM r GROUP BY task_id),
+o AS (SELECT task_id, (doc_id * 1000003) % (size + 50) AS at FROM r JOIN e USING (task_id)) SELECT o.task_id, o.at, r.doc_id FROM o JOIN r ON o.task_id = r.task_id AND o.at >= r.hi - r.n AND o.at < r.hi"""
+
+
+def _by_offset(spark, d, task):
+    """Offsets all over each task's joined text, and some behind its end."""
+    docs = table(spark, d, "documents").select(task.alias("task_id"), "doc_id", "text")
+    r = lookup.ranges(docs, ["task_id"], "doc_id")
+    size = r.groupBy("task_id").agg(F.max("hi").alias("size"))
+    o = docs.select("task_id", "doc_id").join(size, "task_id").select("task_id", ((F.col("doc_id") * 1000003) % (F.col("size") + 50)).alias("at"))
+    return lookup.located(o, r, ["task_id"]).select("task_id", "at", "doc_id")
+
+
+@query("h13_source_by_offset", _H13.format(task="doc_id // 16"))
 def h13(spark, d):
-    docs = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("task_id"), "doc_id", "text")
-    r = J.ranges(docs, ["task_id"], "doc_id").select("task_id", "doc_id", "lo", "hi")
-    o = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 16).alias("task_id"), (F.col("doc_id") * 977 % 50000).alias("at"))
-    return o.join(r, "task_id").where("at >= lo AND at < hi").select("task_id", "at", "doc_id")
+    return _by_offset(spark, d, F.floor(F.col("doc_id") / 16))
+
+
+@query("h13_one_task", _H13.format(task="CAST(0 AS BIGINT)"))
+def h13_one(spark, d):
+    """All documents are one task."""
+    return _by_offset(spark, d, F.lit(0).cast("long"))
 
 
-@query("h12_field_evidence", """SELECT item_id, doc_id, substr(text, CAST(greatest(1, instr(text, v) - 250) AS BIGINT), 540) AS snippet FROM (SELECT b.item_id, substr(b.text, 1, 40) AS v, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY ALL) JOIN documents USING (doc_id)""")
+@query("h12_field_evidence", """SELECT item_id, doc_id, substr(d.text, CAST(greatest(1, instr(d.text, b.text) - 250) AS BIGINT), 540) AS snippet FROM (SELECT b.item_id, b.text, min(d.doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL) b JOIN documents d USING (doc_id)""")
 def h12(spark, d):
-    """The first document that holds a value, and 250 characters around it."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("v"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    hit = E.holders(docs, b, "v")
-    return hit.groupBy("item_id").agg(F.min_by(F.substr("text", F.greatest(F.lit(1), F.instr("text", F.col("v")) - 250), F.lit(540)), "doc_id").alias("snippet"), F.min("doc_id").alias("doc_id"))
+    """The first document that holds a whole item, and 250 characters around it."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("v"))
+    return lookup.evidence(table(spark, d, "documents").select("doc_id", "text"), b, "v").select("item_id", "doc_id", "snippet")

@@ -174,11 +174,15 @@ def d20(spark, d):
     return messy(spark, d).select("record_idx", interpret.anchor(["status", "priority"]).alias("anchor"))
 
 
-@query("d21_snippet", "SELECT item_id, doc_id, substr(text, CAST(greatest(1, instr(text, v) - 520) AS BIGINT), CAST(instr(text, v) + 24 + 520 - greatest(1, instr(text, v) - 520) AS BIGINT)) AS snippet FROM (SELECT b.item_id, d.doc_id, d.text, substr(b.text, 1, 24) AS v FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 24)))")
+_PARTS = "(SELECT DISTINCT item_id, part FROM (SELECT item_id, unnest(string_split(text, '. ')) AS part FROM benchmark) WHERE part <> '')"
+
+
+@query("d21_snippet", f"SELECT item_id, part, doc_id, substr(text, CAST(greatest(1, instr(text, part) - 520) AS BIGINT), CAST(instr(text, part) + length(part) + 520 - greatest(1, instr(text, part) - 520) AS BIGINT)) AS snippet FROM {_PARTS} b JOIN documents d ON contains(d.text, part)")
 def d21(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 24).alias("v"))
-    hit = E.holders(table(spark, d, "documents").select("doc_id", "text"), b, "v")
-    return hit.select("item_id", "doc_id", interpret.snippet(F.col("text"), F.col("v")).alias("snippet"))
+    """Each sentence of each item in all documents that hold it."""
+    b = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", r"\. ")).alias("part")).where("part <> ''").distinct()
+    hit = E.holders(table(spark, d, "documents").select("doc_id", "text"), b, "part")
+    return hit.select("item_id", "part", "doc_id", interpret.snippet(F.col("text"), F.col("part")).alias("snippet"))
 
 
 @query("d22_interpret", "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '0' WHEN 1 THEN concat(CAST(l_quantity AS INTEGER), '') WHEN 2 THEN concat(CAST(l_quantity AS INTEGER) + 2, '') ELSE concat(CAST(l_quantity AS INTEGER), '') END AS value FROM lineitem")
@@ -203,6 +207,11 @@ def e10(spark, d):
     return items(spark, d).where(E.text_matches(F.col("line"), E.Clause({"a": ["license"], "b": ["Public", "rights"]}))).select("doc_id", "idx")
 
 
+@query("e10_one_pass", "SELECT doc_id FROM documents WHERE contains(text, 'license') AND (contains(text, 'Public') OR contains(text, 'rights') OR contains(text, 'owner'))")
+def e10_one_pass(spark, d):
+    return E.holding_any(table(spark, d, "documents").select("doc_id", "text"), E.Clause({"a": ["license"], "b": ["Public", "rights", "owner"]})).select("doc_id")
+
+
 @query("e11_row_constraint", f"WITH {MESSY} SELECT record_idx FROM messy WHERE contains(status, 'P') OR contains(priority, 'LOW')")
 def e11(spark, d):
     return messy(spark, d).where(E.any_clause(F.col("status"), [E.Clause({"s": ["P"]})]) | E.any_clause(F.col("priority"), [E.Clause({"p": ["LOW"]})])).select("record_idx")

@@ -261,7 +261,8 @@ def g3(spark, d):
 @query("g5_reading_order", f"WITH {MESSY}, t AS (SELECT doc_id AS task_id, text FROM documents), p AS (SELECT m.task_id, record_idx, CASE WHEN instr(text, lower(substr(trim(priority), 3, 2))) > 0 THEN instr(text, lower(substr(trim(priority), 3, 2))) ELSE 1000000000000000000 END AS position FROM (SELECT * REPLACE (record_idx % (SELECT count(*) FROM documents) AS task_id) FROM messy) m LEFT JOIN t ON m.task_id = t.task_id) SELECT task_id, record_idx, CAST(position AS BIGINT) AS position, CAST(row_number() OVER (PARTITION BY task_id ORDER BY position, record_idx) AS INTEGER) AS rank FROM p")
 def g5(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("task_id"), "text")
-    m = messy(spark, d).withColumn("task_id", F.col("record_idx") % t.count()).withColumn("v", F.lower(F.substring(F.trim("priority"), 3, 2)))
+    size = F.broadcast(t.agg(F.count("*").alias("_n")))  # one row
+    m = messy(spark, d).crossJoin(size).withColumn("task_id", F.col("record_idx") % F.col("_n")).drop("_n").withColumn("v", F.lower(F.substring(F.trim("priority"), 3, 2)))
     return R.reading_order(m, t, "v", ["task_id"]).select("task_id", "record_idx", "position", "rank")
 
 
