@@ -99,6 +99,11 @@ def ranked_hits(hits: DataFrame, questions: DataFrame, size: DataFrame, chunks:
     return best.withColumn("method", F.lit("bm25"))
 
 
+def dot(a: str, b: str) -> Column:
+    """Of two arrays of doubles."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(a: str, b: str) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)
@@ -119,6 +124,21 @@ def fuse(scores: DataFrame, vector: str | None, text: str | None, alpha: float =
     return scores.withColumn("score", F.col(one) if one else F.lit(0.0)).withColumn("method", F.lit("vector" if vector else "bm25" if text else "none"))
 
 
+def hybrid(near: DataFrame, texts: DataFrame, vector: str, text: str, within: list[str], keys: list[str], alpha: float = 0.65) -> DataFrame:
+    """within, keys, both signals, score, method: the full outer join of vector scores and text scores, both 0 to 1 within a
+    question. A chunk that one signal lacks has 0 there; a question that has one signal only is scored by it, and its method
+    says so. alpha is clamped to 0..1."""
+    alpha = min(1.0, max(0.0, alpha))
+    on = [*within, *keys]
+    both = near.select(*on, vector).join(texts.select(*on, text), on, "full")
+    has = near.select(*within).distinct().withColumn("_v", F.lit(True)).join(texts.select(*within).distinct().withColumn("_t", F.lit(True)), within, "full")
+    both = both.join(has, within)
+    v, t = F.coalesce(vector, F.lit(0.0)), F.coalesce(text, F.lit(0.0))
+    score = F.when(F.col("_v") & F.col("_t"), alpha * v + (1 - alpha) * t).when(F.col("_v"), v).otherwise(t)
+    method = F.when(F.col("_v") & F.col("_t"), "hybrid(vector+bm25)").when(F.col("_v"), "vector").otherwise("bm25")
+    return both.select(*on, vector, text, score.alias("score"), method.alias("method"))
+
+
 def boost(kind: str) -> Column:
     out = F.lit(1.0)
     for name, by in BOOST.items():

@@ -12,6 +12,7 @@ from ..operators import predicates as E
 from ..operators import privacy as P
 from ..operators import quality as J
 from ..operators import retrieval as R
+from ..operators import vectors
 from ..session import new_folder
 from ..sources.inputs import ITEMS, MESSY, items, messy, table
 from ..streaming.arrivals import call_windows
@@ -95,10 +96,27 @@ def r3(spark, d):
     return R.min_max(cosines(spark, d), "cos", ["q_id"], "scaled").select("q_id", "vec_id", F.round("scaled", 4).alias("scaled"))
 
 
-@query("r4_fuse", f"SELECT q_id, vec_id, round(0.65 * cos + 0.35 * (vec_id % 10) / 10.0, 4) AS score, 'hybrid(vector+bm25)' AS method FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
+#: Questions with the vector that asks with them; the last two have one signal only.
+HYBRID = [*[(q, 100 * i) for i, q in enumerate(QUESTIONS)], ("qqzzqq", 400), ("the of and", None)]
+_HYBRID = ", ".join(f"('{q}', {'NULL' if v is None else v})" for q, v in HYBRID)
+_BM25_DOCS = "c AS (SELECT doc_id, 0 AS idx, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), " + _BM25[_BM25.index("s AS (SELECT count(*)") :].replace(_Q, ", ".join(f"('{q}')" for q, _ in HYBRID))
+
+
+@query("r4_fuse", f"""WITH {_BM25_DOCS}, texts AS (SELECT question, doc_id, bm25 / max(bm25) OVER (PARTITION BY question) AS bm25 FROM b),
+vecs AS (SELECT question, vec_id AS doc_id, (cos - min(cos) OVER w) / (max(cos) OVER w - min(cos) OVER w) AS cos FROM (SELECT h.question, e.vec_id, {_COS} AS cos FROM (VALUES {_HYBRID}) h(question, v) JOIN embeddings q ON q.vec_id = h.v CROSS JOIN embeddings e) WINDOW w AS (PARTITION BY question))
+SELECT question, doc_id, round(CASE WHEN vs.question IS NULL THEN bm25 WHEN ts.question IS NULL THEN cos ELSE 0.65 * coalesce(cos, 0) + 0.35 * coalesce(bm25, 0) END, 4) AS score,
+ CASE WHEN vs.question IS NULL THEN 'bm25' WHEN ts.question IS NULL THEN 'vector' ELSE 'hybrid(vector+bm25)' END AS method
+FROM vecs FULL JOIN texts USING (question, doc_id) LEFT JOIN (SELECT DISTINCT question FROM vecs) vs USING (question) LEFT JOIN (SELECT DISTINCT question FROM texts) ts USING (question)""")
 def r4(spark, d):
-    s = cosines(spark, d).withColumn("text", (F.col("vec_id") % 10) / 10.0)
-    return R.fuse(s, "cos", "text").select("q_id", "vec_id", F.round("score", 4).alias("score"), "method")
+    """Documents by BM25 and by their vectors, fused: some have one signal, and so have two of the questions."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit(0).alias("idx"), "text")
+    asked = spark.createDataFrame(HYBRID, "question string, v long")
+    texts = R.bm25(docs, asked.select("question"))
+    texts = texts.join(texts.groupBy("question").agg(F.max("bm25").alias("_hi")), "question").withColumn("bm25", F.col("bm25") / F.col("_hi"))
+    e = vectors.unit(table(spark, d, "embeddings")).select(F.col("vec_id").alias("doc_id"), "unit")
+    q = F.broadcast(asked.join(e.select(F.col("doc_id").alias("v"), F.col("unit").alias("q")), "v").select("question", "q"))  # a row for each question
+    near = R.min_max(e.crossJoin(q).select("question", "doc_id", R.dot("unit", "q").alias("_cos")), "_cos", ["question"], "cos")
+    return R.hybrid(near, texts, "cos", "bm25", ["question"], ["doc_id"]).select("question", "doc_id", F.round("score", 4).alias("score"), "method")
 
 
 @query("r7_vector_top_k", f"SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS rank FROM (SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 9) AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 8")
@@ -106,6 +124,28 @@ def r7(spark, d):
     return R.top_k(cosines(spark, d).withColumn("score", F.round("cos", 9)), ["q_id"], ["vec_id"], 8).select("q_id", "vec_id", "rank")
 
 
+_R7 = SQL["r7_vector_top_k"]
+
+
+def _vector_index(spark, d):
+    path, e = new_folder(spark, "vectors"), table(spark, d, "embeddings")
+    vectors.index(e, path)
+    return path, e.where(F.col("vec_id") % 100 == 0)
+
+
+@query("r7_indexed", _R7)
+def r7_indexed(spark, d):
+    """The stored tables with all probes: the exact search."""
+    return vectors.search(*_vector_index(spark, d), probes=None).select("q_id", "vec_id", "rank")
+
+
+@query("r7_recall")
+def r7_recall(spark, d):
+    """How much of the exact result the default probes find; tests/test_vectors.py holds both searches against brute force."""
+    path, asked = _vector_index(spark, d)
+    return vectors.recall(vectors.search(path, asked), vectors.search(path, asked, probes=None))
+
+
 @query("r9_last_turns", "SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4 GROUP BY conv_id")
 def r9(spark, d):
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
