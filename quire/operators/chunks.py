@@ -87,25 +87,27 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return d.select("doc_id", "start", F.least(n, F.col("start") + size).alias("end"), F.substr("text", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
+def window_places(text: str, size: int = 500, overlap: int = 80):
+    """Start and end of windows that end after the last separator of their second half; the first separator kind that occurs
+    there wins."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        if end < len(text):
+            places = (text.rfind(s, at + size // 2, end) for s in "。\n；.;")
+            end = next((p + 1 for p in places if p >= 0), end)
+        yield at, end
+        if end == len(text):
+            return
+        at = end - overlap
+
+
 def sentence_windows(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
-    """doc_id, start, end, text: windows that end after the last separator of their second half; the first separator kind
-    that occurs there wins. Each start depends on the window before, so texts are walked in Arrow batches."""
-
-    def cut(text: str):
-        at = 0
-        while at < len(text):
-            end = min(at + size, len(text))
-            if end < len(text):
-                places = (text.rfind(s, at + size // 2, end) for s in "。\n；.;")
-                end = next((p + 1 for p in places if p >= 0), end)
-            yield at, end
-            if end == len(text):
-                return
-            at = end - overlap
+    """doc_id, start, end, text. Each start depends on the window before, so texts are walked in Arrow batches."""
 
     def run(frames):
         for f in frames:
-            rows = [(d, a, b, t[a:b]) for d, t in zip(f["doc_id"], f["text"], strict=True) if t for a, b in cut(t)]
+            rows = [(d, a, b, t[a:b]) for d, t in zip(f["doc_id"], f["text"], strict=True) if t for a, b in window_places(t, size, overlap)]
             yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start int, end int, text string")

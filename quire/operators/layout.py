@@ -11,25 +11,32 @@ from ..session import cut
 from .predicates import Clause
 
 
+def spread(cells: list[tuple], rows: int, cols: int) -> dict[tuple[int, int], str]:
+    """Texts by row and column from (r, text, row_span, col_span) in reading order. A cell takes the next free column of its row;
+    the first cell of a place stays."""
+    grid, at = {}, {}
+    for r, text, h, w in cells:
+        c = at.get(r, 0)
+        while (r, c) in grid:
+            c += 1
+        if c < cols:
+            for y in range(r, min(r + h, rows)):
+                for x in range(c, min(c + w, cols)):
+                    grid.setdefault((y, x), text)
+        at[r] = min(c + w, cols)
+    return grid
+
+
 def expand_spans(cells: DataFrame) -> DataFrame:
-    """table_idx, r, c, text: merged cells copied over their area. A cell takes the next free column of its row, so a table's
-    rows are walked in order, one table at a time. cells: table_idx, r, pos, text, row_span, col_span, n_cols."""
+    """table_idx, r, c, text: merged cells copied over their area; a table's rows are walked in order, one table at a time.
+    cells: table_idx, r, pos, text, row_span, col_span, n_cols."""
     import pandas as pd
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        rows, cols, grid = int(f["r"].max()) + 1, int(f["n_cols"].max()), {}
-        for r, part in f.sort_values(["r", "pos"]).groupby("r"):
-            c = 0
-            for text, h, w in zip(part["text"], part["row_span"], part["col_span"], strict=True):
-                while (r, c) in grid:
-                    c += 1
-                if c >= cols:
-                    break
-                for y in range(int(r), min(int(r + h), rows)):
-                    for x in range(c, min(c + int(w), cols)):
-                        grid.setdefault((y, x), text)
-                c = min(c + int(w), cols)
-        return pd.DataFrame([(f["table_idx"].iloc[0], int(y), int(x), t) for (y, x), t in grid.items()], columns=["table_idx", "r", "c", "text"])
+        f = f.sort_values(["r", "pos"])
+        listed = [(int(r), t, int(h), int(w)) for r, t, h, w in zip(f["r"], f["text"], f["row_span"], f["col_span"], strict=True)]
+        grid = spread(listed, int(f["r"].max()) + 1, int(f["n_cols"].max()))
+        return pd.DataFrame([(f["table_idx"].iloc[0], y, x, t) for (y, x), t in grid.items()], columns=["table_idx", "r", "c", "text"])
 
     return cells.groupBy("table_idx").applyInPandas(one, "table_idx long, r int, c int, text string")
 
