@@ -111,9 +111,9 @@ def reading_order(records: DataFrame, docs: DataFrame, value: str, within: list[
     """Adds position: where the record's key first occurs in its own document, and rank by it; unknown ones last. One pass over the
     texts finds all keys, so that no text is carried along with records."""
     (key,) = within
-    found = occurrences(docs, records, value, key=key).select(F.col(key).alias("_key"), F.col(value).alias("_value"), F.col("position").alias("_at"))
-    r = records.join(found, (F.col(key) == F.col("_key")) & (F.col(value) == F.col("_value")), "left")
-    r = r.withColumn("position", F.coalesce(F.col("_at").cast("long"), F.lit(10**18))).drop("_key", "_value", "_at")
+    found = occurrences(docs, records, value, key=key).select(F.col(key).alias("_found_key"), F.col(value).alias("_found_value"), F.col("position").alias("_found_at"))
+    r = records.join(found, (F.col(key) == F.col("_found_key")) & (F.col(value) == F.col("_found_value")), "left")
+    r = r.withColumn("position", F.coalesce(F.col("_found_at").cast("long"), F.lit(10**18))).drop("_found_key", "_found_value", "_found_at")
     return r.withColumn("rank", F.row_number().over(Window.partitionBy(*within).orderBy("position", order)))
 
 

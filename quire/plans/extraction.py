@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import compose
 from ..operators import chunks as C
 from ..operators import fuzzy, interpret, layout
 from ..operators import infer as K
@@ -242,8 +243,8 @@ def f8(spark, d):
 @query("f10_merge_entry", f"WITH {DUPS} SELECT trim(customer) AS customer, count(*) AS merge_count FROM dups WHERE trim(customer) <> '' GROUP BY 1")
 def f10(spark, d):
     """With keys given, nothing is merged by similarity."""
-    x = dups(spark, d).withColumn("customer", F.trim("customer"))
-    return R.merge_by_key(x, ["customer"], ["customer"]).select("customer", "merge_count")
+    x = dups(spark, d).withColumn("customer", F.trim("customer")).withColumn("_note", F.lit("x"))
+    return compose.merge_records(x, ["customer", "_note"], ["customer"]).select("customer", "merge_count")
 
 
 @query("g4_anchor_backfill", f"WITH {MESSY} SELECT record_idx, CASE WHEN task_id % 2 = 0 THEN customer ELSE concat('g', record_idx // 16 % 2) END AS grp FROM messy")
@@ -259,16 +260,15 @@ def h2(spark, d):
 
 @query("h5_assign_pipeline", f"WITH {_ASSIGNED}, u AS (SELECT table_index, any_value(max_rows) AS max_rows, min(record_idx) AS record_idx FROM assigned GROUP BY table_index, CASE WHEN {LOOSE('customer')} = '' THEN concat('R', {', chr(1), '.join(LOOSE(k) for k in ('customer', 'status'))}) ELSE {LOOSE('customer')} END) SELECT table_index, record_idx FROM (SELECT *, row_number() OVER (PARTITION BY table_index ORDER BY record_idx) AS n FROM u) WHERE max_rows <= 0 OR n <= max_rows")
 def h5(spark, d):
-    a = R.keyed_dedup(R.assign(messy(spark, d), specs(spark)), ["customer"], ["customer", "status"], within=["table_index"])
-    return R.cap_rows(a).select("table_index", "record_idx")
+    return compose.assigned(messy(spark, d), specs(spark), ["customer"], ["customer", "status"]).select("table_index", "record_idx")
 
 
-@query("j3_run_summary", f"WITH {MESSY} SELECT task_id, count(*) AS records, count(*) FILTER (WHERE trim(status) = '') + count(*) FILTER (WHERE trim(order_date) = '') AS missing, sum(length(amount)) AS chars FROM messy GROUP BY task_id")
+@query("j3_run_summary", f"""WITH {MESSY}, c AS (SELECT user_id % 16 AS task_id, sum(value) AS seconds FROM events GROUP BY 1)
+SELECT task_id, count(*) AS records, sum(length(amount)) AS chars, count(*) FILTER (WHERE trim(status) = '') + count(*) FILTER (WHERE trim(order_date) = '') AS missing, count(*) FILTER (WHERE trim(status) = '' OR trim(order_date) = '') AS retried, round(coalesce(any_value(seconds), 0), 3) AS seconds FROM messy LEFT JOIN c USING (task_id) GROUP BY task_id""")
 def j3(spark, d):
     m = messy(spark, d)
-    missing = R.missing_cells(m, ["status", "order_date"], ["task_id"]).groupBy("task_id").agg(F.count("*").alias("missing"))
-    a = m.groupBy("task_id").agg(F.count("*").alias("records"), F.sum(F.length("amount")).alias("chars"))
-    return a.join(missing, "task_id", "left").select("task_id", "records", F.coalesce("missing", F.lit(0)).alias("missing"), "chars")
+    calls = table(spark, d, "events").select((F.col("user_id") % 16).alias("task_id"), F.col("value").alias("seconds"))
+    return compose.run_summary(m, ["task_id"], ["status", "order_date"], m.withColumnRenamed("amount", "text"), calls).withColumn("seconds", F.round("seconds", 3))
 
 
 @query("j7_timeout", "SELECT task_id, CASE WHEN task_id % 2 = 0 THEN least(300, greatest(30, CAST(floor(1.5 * (2 + 3 * chunks)) + 10 AS BIGINT))) ELSE 120 END AS timeout FROM (SELECT doc_id // 4 AS task_id, greatest(1, CAST(sum(n_chars) // 3000 AS BIGINT)) AS chunks FROM documents GROUP BY 1)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import compose
 from ..operators import predicates as E
 from ..operators import quality as J
 from ..operators import records as R
@@ -224,12 +225,10 @@ def f7(spark, d):
     return R.detect_keys(messy(spark, d), ["record_idx", "customer", "status", "priority"])
 
 
-@query("f9_merge_stats", f"WITH {DUPS} SELECT count(*) AS total, count(DISTINCT trim(customer)) AS merged, round(1 - count(DISTINCT trim(customer)) / count(*), 6) AS reduction FROM dups")
+@query("f9_merge_stats", f"WITH {DUPS} SELECT count(*) AS total, count(DISTINCT nullif(trim(customer), '')) + count(*) FILTER (WHERE trim(customer) = '') AS merged, round(1 - count(DISTINCT trim(customer)) / count(*), 6) AS reduction, ['customer'] AS keys FROM dups")
 def f9(spark, d):
-    x = dups(spark, d)
-    merged = R.merge_by_key(x, ["customer"], ["amount"])
-    a = merged.agg(F.sum("merge_count").alias("total"), F.count("*").alias("merged"))
-    return a.withColumn("reduction", F.round(1 - F.col("merged") / F.col("total"), 6))
+    _, stats = compose.merge_chunk_results(dups(spark, d), ["customer", "amount"], ["customer"])
+    return stats.withColumn("reduction", F.round("reduction", 6))
 
 
 @query("f11_first_values", f"WITH {MESSY} SELECT task_id, arg_min(status, record_idx) FILTER (WHERE trim(status) <> '') AS status, arg_min(order_date, record_idx) FILTER (WHERE trim(order_date) <> '') AS order_date FROM messy GROUP BY task_id")
@@ -312,9 +311,7 @@ def h8(spark, d):
 def h11(spark, d):
     m = messy(spark, d)
     again = dups(spark, d).where("record_idx >= 1000000")
-    both = m.unionByName(again.drop("amount"), allowMissingColumns=True).withColumn("customer", F.trim("customer"))
-    out = R.merge_by_key(both, ["customer"], ["customer", "order_date"], "first_wins")
-    return R.exact_dedup(out.na.fill(""), ["customer", "order_date"]).select("customer", "order_date")
+    return compose.union_merge(m, again.drop("amount"), ["customer"], ["customer", "order_date"]).select("customer", "order_date")
 
 
 @query("j1_missing_cells", f"WITH {MESSY} SELECT record_idx, 'order_date' AS field FROM messy WHERE trim(order_date) = '' UNION ALL SELECT record_idx, 'status' FROM messy WHERE trim(status) = ''")
