@@ -47,10 +47,10 @@ def sized(docs: DataFrame) -> DataFrame:
                 edge = offs[:-1][offs[:-1] < len(b)]
                 start[edge] = inside[edge]
                 total = np.concatenate(([0], np.cumsum(start)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total[offs[1:]] - total[offs[:-1]], pa.int64())], [*part.schema.names, "_size"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total[offs[1:]] - total[offs[:-1]], pa.int64())], [*part.schema.names, "_mix_size"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(count, f"{fields}, _size long").select(*names, "_size")
+    return docs.mapInArrow(count, f"{fields}, _mix_size long").select(*names, "_mix_size")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, epochs: int = 3) -> DataFrame:
@@ -82,31 +82,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, epochs: int = 3, seed: int = 1) -> Dat
     """docs with size, source_size, target, whole (whole repetitions) and taken (words taken, repeats counted)."""
     docs = docs.drop(*RESULTS)
     ranges = max(RANGES, docs.count() // IN_RANGE)
-    d = sized(docs).withColumnRenamed("_size", "size")
+    d = sized(docs).withColumnRenamed("_mix_size", "size")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")), F.lit(1 << 52))
-    d = d.withColumn("_draw", draw).withColumn("_range", (F.col("_draw") / (1 << 52) * ranges).cast("int"))
-    small = cut(d.groupBy("source", "_range").agg(F.sum("size").alias("_size")))
-    t = targets(small.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, epochs)
-    t = t.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    t = t.withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+    d = d.withColumn("_mix_draw", draw).withColumn("_mix_range", (F.col("_mix_draw") / (1 << 52) * ranges).cast("int"))
+    small = cut(d.groupBy("source", "_mix_range").agg(F.sum("size").alias("_mix_size")))
+    t = targets(small.groupBy("source").agg(F.sum("_mix_size").alias("source_size")), weights, epochs)
+    t = t.withColumn("_mix_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    t = t.withColumn("_mix_rest", F.round("target").cast("long") - F.col("_mix_whole") * F.col("source_size"))
     t = cut(t)
     few = F.broadcast if t.count() <= MOST_BROADCAST else lambda x: x
-    same = F.col("_source").eqNullSafe(F.col("source"))
-    before = F.sum("_size").over(Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    spans = small.withColumn("_from", F.coalesce(before, F.lit(0))).join(few(t.withColumnRenamed("source", "_source")), same)
+    same = F.col("_mix_source").eqNullSafe(F.col("source"))
+    before = F.sum("_mix_size").over(Window.partitionBy("source").orderBy("_mix_range").rowsBetween(Window.unboundedPreceding, -1))
+    spans = small.withColumn("_mix_from", F.coalesce(before, F.lit(0))).join(few(t.withColumnRenamed("source", "_mix_source")), same)
     # the range in which the target falls; ranges before it are taken, ranges after it are not
-    spans = spans.where((F.col("_from") < F.col("_rest")) & (F.col("_from") + F.col("_size") >= F.col("_rest")))
-    spans = t.withColumnRenamed("source", "_source").join(spans.select(F.col("source").alias("_s"), F.col("_range").alias("_cut"), "_from"), F.col("_s").eqNullSafe(F.col("_source")), "left").drop("_s")
-    d = d.join(few(spans), same, "left").drop("_source")
-    inside = d.where(F.col("_range") == F.col("_cut"))
-    order = Window.partitionBy("source").orderBy("_draw", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("_at", F.col("_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_at")))
-    outside = d.where(~F.col("_range").eqNullSafe(F.col("_cut"))).withColumn("_at", F.lit(None).cast("long"))
-    part = F.when(F.col("_at").isNotNull(), part).when(F.col("_range") < F.col("_cut"), F.col("size")).otherwise(F.lit(0))
-    d = inside.unionByName(outside).withColumn("_part", part.cast("long"))
-    whole = F.col("_whole") + (F.col("_part") >= F.col("size")).cast("long")
-    return d.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("taken", F.col("_whole") * F.col("size") + F.col("_part")).drop("_draw", "_range", "_cut", "_from", "_at", "_part", "_rest", "_whole")
+    spans = spans.where((F.col("_mix_from") < F.col("_mix_rest")) & (F.col("_mix_from") + F.col("_mix_size") >= F.col("_mix_rest")))
+    spans = t.withColumnRenamed("source", "_mix_source").join(spans.select(F.col("source").alias("_mix_s"), F.col("_mix_range").alias("_mix_cut"), "_mix_from"), F.col("_mix_s").eqNullSafe(F.col("_mix_source")), "left").drop("_mix_s")
+    d = d.join(few(spans), same, "left").drop("_mix_source")
+    inside = d.where(F.col("_mix_range") == F.col("_mix_cut"))
+    order = Window.partitionBy("source").orderBy("_mix_draw", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_mix_at", F.col("_mix_from") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_mix_rest") - F.col("_mix_at")))
+    outside = d.where(~F.col("_mix_range").eqNullSafe(F.col("_mix_cut"))).withColumn("_mix_at", F.lit(None).cast("long"))
+    part = F.when(F.col("_mix_at").isNotNull(), part).when(F.col("_mix_range") < F.col("_mix_cut"), F.col("size")).otherwise(F.lit(0))
+    d = inside.unionByName(outside).withColumn("_mix_part", part.cast("long"))
+    whole = F.col("_mix_whole") + (F.col("_mix_part") >= F.col("size")).cast("long")
+    return d.withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(0)).withColumn("taken", F.col("_mix_whole") * F.col("size") + F.col("_mix_part")).drop("_mix_draw", "_mix_range", "_mix_cut", "_mix_from", "_mix_at", "_mix_part", "_mix_rest", "_mix_whole")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

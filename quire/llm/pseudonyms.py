@@ -41,8 +41,8 @@ _GROUPED = tuple(("card", p) for p in (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r
 EVERYWHERE = (*((k, rf"{_CARD_AFTER}(?=({p}){_CARD_BEFORE})") for k, p in _GROUPED), *((k, rf"{_AFTER}(?=({PATTERNS[k]}){_BEFORE})") for k in ("ssn", "phone")))
 STARTS = r"(?=[\d+(])(?:" + "|".join(p for _, p in EVERYWHERE).replace("(?=(", "(?=(?:") + ")"
 _FIRST_DAY = "1900-01-01"
-#: Days of 1900 to 2099: 229 x 319, so the two halves of a date's number fill the range exactly.
-_DATE_LEFT, _DATE_RIGHT = 229, 319
+#: Days of 1900 to 2099, and the two halves of a date's number: 229 x 319 is 73,051, two more than there are days.
+_DAYS, _DATE_LEFT, _DATE_RIGHT = 73_049, 229, 319
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
 
@@ -175,15 +175,26 @@ def date_order(value):
     return F.when(F.length(p[0]) == 4, F.when(valid(0, 1, 2), 0)).when(valid(2, 1, 0), 1).when(valid(2, 0, 1), 2)
 
 
+def permute_day(n, key: str):
+    """A day's number among all days. A number behind the last day is permuted again until it is a day's (cycle walking); there
+    are two such numbers, so three steps are enough."""
+
+    def step(x):
+        moved = feistel(F.floor(x / _DATE_RIGHT), x % _DATE_RIGHT, F.lit(_DATE_LEFT).cast("long"), F.lit(_DATE_RIGHT).cast("long"), key, "date", F.lit(""))
+        return _let(moved, lambda m: m["l"] * _DATE_RIGHT + m["r"])
+
+    again = lambda x: F.when(x < _DAYS, x).otherwise(step(x))
+    return _let(step(n), lambda x: _let(again(x), again))
+
+
 def date(value, key: str):
     def of(s):
         p, order = s["p"], s["o"]
         at = lambda a, b, c: F.when(order == 0, p[a]).when(order == 1, p[b]).otherwise(p[c])
         day = F.try_to_date(F.concat_ws("-", at(0, 2, 2), at(1, 1, 0), at(2, 0, 1)), "yyyy-MM-dd")
         n = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-        moved = feistel(F.floor(n / _DATE_RIGHT), n % _DATE_RIGHT, F.lit(_DATE_LEFT).cast("long"), F.lit(_DATE_RIGHT).cast("long"), key, "date", F.lit(""))
-        digits = lambda form: _let(moved, lambda m: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), (m["l"] * _DATE_RIGHT + m["r"]).cast("int")), form))
-        return into_places(value, F.when(order == 0, digits("yyyyMMdd")).when(order == 1, digits("ddMMyyyy")).otherwise(digits("MMddyyyy")))
+        shown = lambda x, form: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), x.cast("int")), form)
+        return _let(permute_day(n, key), lambda x: into_places(value, F.when(order == 0, shown(x, "yyyyMMdd")).when(order == 1, shown(x, "ddMMyyyy")).otherwise(shown(x, "MMddyyyy"))))
 
     return _let(F.struct(F.split(value, "[-/.]").alias("p"), date_order(value).alias("o")), of)
 
@@ -209,8 +220,11 @@ def permute_letters(value, key: str, tweak):
 
 
 def email(value, key: str):
+    """The name is permuted in lower case and takes its capitals back, so that an address is linked in either case."""
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    return F.concat(permute_letters(name, key, F.lower(host)), F.lit("@"), host)
+    capital = lambda ch, i: F.when(F.substr(name, i + 1, F.lit(1)).rlike("^[A-Z]$"), F.upper(ch)).otherwise(ch)
+    moved = F.array_join(F.transform(F.split(permute_letters(F.lower(name), key, F.lower(host)), ""), capital), "")
+    return F.concat(moved, F.lit("@"), host)
 
 
 def kind_of(value):
@@ -265,14 +279,14 @@ def pseudonymise(docs: DataFrame, key: str = "quire") -> DataFrame:
     """
     t = F.col("text")
     some = F.regexp_like(t, F.lit(ALL)) | F.regexp_like(t, F.lit(STARTS))
-    d = docs.withColumn("_all", F.when(some, _candidates(t)))
-    apart = F.filter("_all", lambda x: ~(x["loose"] & F.exists("_all", lambda y: ~y["loose"] & (y["start"] < x["end"]) & (y["end"] > x["start"]))))
-    d = d.withColumn("_all", F.array_sort(apart))
-    none = F.slice("_all", 1, 0)
-    settled = F.aggregate("_all", none, lambda a, x: F.when(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1)["end"], F.lit(0)) <= x["start"], F.array_append(a, x)).otherwise(a))
-    d = d.withColumn("_all", settled)
-    made = F.transform("_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("pseudonym")))
-    d = d.withColumn("found", F.coalesce(made, F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string,pseudonym:string>>)"))).drop("_all")
+    d = docs.withColumn("_pseudonyms_all", F.when(some, _candidates(t)))
+    apart = F.filter("_pseudonyms_all", lambda x: ~(x["loose"] & F.exists("_pseudonyms_all", lambda y: ~y["loose"] & (y["start"] < x["end"]) & (y["end"] > x["start"]))))
+    d = d.withColumn("_pseudonyms_all", F.array_sort(apart))
+    none = F.slice("_pseudonyms_all", 1, 0)
+    settled = F.aggregate("_pseudonyms_all", none, lambda a, x: F.when(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1)["end"], F.lit(0)) <= x["start"], F.array_append(a, x)).otherwise(a))
+    d = d.withColumn("_pseudonyms_all", settled)
+    made = F.transform("_pseudonyms_all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), pseudonym(x["m"], x["kind"], key).alias("pseudonym")))
+    d = d.withColumn("found", F.coalesce(made, F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string,pseudonym:string>>)"))).drop("_pseudonyms_all")
     end = lambda i: F.coalesce(F.when(i > 0, F.get("found", i - 1)["end"]), F.lit(0))
     parts = F.transform("found", lambda x, i: F.concat(F.substr(t, end(i) + 1, x["start"] - end(i)), x["pseudonym"]))
     rest = F.substr(t, end(F.size("found")) + 1, F.length(t))
