@@ -56,13 +56,33 @@ def conform(candidates: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in candidates], F.lit(""))
 
 
+#: Keys of a unit that aren't fields.
+UNIT_KEYS = ("unit_id", "unit_type", "confidence", "evidence", "metadata")
+
+
 def units(answers: DataFrame, column: str) -> DataFrame:
-    """One row for each unit of a unit-aware answer: default ids and types, confidence within 0..1 and 0.8 where unreadable."""
-    schema = "struct<units:array<struct<unit_id:string,unit_type:string,confidence:string,fields:map<string,string>>>>"
-    u = answers.withColumn("_u", F.from_json(column, schema)).select(*[c for c in answers.columns if c != column], F.posexplode("_u.units").alias("_i", "_x"))
-    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("_x.confidence").try_cast("double"), F.lit(0.8))))
-    name = F.coalesce("_x.unit_id", F.concat(F.lit("unit_"), F.lpad((F.col("_i") + 1).cast("string"), 3, "0")))
-    return u.select(*[c for c in answers.columns if c != column], name.alias("unit_id"), F.coalesce("_x.unit_type", F.lit("unknown")).alias("unit_type"), conf.alias("confidence"), F.col("_x.fields").alias("fields"))
+    """One row for each unit of a unit-aware answer: the other columns, unit_id and unit_type (with defaults), confidence within 0..1
+    and 0.8 where unreadable, fields (map) and evidence. Fields are an object, or a list of key and value pairs; without them the
+    unit's other keys are its fields. Units that are no objects go, but count in default ids."""
+    rest = [c for c in answers.columns if c not in (column, "unit_id", "unit_type", "confidence", "fields", "evidence")]
+    each = F.from_json(F.get_json_object(column, "$.units"), "array<variant>")
+    u = answers.select(*rest, F.posexplode(each).alias("_i", "_v")).withColumn("_t", F.to_json("_v")).where(F.col("_t").startswith("{"))
+    u = u.withColumn("_m", F.from_json("_t", "map<string,string>"))
+    get = lambda k: F.try_element_at("_m", F.lit(k))
+    conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(get("confidence").try_cast("double"), F.lit(0.8))))
+    name = F.coalesce(get("unit_id"), F.concat(F.lit("unit_"), F.lpad((F.col("_i") + 1).cast("string"), 3, "0")))
+    pairs = F.filter(F.from_json(get("fields"), "array<struct<key:string,value:string>>"), lambda x: x["key"].isNotNull())
+    none = F.expr("CAST(map() AS map<string,string>)")
+    listed = F.coalesce(F.aggregate(pairs, none, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], x["value"]))), none)
+    own = F.map_filter("_m", lambda k, _: ~k.isin(*UNIT_KEYS))
+    fields = F.when(get("fields").isNull(), own).when(get("fields").startswith("{"), F.from_json(get("fields"), "map<string,string>")).when(get("fields").startswith("["), listed).otherwise(none)
+    return u.select(*rest, name.alias("unit_id"), F.coalesce(get("unit_type"), F.lit("unknown")).alias("unit_type"), conf.alias("confidence"), fields.alias("fields"), F.coalesce(get("evidence"), F.lit("")).alias("evidence"))
+
+
+def unit_summary(units: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, unit_count, unit_types (in order, blanks left out), mean_confidence: one row for each answer with units."""
+    kinds = F.array_sort(F.collect_set(F.nullif("unit_type", F.lit(""))))
+    return units.groupBy(*keys).agg(F.count("*").alias("unit_count"), kinds.alias("unit_types"), F.avg("confidence").alias("mean_confidence"))
 
 
 def flatten_records(rows: DataFrame, column: str, fields: list[str]) -> DataFrame:

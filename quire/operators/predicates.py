@@ -127,6 +127,24 @@ def with_neighbours(chunks: DataFrame, hit: Column, keys: list[str], order: list
     return c.where(stay if structural is None else stay | structural).drop("_hit", "_near")
 
 
+# Modes of a selection by dates and why one keeps all chunks.
+IN_WINDOW, DEGRADED = "date_window", "date_window_degraded"
+NO_DATES, NO_HIT = "no_parseable_ymd_in_text_chunks", "no_text_chunk_in_date_window"
+
+
+def chunks_in_window(chunks: DataFrame, keys: list[str], order: list[str], text: str, structural: Column, lo: str, hi: str) -> DataFrame:
+    """Chunks with a date of the window, their neighbours and structural chunks, with mode and reason. A task keeps all of its
+    chunks, and the reason, where no text chunk has a date or none has one in the window."""
+    near, own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-1, 1), Window.partitionBy(*keys)
+    c = chunks.withColumn("_window_dates", F.when(structural, F.expr("CAST(array() AS array<date>)")).otherwise(all_dates(text)))
+    first, last = (F.lit(x).cast("date") for x in (lo, hi))
+    c = c.withColumn("_window_hit", F.exists("_window_dates", lambda d: (d >= first) & (d <= last)))
+    c = c.withColumn("_window_any", F.bool_or(F.size("_window_dates") > 0).over(own)).withColumn("_window_some", F.bool_or("_window_hit").over(own)).withColumn("_window_near", F.bool_or("_window_hit").over(near))
+    reason = F.when(~F.col("_window_any"), NO_DATES).when(~F.col("_window_some"), NO_HIT)
+    c = c.withColumn("mode", F.when(reason.isNull(), IN_WINDOW).otherwise(DEGRADED)).withColumn("reason", reason)
+    return c.where(F.col("reason").isNotNull() | F.col("_window_near") | structural).drop("_window_dates", "_window_hit", "_window_any", "_window_some", "_window_near")
+
+
 def rows_in_scope(rows: DataFrame, clauses: list[Clause], columns: dict[str, list[str]], keys: list[str], order: str, most: int = 60) -> DataFrame:
     """Table rows that meet a constraint set in their candidate columns, else in their whole text; route tells which."""
     from ..functions.values import row_text

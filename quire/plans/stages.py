@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import compose
 from ..operators import infer as K
-from ..operators import records as R
-from ..sources.inputs import DUPS, MESSY, dups, messy, table
+from ..operators import layout
+from ..operators import predicates as E
+from ..sources.inputs import DUPS, ITEMS, MESSY, dups, items, messy, table
 from .records import ISO_DATE, LOOSE
 
 QUERIES, SQL = {}, {}
@@ -143,3 +144,26 @@ def k2(spark, d):
     c = K.prompts(parts(spark, d), ["name", "size"], mode="table_records")
     good, _ = answers.records(K.apply_model(c, model).drop("error"), "response", "name string, size string")
     return good.select("doc_id", "chunk_idx", "record.name", "record.size")
+
+
+_DAY = "DATE '2024-01-01' + CAST((doc_id * 7 + idx) % 120 AS INTEGER)"
+
+
+@query("e15_reasons", f"""WITH {ITEMS}, x AS (SELECT *, type = 'text' AND doc_id % 3 <> 0 AS dated, {_DAY} AS day FROM items), h AS (SELECT *, dated AND day BETWEEN DATE '2024-02-01' AND DATE '2024-02-10' AS hit FROM x),
+n AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, bool_or(hit) OVER (PARTITION BY doc_id) AS hits, bool_or(dated) OVER (PARTITION BY doc_id) AS a FROM h),
+r AS (SELECT *, CASE WHEN NOT a THEN 'no_parseable_ymd_in_text_chunks' WHEN NOT hits THEN 'no_text_chunk_in_date_window' END AS reason FROM n)
+SELECT doc_id, idx, CASE WHEN reason IS NULL THEN 'date_window' ELSE 'date_window_degraded' END AS mode, reason FROM r WHERE reason IS NOT NULL OR near OR type <> 'text'""")
+def e15(spark, d):
+    """Documents whose text has no dates at all, none in the window, or some."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("doc_id") * 7 + F.col("idx")) % 120).cast("int")), "yyyy-MM-dd")
+    i = items(spark, d).withColumn("dated", F.when(F.col("doc_id") % 3 == 0, "no day").otherwise(F.concat(F.lit("on "), day)))
+    return E.chunks_in_window(i, ["doc_id"], ["idx"], "dated", F.col("type") != "text", "2024-02-01", "2024-02-10").select("doc_id", "idx", "mode", "reason")
+
+
+@query("c16_unit_summary", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 3 END AS unit_count, CASE WHEN p_partkey % 3 = 0 THEN ['city', 'unknown'] ELSE [p_brand, 'city', 'unknown'] END AS unit_types, p_size AS size, p_name AS name FROM part")
+def c16(spark, d):
+    """Units with fields as an object, as pairs and as keys of their own; every third answer has a unit that is no object."""
+    unit = F.concat(F.lit('{"units": [{"unit_type": "city", "fields": {"size": '), F.col("p_size").cast("string"), F.lit('}}, {"name": "'), "p_name", F.lit('", "confidence": 3}, '), F.when(F.col("p_partkey") % 3 == 0, F.lit('"none"')).otherwise(F.concat(F.lit('{"unit_type": "'), "p_brand", F.lit('", "fields": [{"key": "k", "value": "v"}]}'))), F.lit("]}"))
+    u = layout.units(table(spark, d, "part").select("p_partkey", unit.alias("j")), "j")
+    named = u.groupBy("p_partkey").agg(F.max(F.try_element_at("fields", F.lit("size"))).cast("int").alias("size"), F.max(F.try_element_at("fields", F.lit("name"))).alias("name"))
+    return layout.unit_summary(u, ["p_partkey"]).drop("mean_confidence").join(named, "p_partkey")
