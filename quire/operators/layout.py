@@ -62,7 +62,7 @@ UNIT_KEYS = ("unit_id", "unit_type", "confidence", "evidence", "metadata")
 
 def units(answers: DataFrame, column: str) -> DataFrame:
     """One row for each unit of a unit-aware answer: the other columns, unit_id and unit_type (with defaults), confidence within 0..1
-    and 0.8 where unreadable, fields (map) and evidence. Fields are an object, or a list of key and value pairs; without them the
+    and 0.8 where unreadable, fields (map) and evidence. Fields are an object, or a list of objects of key and value or of lists of two; without them the
     unit's other keys are its fields. Units that are no objects go, but count in default ids."""
     rest = [c for c in answers.columns if c not in (column, "unit_id", "unit_type", "confidence", "fields", "evidence")]
     each = F.from_json(F.get_json_object(column, "$.units"), "array<variant>")
@@ -71,7 +71,9 @@ def units(answers: DataFrame, column: str) -> DataFrame:
     get = lambda k: F.try_element_at("_m", F.lit(k))
     conf = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(get("confidence").try_cast("double"), F.lit(0.8))))
     name = F.coalesce(get("unit_id"), F.concat(F.lit("unit_"), F.lpad((F.col("_i") + 1).cast("string"), 3, "0")))
-    pairs = F.filter(F.from_json(get("fields"), "array<struct<key:string,value:string>>"), lambda x: x["key"].isNotNull())
+    two = lambda x: F.from_json(x, "array<string>")
+    pair = lambda x: F.when(x.startswith("{"), F.from_json(x, "key string, value string")).when(x.startswith("[") & (F.size(two(x)) == 2), F.struct(two(x)[0].alias("key"), two(x)[1].alias("value")))
+    pairs = F.filter(F.transform(F.from_json(get("fields"), "array<variant>"), lambda v: pair(F.to_json(v))), lambda x: x["key"].isNotNull())
     none = F.expr("CAST(map() AS map<string,string>)")
     listed = F.coalesce(F.aggregate(pairs, none, lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.create_map(x["key"], x["value"]))), none)
     own = F.map_filter("_m", lambda k, _: ~k.isin(*UNIT_KEYS))

@@ -91,12 +91,12 @@ def test_units(spark):
 
     data = [
         (1, '{"units": [{"unit_id": "a", "unit_type": "t", "confidence": "high", "fields": {"x": 1}}, 5, {"y": "2", "evidence": "e", "confidence": -3}]}'),
-        (2, '{"units": [{"fields": [{"key": "k", "value": "v"}, {"key": "k", "value": "w"}, 3]}, {"fields": "odd", "confidence": 9}]}'),
+        (2, '{"units": [{"fields": [{"key": "k", "value": "v"}, {"key": "k", "value": "w"}, 3, ["l", 4], ["m"]]}, {"fields": "odd", "confidence": 9}]}'),
         (3, '{"units": []}'),
         (4, "{}"),
         (5, None),
     ]
     u = layout.units(spark.createDataFrame(data, "i int, j string"), "j")
     assert rows(u, "i", "unit_id", "unit_type", "confidence", "evidence") == [(1, "a", "t", 0.8, ""), (1, "unit_003", "unknown", 0.0, "e"), (2, "unit_001", "unknown", 0.8, ""), (2, "unit_002", "unknown", 1.0, "")]
-    assert {(r.i, r.unit_id): r.fields for r in u.collect()} == {(1, "a"): {"x": "1"}, (1, "unit_003"): {"y": "2"}, (2, "unit_001"): {"k": "w"}, (2, "unit_002"): {}}
+    assert {(r.i, r.unit_id): r.fields for r in u.collect()} == {(1, "a"): {"x": "1"}, (1, "unit_003"): {"y": "2"}, (2, "unit_001"): {"k": "w", "l": "4"}, (2, "unit_002"): {}}
     assert rows(layout.unit_summary(u, ["i"]), "i", "unit_count", "unit_types") == [(1, 2, ["t", "unknown"]), (2, 2, ["unknown"])]
