@@ -28,7 +28,8 @@ def query(name: str, sql: str | None = None):
 @query("a1_load_documents", """SELECT doc_id % 16 AS task_id, concat('doc', lpad(concat(doc_id, ''), 8, '0'), '.txt') AS name, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS doc_seq, length(text) AS n_chars FROM documents""")
 def a1(spark, d):
     docs = table(spark, d, "documents").select((F.col("doc_id") % 16).alias("task_id"), F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("name"), F.length("text").cast("long").alias("n_chars"))
-    return docs.withColumn("doc_seq", F.row_number().over(Window.partitionBy("task_id").orderBy("name")).cast("long")).select("task_id", "name", "doc_seq", "n_chars")
+    numbered = lookup.running(docs.withColumn("_one", F.lit(1).cast("long")), ["task_id"], ["name"], "_one")  # tasks of any size
+    return numbered.select("task_id", "name", F.col("hi").alias("doc_seq"), "n_chars")
 
 
 @query("a2_file_kind", r"""SELECT page_id, CASE WHEN kind IN ('text','html') AND suffix IN ('html','htm') THEN 'html_suffix_and_text_signature' WHEN suffix IN ('txt','md') THEN 'text_suffix_and_text_signature' ELSE concat('unknown_suffix_signature_', kind) END AS reason
@@ -142,8 +143,8 @@ def b7(spark, d):
 @query("b8_flatten_chunks", f"""WITH {ITEMS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id, idx) AS chunk_idx, doc_id % 16 AS task_id, type, length(line) AS n FROM items WHERE trim(line) <> ''""")
 def b8(spark, d):
     i = items(spark, d).where(F.trim("line") != "").withColumn("task_id", F.col("doc_id") % 16)
-    n = F.row_number().over(Window.partitionBy("task_id").orderBy("doc_id", "idx")).cast("long")
-    return i.select("doc_id", n.alias("chunk_idx"), "task_id", "type", F.length("line").cast("long").alias("n"))
+    i = i.select("doc_id", "idx", "task_id", "type", F.length("line").cast("long").alias("n"), F.lit(1).cast("long").alias("_one"))
+    return lookup.running(i, ["task_id"], ["doc_id", "idx"], "_one").select("doc_id", F.col("hi").alias("chunk_idx"), "task_id", "type", "n")
 
 
 @query("b9_first_chunks", f"""WITH {ITEMS} SELECT doc_id, idx, type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM items WHERE type <> 'table') WHERE n <= 5""")
