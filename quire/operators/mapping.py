@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import blank_free, is_blank
+from .fuzzy import indel_ratio
 
 _BRACKETS = r"[（(]([^）)]{1,10})[）)]"
 
@@ -30,18 +31,6 @@ def resolve(name: str, columns: list[str], aliases: dict[str, list[str]], fuzzy:
     return best[2] if best[0] >= fuzzy else None
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 x longest common subsequence / (both lengths)."""
-    if not a or not b:
-        return 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            row[j], left = (left + 1 if x == y else max(row[j], row[j - 1])), row[j]
-    return 2 * row[-1] / (len(a) + len(b))
-
-
 def to_profile(source: DataFrame, fields: list[str], aliases: dict[str, list[str]], keep: list[str] = (), drop_blank: bool = False) -> DataFrame:
     """Source columns under their profile names; unmapped ones go, missing ones are blank, all-blank rows can go."""
     found = {f: resolve(f, [c for c in source.columns if c not in keep], aliases) for f in fields}
