@@ -14,8 +14,10 @@ that no other set holds need not be indexed, so most sets drop out here, and fre
 
 Pairs come in waves. First each document with the smallest holder of most of its keys. Then, for keys whose holders are in
 different components, pairs across components are tested inside the key's task by size and parity sketch (frequent keys are
-cut into blocks, each pair of blocks a task of its own): first the closest pair of each component, then all that pass and still
-join different components. Whatever passes is verified on the exact sets.
+cut into blocks, each pair of blocks a task of its own; a key all of whose holders hold another, more frequent one brings no
+pair of its own and is left out): first a spanning forest of the components by the closest pairs in each task, whose edges are
+fewer than the task's holders, then all pairs that pass and still join different components. Whatever passes is verified on the
+exact sets.
 
 Nulls and edge cases: a null or empty text, or one of white space, has no shingles and links with nothing; fewer than five
 words are one shingle; equal texts are one class, found by equal sets; rows of one doc_id are taken as one document; a null
@@ -50,6 +52,10 @@ SAMPLE = 65_536
 BLOCK = 2048
 #: Rows of blocks in one task.
 BLOCK_ROWS = 20_000
+#: Most frequent keys of each document that may stand for its other ones.
+TOPS = 4
+#: Pairs in a task that are held before they are reduced to a forest.
+PENDING = 1 << 20
 #: Cost class of keys too frequent to be counted.
 HOT = 255
 
@@ -196,11 +202,11 @@ _PACKED = [x.split()[0] for x in PACKED.split(", ")]
 
 
 def _packed_rows(to: np.ndarray, high: np.ndarray, entry: np.ndarray, per_entry: tuple[np.ndarray, ...], flat: np.ndarray, cost: np.ndarray) -> list[tuple]:
-    """A row for each value of `to` (all of whose keys are of one group `high`): documents, schemes and spare segments of its
-    entries, their numbers of keys, the keys' low halves and their costs."""
-    order = np.lexsort((entry, to))
+    """A row for each value of `to` and group of keys `high`: documents, schemes and spare segments of its entries, their numbers
+    of keys, the keys' low halves and their costs."""
+    order = np.lexsort((entry, high, to))
     to, high, entry, flat, cost = to[order], high[order], entry[order], flat[order].astype(np.uint32), cost[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (high[1:] != high[:-1])))) if len(to) else np.zeros(0, np.int64)
     rows = []
     for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True):
         who, many = np.unique(entry[s:e], return_counts=True)
@@ -222,7 +228,8 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray) -> DataFrame:
-    """Packed keys by group of keys; hot ones, which aren't counted, in groups of their own (below 0)."""
+    """Packed keys by group of keys; hot ones, which aren't counted, by group of documents (below 0), so that a key's holders
+    don't meet."""
 
     def run(batches):
         for batch in batches:
@@ -246,7 +253,8 @@ def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray
         to, cost = group.copy(), np.zeros(len(flat), np.uint8)
         if len(hot):
             often = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] == flat
-            to[often], cost[often] = -1 - group[often], HOT
+            by_doc = (mix(np.array(doc, np.int64).view(np.uint64), 11) % np.uint64(groups)).astype(np.int32)[entry]
+            to[often], cost[often] = -1 - by_doc[often], HOT
         return _packed_rows(to, group, entry, (np.array(doc, np.int64), np.array(number, np.uint8), np.array(spare, np.uint32)), flat, cost)
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
@@ -306,13 +314,17 @@ def kept_keys(doc: np.ndarray, scheme: np.ndarray, spare: np.ndarray, key: np.nd
 
 
 def postings(costs: DataFrame, schemes: list[Scheme]) -> DataFrame:
-    """(key, doc): the keys that documents index."""
+    """(key, doc), each once: the keys that documents index."""
     deletions = np.array([s.deletions for s in schemes])
 
     def run(group: pa.Table) -> pa.Table:
         doc, scheme, spare, key, cost = _unpacked(group)
         keep = kept_keys(doc, scheme, spare, key, cost, deletions)
-        return pa.table({"key": key[keep].view(np.int64), "doc": doc[keep]})
+        doc, key = doc[keep], key[keep]
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        once = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))[: len(doc)]
+        return pa.table({"key": key[once].view(np.int64), "doc": doc[once]})
 
     return costs.groupBy("grp").applyInArrow(run, "key long, doc long")
 
@@ -395,11 +407,47 @@ def close_pairs(low: np.ndarray, high: np.ndarray, n: np.ndarray, comp: np.ndarr
             yield e[good], f[good], far[good] / both[good]
 
 
+def forest(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which edges (x, y) make a spanning forest of least scores: in each round every tree takes its closest edge."""
+    order = np.argsort(score, kind="stable")
+    x, y = x[order], y[order]
+    label, left, chosen = np.arange(max(x.max(initial=-1), y.max(initial=-1)) + 1), np.arange(len(x)), []
+    while True:
+        a, b = label[x[left]], label[y[left]]
+        left, a, b = left[a != b], a[a != b], b[a != b]
+        if not len(left):
+            return order[np.concatenate(chosen)] if chosen else order[:0]
+        first = np.full(len(label), len(x))
+        np.minimum.at(first, a, left)
+        np.minimum.at(first, b, left)
+        tree = np.flatnonzero(first < len(x))
+        edge = first[tree]
+        chosen.append(np.unique(edge))
+        to = np.arange(len(label))
+        to[tree] = np.where(label[x[edge]] == tree, label[y[edge]], label[x[edge]])
+        both = tree[(to[to[tree]] == tree) & (tree < to[tree])]  # two trees took the same edge
+        to[both] = both
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def standing(rows: DataFrame) -> DataFrame:
+    """rows (key, doc, held, ...) of a key's distinct holders without keys all of whose holders hold one more frequent key."""
+    mine = F.struct("held", "key")
+    tops = rows.groupBy("doc").agg(F.slice(F.sort_array(F.collect_list(mine), asc=False), 1, TOPS).alias("tops"))
+    both = rows.join(tops, "doc").select("key", "held", F.explode(F.filter("tops", lambda t: t > mine)).alias("top"))
+    inside = both.groupBy("key", "held", F.col("top.key").alias("top")).agg(F.count("*").alias("n")).where("n = held").select("key").distinct()
+    return rows.join(inside, "key", "left_anti")
+
+
 def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and may be linked; best: for each component its closest pair only."""
+    """Pairs (a, b) of different components that share a key and may be linked; best: only spanning forests of the components
+    by the closest pairs, one for each task."""
     rows = posts.join(comps, posts.doc == comps.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x <> y")
-    rows = cut(rows.join(mixed.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")), "key"))
+    rows = standing(cut(rows.join(mixed.select("key", "held"), "key")))
+    rows = cut(rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
     parts = max(1, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // BLOCK_ROWS))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -423,25 +471,21 @@ def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> D
         second = (i < j) & (block == j)
         first = np.repeat(at + np.add.reduceat((~second).astype(np.int64), at), size)  # where the second block begins
         low = np.where(i == j, np.arange(len(key)) + 1, np.where(second, high, first))
-        found = []
+        pending, trees = [], np.unique(comp)
+
+        def gathered() -> np.ndarray:
+            found = np.concatenate(pending) if pending else np.zeros((0, 5), np.int64)
+            return found[forest(np.searchsorted(trees, found[:, 2]), np.searchsorted(trees, found[:, 3]), found[:, 4])] if best else np.unique(found, axis=0)
+
         for a, b, score in close_pairs(low, high, n, comp, sketch):
             ends, sides = (np.sort(np.stack((x[a], x[b]), 1), 1) for x in (doc, comp))
-            found.append(np.column_stack((ends, sides, (score * 1e9).astype(np.int64))))
-        found = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-        if best:
-            side = np.concatenate((found[:, 2], found[:, 3]))
-            found = np.concatenate((found, found))
-            order = np.lexsort((found[:, 1], found[:, 0], found[:, 4], side))
-            found, side = found[order], side[order]
-            found = found[np.concatenate(([True], side[1:] != side[:-1]))[: len(side)]]
-        found = np.unique(found, axis=0)
-        return pa.table({c: found[:, k] for k, c in enumerate(("a", "b", "x", "y", "score"))})
-
-    found = rows.groupBy("part").cogroup(held.groupBy("to")).applyInArrow(run, "a long, b long, x long, y long, score long")
-    if best:
-        sides = found.select(F.explode(F.array("x", "y")).alias("comp"), "a", "b", "score")
-        found = sides.groupBy("comp").agg(F.min(F.struct("score", "a", "b")).alias("best")).select("best.a", "best.b")
-    return cut(found.select("a", "b").distinct())
+            pending.append(np.column_stack((ends, sides, (score * 1e9).astype(np.int64))))
+            if sum(map(len, pending)) > PENDING:
+                pending = [gathered()]
+        found = gathered()
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return cut(rows.groupBy("part").cogroup(held.groupBy("to")).applyInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

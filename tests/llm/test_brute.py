@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import line_dedup, media, mixing, ngram_join, packing, repair, tokens, toxicity
 
@@ -359,3 +361,56 @@ def test_toxicity_odd_rows(spark):
 
 def test_word_pattern():
     assert WORD.findall("a\x0bb\x1fc d") == ["a", "b\x1fc d"]
+
+
+def test_forest_spans_and_is_least():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n, m = int(rng.integers(1, 30)), int(rng.integers(0, 120))
+        x, y, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        got, root, total, taken = ngram_join.forest(x, y, w), list(range(n)), 0, 0
+
+        def top(v, root=root):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for k in np.argsort(w, kind="stable").tolist():  # Kruskal's way
+            a, b = top(int(x[k])), top(int(y[k]))
+            if a != b:
+                root[a], total, taken = b, total + int(w[k]), taken + 1
+        assert (len(got), int(w[got].sum())) == (taken, total)
+
+
+def test_standing_keys_keep_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    rows = {(int(k), int(d)) for d in range(60) for k in rng.integers(0, 25, 6)} | {(100 + k, d) for k in range(10) for d in range(30 - k)}
+    df = spark.createDataFrame(sorted(rows), "key long, doc long")
+    held = df.groupBy("key").agg(F.count("*").alias("held"))
+    left = {(r.key, r.doc) for r in ngram_join.standing(df.join(held, "key")).collect()}
+    assert {k for k, _ in left if k >= 100} == {100}  # the others' holders all hold key 100
+
+    def pairs(rows):
+        by = {}
+        for k, d in rows:
+            by.setdefault(k, []).append(d)
+        return {(a, b) for ds in by.values() for a in ds for b in ds if a < b}
+
+    assert pairs(left) == pairs(rows)
+
+
+def test_hot_keys_are_dealt_by_document(spark):
+    """A key too frequent to be counted meets no task whole: its groups grow with the documents of a group only."""
+    shared = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{shared} " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(2000)], "doc_id long, text string")
+    schemes = ngram_join.plan_schemes(200)
+    sets = ngram_join.shingle_sets(pa.array([r.text for r in docs.limit(50).collect()]))
+    keys, n = np.unique(np.concatenate([s.keys(h) for h in sets for s in ngram_join.schemes_of(len(h), schemes)]), return_counts=True)
+    hot = keys[n == 50]
+    assert len(hot) > 5
+    packed = ngram_join.keys_of(docs, schemes, 64, hot)
+    most = packed.where("grp < 0").groupBy("grp", "high").agg(F.sum(F.length("docs") / 8).alias("n"))
+    assert most.agg(F.max("n")).first()[0] < 100
+    posts = ngram_join.costed(packed, 64)
+    back = posts.where(F.expr("exists(transform(sequence(1, length(costs)), i -> substring(costs, i, 1)), c -> c = X'FF')"))
+    assert back.agg(F.sum(F.length("keys") / 4)).first()[0] >= 2000 * len(hot)
