@@ -206,7 +206,9 @@ def _packed_rows(to: np.ndarray, high: np.ndarray, entry: np.ndarray, per_entry:
     of keys, the keys' low halves and their costs."""
     order = np.lexsort((entry, high, to))
     to, high, entry, flat, cost = to[order], high[order], entry[order], flat[order].astype(np.uint32), cost[order]
-    cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (high[1:] != high[:-1])))) if len(to) else np.zeros(0, np.int64)
+    if not len(to):
+        return []
+    cuts = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (high[1:] != high[:-1]))))
     rows = []
     for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True):
         who, many = np.unique(entry[s:e], return_counts=True)

@@ -363,6 +363,11 @@ def test_word_pattern():
     assert WORD.findall("a\x0bb\x1fc d") == ["a", "b\x1fc d"]
 
 
+def test_ngram_join_without_shared_keys(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    assert check_join(docs) == 0
+
+
 def test_forest_spans_and_is_least():
     rng = np.random.default_rng(5)
     for _ in range(200):
@@ -401,16 +406,16 @@ def test_standing_keys_keep_all_pairs(spark):
 
 def test_hot_keys_are_dealt_by_document(spark):
     """A key too frequent to be counted meets no task whole: its groups grow with the documents of a group only."""
-    shared = " ".join(f"p{i}" for i in range(60))
-    docs = spark.createDataFrame([(i, f"{shared} " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(2000)], "doc_id long, text string")
-    schemes = ngram_join.plan_schemes(200)
+    shared = " ".join(f"p{i}" for i in range(150))
+    docs = spark.createDataFrame([(i, f"{shared} " + " ".join(f"o{i}x{j}" for j in range(10))) for i in range(2000)], "doc_id long, text string")
+    schemes = ngram_join.plan_schemes(400)
     sets = ngram_join.shingle_sets(pa.array([r.text for r in docs.limit(50).collect()]))
     keys, n = np.unique(np.concatenate([s.keys(h) for h in sets for s in ngram_join.schemes_of(len(h), schemes)]), return_counts=True)
-    hot = keys[n == 50]
+    hot = keys[n >= 25]  # in half of all documents or more
     assert len(hot) > 5
     packed = ngram_join.keys_of(docs, schemes, 64, hot)
     most = packed.where("grp < 0").groupBy("grp", "high").agg(F.sum(F.length("docs") / 8).alias("n"))
     assert most.agg(F.max("n")).first()[0] < 100
     posts = ngram_join.costed(packed, 64)
     back = posts.where(F.expr("exists(transform(sequence(1, length(costs)), i -> substring(costs, i, 1)), c -> c = X'FF')"))
-    assert back.agg(F.sum(F.length("keys") / 4)).first()[0] >= 2000 * len(hot)
+    assert back.agg(F.sum(F.length("keys") / 4)).first()[0] >= 800 * len(hot)
