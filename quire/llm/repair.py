@@ -21,12 +21,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import table, written
+from .common import slices, table, written
 
 TERMINALS = 50_257
 FORMAT = "part int, shard int, total long, docs binary, n_ids binary, n_symbols binary, rules binary, rule_len binary, symbols binary"
@@ -109,9 +110,8 @@ def expand(rules: np.ndarray, rule_len: np.ndarray, symbols: np.ndarray, termina
     return flat[np.repeat(begin[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def shard_row(part: int, shard: int, docs: list[int], coded: list[bytes]) -> tuple:
-    n = np.array([len(c) // 4 for c in coded], np.int64)
-    rules, size, symbols, ends = compress(np.frombuffer(b"".join(coded), "<u4"), np.cumsum(n))
+def shard_row(part: int, shard: int, docs: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple:
+    rules, size, symbols, ends = compress(ids, np.cumsum(n))
     le = lambda a, t: np.ascontiguousarray(a, t).tobytes()
     return part, shard, int(n.sum()), le(docs, "<i8"), le(n, "<i4"), le(np.diff(ends, prepend=0), "<i4"), le(rules, "<u2"), le(size, "<u4"), le(symbols, "<u2")
 
@@ -148,25 +148,31 @@ def read_document(row, i: int) -> np.ndarray:
 
 def write_shards(docs: DataFrame, end_id: int = 0, path: str | None = None, shard_tokens: int = 2_000_000) -> tuple[DataFrame, str]:
     path = path or tokens.default_path()
-    end = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in FORMAT.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
     def run(batches):
-        part, shard, ids, coded, size = TaskContext.get().partitionId(), 0, [], [], 0
-        rows = lambda r: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, types, strict=True)], names)
+        part, shard, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row() -> pa.RecordBatch:
+            r = shard_row(part, shard, *map(np.concatenate, zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, types, strict=True)], names)
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
-                for doc, c in zip(piece.column("doc_id").to_pylist(), tokens.encode(piece.column("text").to_pylist(), path), strict=True):
-                    ids.append(-(2**63) if doc is None else doc)
-                    coded.append(c + end)
-                    size += len(c) // 4 + 1
+            for piece in slices(batch, most=tokens.TOGETHER):
+                docs = pc.fill_null(piece.column("doc_id"), -(2**63)).to_numpy()
+                ids, ends = tokens.encoded(piece.column("text"), path, end=end_id)
+                i = 0
+                while i < len(docs):
+                    j = min(len(docs), int(np.searchsorted(ends, ends[i] + shard_tokens - size)))
+                    held.append((docs[i:j], np.diff(ends[i : j + 1]), ids[ends[i] : ends[j]]))
+                    size += int(ends[j] - ends[i])
+                    i = j
                     if size >= shard_tokens:
-                        yield rows(shard_row(part, shard, ids, coded))
-                        shard, ids, coded, size = shard + 1, [], [], 0
-        if ids:
-            yield rows(shard_row(part, shard, ids, coded))
+                        yield row()
+                        shard, held, size = shard + 1, [], 0
+        if held:
+            yield row()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

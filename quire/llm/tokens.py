@@ -1,84 +1,92 @@
 """Token ids of whole texts with a public byte-level BPE file, for the packing and the binary-output operators.
 
-The pre-tokeniser never joins text across a single space that stands before a non-space character: the space goes with
-what follows. Encoding the pieces between such places one by one therefore gives the ids of the whole text, and equal
-pieces are encoded once for each Python worker. A new piece is cut further where the pre-tokeniser always cuts: around a
-newline between other characters, and before punctuation that ends a line's word. Null text: empty. `<|endoftext|>` in a
-text is ordinary text.
+Texts are cut into pieces at places where the pre-tokeniser always cuts, found over the bytes of many texts at once: before a
+single space that stands before a visible character, around a newline between two of them, and between Latin letters, digits
+and marks. Encoding the pieces one by one therefore gives the ids of the whole text. Arrow numbers a batch's distinct pieces;
+the tokenizers library encodes those that a Python worker doesn't remember, and the texts' ids are gathered from the pieces'
+ones. Null text: empty. `<|endoftext|>` in a text is ordinary text.
 """
 
 from __future__ import annotations
 
-import gc
 import os
-import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_TOKENIZERS: dict = {}
-#: A space before white space, a control character or the end.
-_RUN = re.compile(r" (?:[\s\x00-\x1f]|$)")
-#: Pieces that a worker learns before its memory ages: what isn't asked for again within the next as many is forgotten.
-REMEMBERED = 700_000
-
-
-def default_path() -> str:
-    import public_tokenizers
+from .common import slices
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+_MEMORIES: dict = {}
+#: Pieces that a worker remembers; beyond it those that were asked for once only are forgotten.
+REMEMBERED = 700_000
+#: Bytes of text that are cut and numbered together.
+TOGETHER = 8 << 20
 
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _NEWLINE = range(7)
 
-def pieces(text: str) -> list[str]:
-    """The first piece, and the others without the space before them."""
-    if not _RUN.search(text):
-        return text.split(" ")
-    first, *rest = text.split(" ")
-    out = [first]
-    for p in rest:
-        if p and not p[0].isspace() and p[0] > "\x1f":
-            out.append(p)
-        else:  # more white space follows: leave it to the tokenizer
-            out[-1] += " " + p
-    return out
 
+def _kinds() -> np.ndarray:
+    kind = np.full(256, _OTHER, np.uint8)
+    for b in range(0x21, 0x7F):
+        kind[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _MARK
+    kind[ord("'")], kind[ord(" ")], kind[ord("\n")] = _APOSTROPHE, _SPACE, _NEWLINE
+    return kind
 
-def forget() -> None:
-    """Give back a worker's memory of pieces; for stages that need the room."""
-    for memory in _TOKENIZERS.values():
-        memory.clear()
 
+_KIND = _kinds()
+#: First bytes of a visible character: white space above ASCII begins with 0xC2, 0xE1, 0xE2 or 0xE3.
+_VISIBLE = np.array([0x21 <= b < 0x7F or b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3) for b in range(256)])
+#: Whether there is a cut between kinds. A contraction begins with an apostrophe, so that nothing is cut off after one.
+_CUT = np.zeros((8, 8), bool)
+for _a in (_LETTER, _DIGIT, _MARK, _APOSTROPHE):
+    _CUT[_a, [_SPACE, _NEWLINE]] = True
+for _a in (_LETTER, _DIGIT, _MARK):
+    _CUT[_a, [_b for _b in (_LETTER, _DIGIT, _MARK) if _b != _a]] = True
+_CUT[[_LETTER, _DIGIT], _APOSTROPHE] = True
+_CUT = _CUT.ravel()
 
-#: ASCII punctuation but the apostrophe, which contractions begin with.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
+def default_path() -> str:
+    import public_tokenizers
 
-def _ends(stem: str, line: str) -> bool:
-    """Whether the pre-tokeniser cuts a line after this stem: a Latin letter or a digit before marks."""
-    return len(stem) != len(line) and stem != "" and stem[-1].isalnum() and stem[-1] < "\u0250" and (stem[-1].isalpha() or stem[-1].isdecimal())
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def parts(piece: str) -> list[str]:
-    """A piece's parts, newlines between two of them included; their ids follow one another. The first one has the space that
-    stood before the piece, the others have none."""
-    stem = piece.rstrip(_MARKS)
-    if stem.isalpha() and stem[-1] < "\u0250":  # a word and marks, the usual case
-        return [stem, piece[len(stem) :]] if len(stem) != len(piece) else [piece]
-    lines = piece.split()
-    if len(lines) != 1 and lines != piece.split("\n"):  # other white space, or newlines in a row: leave it to the tokenizer
-        return [piece]
-    if len(lines) == 1:
-        if len(lines[0]) != len(piece):
-            return [piece]
-        return [stem, piece[len(stem) :]] if _ends(stem, piece) else lines
-    out = []
-    for line in lines:
-        stem = line.rstrip(_MARKS)
-        out += ["\n", stem, line[len(stem) :]] if _ends(stem, line) else ["\n", line]
-    return out[1:]
+def forget() -> None:
+    """Give back a worker's memory of pieces; for stages that need the room."""
+    _MEMORIES.clear()
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes, the ends left out, where the pre-tokeniser always cuts."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))  # U+00C0 to U+017F, letters but for two signs
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[(data[lead] != 0xC3) | (data[lead + 1] & 0xDF != 0x97)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    cut = _CUT[kind[:-1] << 3 | kind[1:]]
+    at = np.flatnonzero(data[:-1] == 0x20)
+    at = at[_VISIBLE[data[at + 1]] & (at > 0)]
+    cut[at - 1] = True
+    at = np.flatnonzero(data[:-1] == 0x0A)
+    at = at[(at > 0) & (kind[at + 1] >= _LETTER) & (kind[at + 1] <= _APOSTROPHE)]
+    at = at[(kind[at - 1] >= _LETTER) & (kind[at - 1] <= _APOSTROPHE)]
+    cut[at] = True
+    return np.flatnonzero(cut) + 1
+
+
+def joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs (start, size), one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Memory:
-    """A tokenizer and the ids, as bytes, of pieces after a space (`known`, and `older` ones that aged) and of bare ones."""
+    """A tokenizer, and the pieces that it encoded: where each one's ids begin in `ids`, their number, how often asked for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,85 +94,119 @@ class Memory:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         size = self.tok.get_vocab_size()
-        self.after_space = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.after_space = np.array([(self.tok.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.older, self.bare = {}, {}, {}
+        self.known: dict[str, int] = {}
+        self.ids, self.start, self.size, self.asked = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def age(self, most: int) -> None:
-        if len(self.known) + len(self.bare) > most:
-            self.known, self.older, self.bare = {}, self.known, {}
-
-    def _each(self, texts: list[str]):
-        return (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _encode(self, new: list[str], to: dict[str, bytes], bare: bool, together: int = 512) -> None:
-        """Many in a text: each begins with a token that holds a space or, if bare, a newline stands between two."""
-        odd = [p for p in new if not p.isalpha() and p.split() != [p] or bare and len(self.newline) != 1]
-        if odd:
-            to.update(zip(odd, self._each([p if bare else " " + p for p in odd]), strict=True))
-            odd = set(odd)
-            new = [p for p in new if p not in odd]
-        groups = [new[i : i + together] for i in range(0, len(new), together)]
-        texts = ["\n".join(g) if bare else " " + " ".join(g) for g in groups]
-        for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.newline[0] if bare else self.after_space[ids]), len(ids))
-            if bare:
-                starts = np.concatenate(([0], ends[:-1] + 1))
+        if len(self.known) <= most:
+            return
+        stay = self.asked > 1
+        if stay.sum() > most // 2:
+            stay[:] = False
+        names = [p for p, s in zip(self.known, stay.tolist(), strict=True) if s]
+        self.known = dict(zip(names, range(len(names)), strict=True))
+        size = self.size[stay]
+        self.ids = self.ids[joined(self.start[stay], size)]
+        self.size, self.start, self.asked = size, np.cumsum(size) - size, np.zeros(len(size), np.int64)
+
+    def _encoded(self, new: list[str], together: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, numbers of ids) of pieces. Many stand in a text: each begins with a token that holds a space, or a newline
+        stands between two."""
+        spaced, bare, odd = [], [], []
+        for k, p in enumerate(new):
+            if p[0] == " " and p.split() == [p[1:]]:
+                spaced.append(k)
+            elif len(self.newline) == 1 and p.split() == [p]:
+                bare.append(k)
             else:
-                starts, ends = ends[:-1], ends[1:]
-            if len(starts) != len(group):
-                to.update(zip(group, self._each([p if bare else " " + p for p in group]), strict=True))
-                continue
-            raw = ids.tobytes()
-            to.update(zip(group, (raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
-
-    def learn(self, pieces_: set[str], first: set[str]) -> None:
-        """Ids of pieces that stand after a space, and of texts' first pieces; none of them is remembered."""
-        words = {p for p in pieces_ if p.isalpha()}
-        cut, cut_first = {p: parts(p) for p in pieces_.difference(words)}, {p: parts(p) for p in first}
-        stems = {c[0] for c in cut.values()}.difference(words).difference(self.known)
-        aged = stems.intersection(self.older)
-        self.known.update((p, self.older[p]) for p in aged)
-        self._encode([*words, *stems.difference(aged)], self.known, False)
-        bare = {x for c in cut.values() if len(c) > 1 for x in c[1:]}.union(*cut_first.values())
-        self._encode(list(bare.difference(self.bare)), self.bare, True)
-        known, bare = self.known, self.bare
-        for p, c in cut.items():
-            if len(c) == 2:
-                known[p] = known[c[0]] + bare[c[1]]
-            elif len(c) > 2:
-                known[p] = known[c[0]] + b"".join([bare[x] for x in c[1:]])
-        for p, c in cut_first.items():
-            bare[p] = b"".join([bare[x] for x in c])
+                odd.append(k)
+        found: list[tuple[list[int], np.ndarray, np.ndarray]] = []
+        for some, between in ((spaced, ""), (bare, "\n")):
+            groups = [some[i : i + together] for i in range(0, len(some), together)]
+            texts = [between.join([new[k] for k in g]) for g in groups]
+            for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                if between:
+                    stops = ids == self.newline[0]
+                    size = np.diff(np.concatenate(([-1], np.flatnonzero(stops), [len(ids)]))) - 1
+                    ids = ids[~stops]
+                else:
+                    size = np.diff(np.append(np.flatnonzero(self.after_space[ids]), len(ids)))
+                if len(size) == len(group) and size.sum() == len(ids):
+                    found.append((group, ids, size))
+                else:
+                    odd += group
+        for k, e in zip(odd, self.tok.encode_batch_fast([new[k] for k in odd], add_special_tokens=False), strict=True):
+            found.append(([k], np.array(e.ids, np.uint32), np.array([len(e.ids)])))
+        which = np.array([k for g, _, _ in found for k in g], np.int64)
+        size = np.concatenate([np.zeros(0, np.int64), *(s for _, _, s in found)])
+        order = np.argsort(which)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(i for _, i, _ in found)])
+        return ids[joined((np.cumsum(size) - size)[order], size[order])], size[order]
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """The number of each distinct piece; new ones are encoded."""
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [pieces[k] for k in missing.tolist()]
+            ids, size = self._encoded(new)
+            at[missing] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(new, at[missing].tolist(), strict=True))
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+            self.ids, self.size, self.asked = np.append(self.ids, ids), np.append(self.size, size), np.append(self.asked, np.zeros(len(new), np.int64))
+        self.asked[at] += 1
+        return at
+
+
+def _part(column: pa.Array, memory: Memory, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    column = pc.fill_null(column.cast(pa.string()), "")
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+    data, bounds = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]], (bounds - bounds[0]).astype(np.int64)
+    mark = np.zeros(len(data) + 1, bool)
+    mark[cuts(data)] = True
+    mark[bounds] = True
+    at = np.flatnonzero(mark).astype(np.int32)
+    if at[0]:
+        at = np.concatenate((np.zeros(1, np.int32), at))
+    pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    where = memory.places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+    size = memory.size[where]
+    ends = np.concatenate(([0], np.cumsum(size)))
+    ids = memory.ids[joined(memory.start[where], size)]
+    to = ends[np.searchsorted(at, bounds)]
+    if end is None:
+        return ids, to
+    with_end = np.full(len(ids) + len(column), end, np.uint32)
+    stay = np.ones(len(with_end), bool)
+    to = to + np.arange(len(to))
+    stay[to[1:] - 1] = False
+    with_end[stay] = ids
+    return with_end, to
+
+
+def encoded(column: pa.Array, path: str, remembered: int = REMEMBERED, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the texts' ids one after another, with the id `end` after each text if it is given, and where each text's
+    begin, and the end."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _MEMORIES:
+        _MEMORIES[path] = Memory(path)
+    memory = _MEMORIES[path]
+    found, ends, n = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), most=TOGETHER):
+        memory.age(remembered)
+        ids, to = _part(part.column("text"), memory, end)
+        found.append(ids)
+        ends.append(to[1:] + n)
+        n += len(ids)
+    return np.concatenate(found), np.concatenate(ends)
 
 
 def encode(texts: list[str | None], path: str, remembered: int = REMEMBERED) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    collecting = gc.isenabled()
-    gc.disable()  # millions of small objects without cycles: looking for some costs a tenth of the time
-    try:
-        return _encoded(texts, path, remembered)
-    finally:
-        if collecting:
-            gc.enable()
-
-
-def _encoded(texts: list[str | None], path: str, remembered: int) -> list[bytes]:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Memory(path)
-    memory = _TOKENIZERS[path]
-    memory.age(remembered)
-    known, older = memory.known, memory.older
-    cut = [pieces(t) if t else [""] for t in texts]
-    first = [c.pop(0) for c in cut]
-    missing = set().union(*cut).difference(known)
-    aged = missing.intersection(older)
-    known.update((p, older[p]) for p in aged)
-    memory.learn(missing.difference(aged), set(first).difference(memory.bare))
-    bare, ids = memory.bare, known.__getitem__
-    return [bare[f] + b"".join(map(ids, c)) for f, c in zip(first, cut, strict=True)]
+    ids, ends = encoded(pa.array(texts, pa.string()), path, remembered)
+    raw = memoryview(ids.astype("<u4", copy=False).tobytes())
+    return [bytes(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
