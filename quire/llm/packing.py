@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, table
+from .common import cut, slices, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that are ranked in one task.
@@ -28,22 +28,20 @@ RUN = 2_000
 
 
 def token_pieces(docs: DataFrame, capacity: int, end_id: int, path: str, remembered: int = tokens.REMEMBERED) -> DataFrame:
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), []
-            for i in range(0, len(ids), 500):
-                for doc, coded in zip(ids[i : i + 500], tokens.encode(batch.column("text")[i : i + 500].to_pylist(), path, remembered), strict=True):
-                    coded += end
-                    n = len(coded) // 4
-                    at = 0
-                    for piece, to in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
-                        out.append((doc, piece, at, to - at, zlib.crc32(coded[4 * at : 4 * to])))
-                        at = to
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in slices(batch, most=tokens.TOGETHER):
+                ids, ends = tokens.encoded(part.column("text"), path, remembered, end_id)
+                n = np.diff(ends)
+                many, first = -(-n // capacity), (n - 1) % capacity + 1
+                doc = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[doc], capacity)
+                raw, at = memoryview(ids.astype("<u4", copy=False).tobytes()), ends[doc] + start
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                cols = [part.column("doc_id").take(pa.array(doc)), *(pa.array(c, t) for c, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()), (crc, pa.int64())))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -133,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def best_fit_packing(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, remembered: int = tokens.REMEMBERED) -> DataFrame:
-    """`remembered` bounds the tokenizer memory of a Python worker (about 350 bytes each); results don't depend on it."""
+    """`remembered` bounds the tokenizer memory of a Python worker (about 250 bytes each); results don't depend on it."""
     return pack(token_pieces(docs, capacity, end_id, path or tokens.default_path(), remembered), capacity)
 
 
