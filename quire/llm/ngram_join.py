@@ -201,9 +201,19 @@ PACKED = "grp int, high int, docs binary, schemes binary, spares binary, counts
 _PACKED = [x.split()[0] for x in PACKED.split(", ")]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, lowest first: what a group's numbers have in common stands together, so that it takes
+    no room in a compressed shuffle, though a document has but a key or two in each of many groups."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(b: bytes, of: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(of).itemsize, -1).T).view(of).ravel()
+
+
 def _packed_rows(to: np.ndarray, high: np.ndarray, entry: np.ndarray, per_entry: tuple[np.ndarray, ...], flat: np.ndarray, cost: np.ndarray) -> list[tuple]:
     """A row for each value of `to` and group of keys `high`: documents, schemes and spare segments of its entries, their numbers
-    of keys, the keys' low halves and their costs."""
+    of keys, the keys' low halves and their costs; all but the last two as planes of bytes, documents as differences."""
     order = np.lexsort((entry, high, to))
     to, high, entry, flat, cost = to[order], high[order], entry[order], flat[order].astype(np.uint32), cost[order]
     if not len(to):
@@ -212,7 +222,7 @@ def _packed_rows(to: np.ndarray, high: np.ndarray, entry: np.ndarray, per_entry:
     rows = []
     for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True):
         who, many = np.unique(entry[s:e], return_counts=True)
-        rows.append((int(to[s]), int(high[s]), *(x[who].tobytes() for x in per_entry), many.astype(np.uint32).tobytes(), flat[s:e].tobytes(), cost[s:e].tobytes()))
+        rows.append((int(to[s]), int(high[s]), _planes(np.diff(per_entry[0][who], prepend=0)), *(_planes(x[who]) for x in per_entry[1:]), _planes(many.astype(np.uint32)), flat[s:e].tobytes(), cost[s:e].tobytes()))
     return rows
 
 
@@ -224,9 +234,11 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, ...]:
     """(document, scheme, spare, key, cost) for each key; keys of one task are told apart by group and low half."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()])
-    many, costs = read("counts", np.uint32), group.column("costs").to_pylist()
+    planes = lambda c, t: [_from_planes(x, t) for x in group.column(c).to_pylist()]
+    many, costs = np.concatenate(planes("counts", np.uint32)), group.column("costs").to_pylist()
+    entries = [np.cumsum(x) for x in planes("docs", np.int64)], planes("schemes", np.uint8), planes("spares", np.uint32)
     high = np.repeat(group.column("high").to_numpy().astype(np.uint64) << np.uint64(32), [len(x) for x in costs])
-    return *(np.repeat(read(c, t), many) for c, t in (("docs", np.int64), ("schemes", np.uint8), ("spares", np.uint32))), high | read("keys", np.uint32), np.frombuffer(b"".join(costs), np.uint8)
+    return *(np.repeat(np.concatenate(x), many) for x in entries), high | read("keys", np.uint32), np.frombuffer(b"".join(costs), np.uint8)
 
 
 def keys_of(docs: DataFrame, schemes: list[Scheme], groups: int, hot: np.ndarray) -> DataFrame:
@@ -443,13 +455,15 @@ def standing(rows: DataFrame) -> DataFrame:
     return rows.join(inside, "key", "left_anti")
 
 
-def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of different components that share a key and may be linked; best: only spanning forests of the components
-    by the closest pairs, one for each task."""
+    by the closest pairs, one for each task. Then the rows of posts that later waves need: components only grow together, so a
+    key whose holders are in one stays without pairs."""
     rows = posts.join(comps, posts.doc == comps.id, "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("held")).where("x <> y")
     rows = standing(cut(rows.join(mixed.select("key", "held"), "key")))
     rows = cut(rows.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
+    left = rows.select("key", "doc")
     parts = max(1, -(-(rows.agg(F.sum("blocks")).first()[0] or 0) // BLOCK_ROWS))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -487,7 +501,7 @@ def across(posts: DataFrame, comps: DataFrame, sets: DataFrame, best: bool) -> D
         found = gathered()
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return cut(rows.groupBy("part").cogroup(held.groupBy("to")).applyInArrow(run, "a long, b long").distinct())
+    return cut(rows.groupBy("part").cogroup(held.groupBy("to")).applyInArrow(run, "a long, b long").distinct()), left
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -512,7 +526,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = cut(connected_components(links))
     posts = posts.select("key", "doc")
     for best in (True, False):
-        links = links.union(verified(across(posts, comps, sets, best), sets))
+        pairs, posts = across(posts, comps, sets, best)
+        links = links.union(verified(pairs, sets))
         comps = cut(connected_components(links))
     one = one.join(comps, one["class"] == comps.id, "left").select("n_shingles", "k1", "k2", F.coalesce("component", "class").alias("component"))
     out = sizes.join(one, ["n_shingles", "k1", "k2"], "left")
