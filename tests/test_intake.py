@@ -114,6 +114,23 @@ def test_fuzzy_merge_is_the_greedy_pass(spark):
     assert fuzzy.fuzzy_merge(d.limit(0), ["t"]).count() == 0
 
 
+def test_fuzzy_keys_that_many_share(spark):
+    """Texts of 50 that share one piece of three: keys of it are narrowed, and no pair is lost by it."""
+    rng = random.Random(9)
+    texts = sorted({f"who customer 00000{rng.randrange(30):02d}{rng.randrange(99):02d} automobile balance {rng.randrange(3)}{rng.randrange(100):02d} {rng.randrange(100):02d}x" for _ in range(1000)})
+    texts = [t + "x" * (50 - len(t)) for t in texts]
+    texts += sorted({t[:k] + "#" + t[k + 1 :] for t in texts[:60] for k in [rng.randrange(50)]})
+    d = spark.createDataFrame(list(enumerate(texts)), "record_idx long, t string")
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if sum(x != y for x, y in zip(a, b, strict=True)) <= 2 and fuzzy.indel_ratio(a, b) >= 0.98}
+    tried = {(r.a, r.b) for r in fuzzy.candidates(d, 0.98, most=20).collect()}
+    assert want and want <= tried and len(tried) < len(texts) ** 2 / 10  # half the square before
+    assert {(r.a, r.b) for r in fuzzy.distinct_pairs(d, 0.98, most=20).collect()} == want
+    # equal records: one comparison, one leader
+    again = spark.createDataFrame([(i, "the same words again") for i in range(40)] + [(99, "the same words agains")], "record_idx long, t string")
+    assert len(fuzzy.similar_pairs(again, 0.95).collect()) == 41 * 40 // 2
+    assert [(r.record_idx, r.merge_count) for r in fuzzy.fuzzy_merge(again, ["t"], 0.95).collect()] == [(0, 41)]
+
+
 def test_texts_of_bytes_and_files(spark, tmp_path):
     from quire.operators import intake
 
