@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def paragraph_cap(n: Column) -> Column:
-    """Characters that a chunk may hold, by the text's length."""
-    return F.when(n <= 0, 1600).otherwise(F.greatest(F.lit(1200.0), F.least(F.lit(2800.0), 1100 + 2.4 * F.pow(n, F.lit(0.42)))).cast("int"))
+def paragraph_cap(n: Column, blank: int | None = 1600) -> Column:
+    """Characters that a chunk may hold, by the text's length. blank: for an empty text, which None treats as any other length."""
+    cap = F.greatest(F.lit(1200.0), F.least(F.lit(2800.0), 1100 + 2.4 * F.pow(n, F.lit(0.42)))).cast("int")
+    return cap if blank is None else F.when(n <= 0, blank).otherwise(cap)
 
 
 def slice_sizes(n: Column) -> list[Column]:

@@ -38,3 +38,11 @@ def test_partitions_do_not_matter(spark):
         again = sorted(map(tuple, registry.QUERIES[name](spark, SF).collect()), key=repr)
         spark.conf.set("spark.sql.shuffle.partitions", before)
         assert one == again
+
+
+@pytest.mark.parametrize("name", ["b1_paragraph_cap"])
+def test_empty_texts(spark, tmp_path, name):
+    """Empty, missing, short and long texts have the sizes of the SQL."""
+    texts = ["", None, " ", "x", "é" * 3000, "x" * 200_000, "\U0001f468\u200d\U0001f469" * 900]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert difference(spark, str(tmp_path), registry.QUERIES[name], registry.SQL[name]) == ""
