@@ -13,12 +13,13 @@ def paragraph_cap(n: Column, blank: int | None = 1600) -> Column:
     return cap if blank is None else F.when(n <= 0, blank).otherwise(cap)
 
 
-def slice_sizes(n: Column) -> list[Column]:
-    """slice_size, overlap and direct: window, overlap and the length below which a text isn't cut."""
+def slice_sizes(n: Column, blank: tuple[int, int, int] | None = (2000, 120, 2200)) -> list[Column]:
+    """slice_size, overlap and direct: window, overlap and the length below which a text isn't cut. blank: as in paragraph_cap."""
     size = F.greatest(F.lit(1600.0), F.least(F.lit(4800.0), 1250 + 3.4 * F.pow(n, F.lit(0.38)))).cast("int")
     lap = F.greatest(F.lit(72.0), F.least(F.lit(520.0), size * 0.075)).cast("int")
     direct = F.least(F.lit(5200), F.greatest(F.lit(1600), (800 + n * 0.028).cast("int")))
-    return [F.when(n <= 0, a).otherwise(b).alias(k) for k, a, b in (("slice_size", 2000, size), ("overlap", 120, lap), ("direct", 2200, direct))]
+    sizes = dict(zip(("slice_size", "overlap", "direct"), (size, lap, direct), strict=True))
+    return [(x if blank is None else F.when(n <= 0, empty).otherwise(x)).alias(k) for (k, x), empty in zip(sizes.items(), blank or (None,) * 3, strict=True)]
 
 
 def paragraphs(text: Column) -> Column:

@@ -40,7 +40,7 @@ def test_partitions_do_not_matter(spark):
         assert one == again
 
 
-@pytest.mark.parametrize("name", ["b1_paragraph_cap"])
+@pytest.mark.parametrize("name", ["b1_paragraph_cap", "b2_slice_sizes"])
 def test_empty_texts(spark, tmp_path, name):
     """Empty, missing, short and long texts have the sizes of the SQL."""
     texts = ["", None, " ", "x", "é" * 3000, "x" * 200_000, "\U0001f468\u200d\U0001f469" * 900]
