@@ -86,9 +86,15 @@ def cosines(spark, d):
     return e.crossJoin(q).select("q_id", "vec_id", R.cosine("embedding", "q").alias("cos"))
 
 
+def embeddings(spark, d):
+    """All vectors, and the stated query set."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e, e.where(F.col("vec_id") % 100 == 0)
+
+
 @query("r2_cosine", f"SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 4) AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0")
 def r2(spark, d):
-    return cosines(spark, d).withColumn("cos", F.round("cos", 4))
+    return vectors.cosines(*embeddings(spark, d), digits=4)
 
 
 @query("r3_min_max", f"SELECT q_id, vec_id, round((cos - min(cos) OVER (PARTITION BY q_id)) / (max(cos) OVER (PARTITION BY q_id) - min(cos) OVER (PARTITION BY q_id)), 4) AS scaled FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
