@@ -99,7 +99,7 @@ def r2(spark, d):
 
 @query("r3_min_max", f"SELECT q_id, vec_id, round((cos - min(cos) OVER (PARTITION BY q_id)) / (max(cos) OVER (PARTITION BY q_id) - min(cos) OVER (PARTITION BY q_id)), 4) AS scaled FROM (SELECT q.vec_id AS q_id, e.vec_id, {_COS} AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)")
 def r3(spark, d):
-    return R.min_max(cosines(spark, d), "cos", ["q_id"], "scaled").select("q_id", "vec_id", F.round("scaled", 4).alias("scaled"))
+    return vectors.cosines(*embeddings(spark, d), digits=4, scaled=True).withColumnRenamed("cos", "scaled")
 
 
 #: Questions with the vector that asks with them; the last two have one signal only.
