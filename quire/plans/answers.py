@@ -79,13 +79,6 @@ def r8(spark, d):
 _COS = "list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE))) / (sqrt(list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)))) * sqrt(list_dot_product(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)))) + 1e-9)"
 
 
-def cosines(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    # a stated query set against all rows: Spark broadcasts it while it is small and pairs blocks of both sides beyond that
-    return e.crossJoin(q).select("q_id", "vec_id", R.cosine("embedding", "q").alias("cos"))
-
-
 def embeddings(spark, d):
     """All vectors, and the stated query set."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -127,7 +120,7 @@ def r4(spark, d):
 
 @query("r7_vector_top_k", f"SELECT q_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY cos DESC, vec_id) AS rank FROM (SELECT q.vec_id AS q_id, e.vec_id, round({_COS}, 9) AS cos FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 8")
 def r7(spark, d):
-    return R.top_k(cosines(spark, d).withColumn("score", F.round("cos", 9)), ["q_id"], ["vec_id"], 8).select("q_id", "vec_id", "rank")
+    return vectors.nearest(*embeddings(spark, d), 8).select("q_id", "vec_id", "rank")
 
 
 _R7 = SQL["r7_vector_top_k"]
