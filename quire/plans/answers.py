@@ -127,9 +127,9 @@ _R7 = SQL["r7_vector_top_k"]
 
 
 def _vector_index(spark, d):
-    path, e = new_folder(spark, "vectors"), table(spark, d, "embeddings")
+    path, (e, asked) = new_folder(spark, "vectors"), embeddings(spark, d)
     vectors.index(e, path)
-    return path, e.where(F.col("vec_id") % 100 == 0)
+    return path, asked
 
 
 @query("r7_indexed", _R7)
