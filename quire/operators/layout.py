@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +29,44 @@ def spread(cells: list[tuple], rows: int, cols: int) -> dict[tuple[int, int], st
 
 
 def expand_spans(cells: DataFrame) -> DataFrame:
-    """table_idx, r, c, text: merged cells copied over their area; a table's rows are walked in order, one table at a time.
-    cells: table_idx, r, pos, text, row_span, col_span, n_cols."""
-    import pandas as pd
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["r", "pos"])
-        listed = [(int(r), t, int(h), int(w)) for r, t, h, w in zip(f["r"], f["text"], f["row_span"], f["col_span"], strict=True)]
-        grid = spread(listed, int(f["r"].max()) + 1, int(f["n_cols"].max()))
-        return pd.DataFrame([(f["table_idx"].iloc[0], y, x, t) for (y, x), t in grid.items()], columns=["table_idx", "r", "c", "text"])
-
-    return cells.groupBy("table_idx").applyInPandas(one, "table_idx long, r int, c int, text string")
+    """table_idx, r, c, text: merged cells copied over their area. cells: table_idx, r, pos, text, row_span, col_span, n_cols.
+
+    A task walks its tables in order, many in a batch; it holds a table's cells and one batch."""
+    columns = ["table_idx", "r", "pos", "text", "row_span", "col_span", "n_cols"]
+    schema = "table_idx long, r int, c int, text string"
+
+    def walk(batches):
+        out: dict[str, list] = {k: [] for k in ("table_idx", "r", "c", "text")}
+        types = {"table_idx": pa.int64(), "r": pa.int32(), "c": pa.int32(), "text": pa.string()}
+
+        def taken():
+            done = pa.RecordBatch.from_arrays([pa.array(out[k], types[k]) for k in out], names=list(out))
+            for v in out.values():
+                v.clear()
+            return done
+
+        def close(table, held, cols):
+            for (y, x), t in spread(held, held[-1][0] + 1, cols).items():
+                out["table_idx"].append(table)
+                out["r"].append(y)
+                out["c"].append(x)
+                out["text"].append(t)
+
+        table, held, cols = None, [], 0
+        for batch in batches:
+            for idx, r, t, h, w, n in zip(*(batch.column(k).to_pylist() for k in columns if k != "pos"), strict=True):
+                if held and idx != table:
+                    close(table, held, cols)
+                    held, cols = [], 0
+                table = idx
+                held.append((r, t, h, w))
+                cols = max(cols, n)
+            yield taken()
+        if held:
+            close(table, held, cols)
+            yield taken()
+
+    return cells.select(*columns).repartition("table_idx").sortWithinPartitions("table_idx", "r", "pos").mapInArrow(walk, schema)
 
 
 def sheet_layout(cells: DataFrame) -> DataFrame:

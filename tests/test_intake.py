@@ -60,6 +60,24 @@ def test_instruction_clauses(spark):
     assert [(r.idx, r.degraded) for r in kept] == [(0, False), (1, False), (2, False)]
 
 
+def test_many_tables_in_a_batch(spark):
+    """Tables are walked many at a time, over batches' borders, not with a call of Python for each."""
+    rows = [(i, r, p, f"{i}-{r}-{p}", 1 + (i + r + p) % 3, 1 + (i * r + p) % 2, 3) for i in range(50) for r in range(3) for p in range(2)] + [(None, 0, 0, "none", 1, 2, 2)]
+    cells = spark.createDataFrame(rows, "table_idx long, r int, pos int, text string, row_span int, col_span int, n_cols int")
+    want = []
+    for i in [*range(50), None]:
+        own = [x for x in rows if x[0] == i]
+        want += [(i, y, x, t) for (y, x), t in layout.spread([(x[1], *x[3:6]) for x in own], max(x[1] for x in own) + 1, own[0][6]).items()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = layout.expand_spans(cells)
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_rows_in_scope_routes(spark):
     d = spark.createDataFrame([(1, 1, "德州市", "x"), (1, 2, "北京", "德州"), (1, 3, "上海", "y")], "k int, n int, city string, note string")
     got = rows_in_scope(d, [layout.Clause({"city": ["德州市", "德州"]})], {"city": ["city"]}, ["k"], "n").orderBy("n").collect()
